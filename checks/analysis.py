@@ -14,7 +14,7 @@ from millrace.plans import taxi
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.kept(taxi.clean(trips(spark, sf_dir)))
+    return taxi.clean_kept(trips(spark, sf_dir))
 
 
 def _profile_sql(median: str) -> str:
@@ -306,7 +306,7 @@ def report_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the tip model with a draw in 0..999 that both engines can compute."""
-    rows = rules.kept(taxi.clean(trips(spark, sf_dir, KEYS)))
+    rows = taxi.clean_kept(trips(spark, sf_dir, KEYS))
     draw = (
         F.col("l_orderkey") * 7 + F.col("l_partkey") * 13 + F.col("l_suppkey") * 3 + F.col("l_linenumber")
     ) % 1000
@@ -433,7 +433,7 @@ _TERM = {n: f"(CAST({n} AS DOUBLE) - {s})" for n, s in zip([*FEATURES, "tip_amou
 )
 def ml_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments of yearly pieces, merged."""
-    rows = _model_rows(spark, sf_dir)
-    pieces = regression.moments(rows, FEATURES, taxi.ML_TARGET, _SHIFT, by=[F.col("year").alias("piece")])
+    rows = _model_rows(spark, sf_dir).withColumn("piece", F.col("year"))
+    pieces = regression.moments(rows, FEATURES, taxi.ML_TARGET, _SHIFT, by=["piece"])
     merged = regression.merge_moments(pieces)
     return merged.withColumn("value", F.round("value", 2) + 0.0)

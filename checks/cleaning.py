@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks.registry import check
 from checks.sql import CLEAN, CONFORMED, RAW, TAGGED, TRIPS, query
 from checks.trips import KEYS, flat, raw_trips, trips
+from millrace.functions import literal, long_form
 from millrace.operators import contract, impute, profile, rules
 from millrace.plans import taxi
 
@@ -19,7 +20,7 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyed_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.kept(taxi.clean(_keyed(spark, sf_dir)))
+    return taxi.clean_kept(_keyed(spark, sf_dir))
 
 
 def _passing(spark: SparkSession, sf_dir: str, rule: rules.Rule, *columns: str) -> DataFrame:
@@ -55,21 +56,19 @@ _ALIGNED = {f.name: f.source if f.source and f.name != "cbd_congestion_fee" else
         RAW,
         " UNION ALL ".join(
             f"SELECT {i} AS place, '{name}' AS column_name, "
-            f"{f'count({source})' if source else '0'} AS n_values FROM raw"
+            f"count({source or 'NULL'}) AS n_values FROM raw"
             for i, (name, source) in enumerate(_ALIGNED.items())
         ),
     ),
 )
 def align_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.functions import long_form
-
     aligned = taxi.CONTRACT.align(taxi.CONTRACT.rename(raw_trips(spark, sf_dir)))
     counts = aligned.agg(*(F.count(c).alias(c) for c in aligned.columns))
     return counts.select(
         long_form(
-            place=[F.lit(i).cast("bigint") for i in range(len(counts.columns))],
-            column_name=[F.lit(c) for c in counts.columns],
-            n_values=[F.col(c) for c in counts.columns],
+            place=[f"{i}L" for i in range(len(counts.columns))],
+            column_name=[literal(c) for c in counts.columns],
+            n_values=list(counts.columns),
         )
     )
 
@@ -89,7 +88,7 @@ _TEXT_IN = [f for f in taxi.CONTRACT.fields if _ALIGNED[f.name] and f.type.simpl
         RAW,
         " UNION ALL ".join(
             f"SELECT '{f.name}' AS column_name, '{f.type.simpleString()}' AS expected_type, "
-            f"'string' AS actual_type, {_LOST.get(f.name, '0')} AS lost_values FROM raw"
+            f"'string' AS actual_type, {_LOST.get(f.name, 'count(NULL)')} AS lost_values FROM raw"
             for f in _TEXT_IN
         ),
     ),
@@ -303,7 +302,7 @@ def impute_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def imputation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return impute.imputation_counts(rules.kept(taxi.clean(trips(spark, sf_dir), mark=True)))
+    return impute.imputation_counts(taxi.clean_kept(trips(spark, sf_dir), mark=True))
 
 
 @check(
@@ -359,12 +358,12 @@ _MISSING = " UNION ALL ".join(
 
 @check("profile_missing", query(CLEAN, _MISSING))
 def profile_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.profile_missing(rules.kept(taxi.clean(trips(spark, sf_dir))), taxi.CONTRACT.names)
+    return profile.profile_missing(taxi.clean_kept(trips(spark, sf_dir)), taxi.CONTRACT.names)
 
 
 @check("profile_missing_merge", query(CLEAN, _MISSING))
 def profile_missing_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rules.kept(taxi.clean(trips(spark, sf_dir)))
+    rows = taxi.clean_kept(trips(spark, sf_dir))
     pieces = profile.partial_missing(
         rows, taxi.CONTRACT.names, [F.col("year").alias("piece_year"), F.col("month").alias("piece_month")]
     )

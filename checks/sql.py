@@ -140,8 +140,8 @@ raw AS (
 CONFORMED = RAW + """,
 conformed AS (
   SELECT CASE WHEN VendorID <> '999' THEN CAST(VendorID AS BIGINT) END AS vendor_id,
-         epoch(TRY_CAST(tpep_pickup_datetime AS TIMESTAMP)) AS pickup_datetime,
-         epoch(TRY_CAST(tpep_dropoff_datetime AS TIMESTAMP)) AS dropoff_datetime,
+         CAST(epoch(TRY_CAST(tpep_pickup_datetime AS TIMESTAMP)) AS BIGINT) AS pickup_datetime,
+         CAST(epoch(TRY_CAST(tpep_dropoff_datetime AS TIMESTAMP)) AS BIGINT) AS dropoff_datetime,
          CAST(TRY_CAST(passenger_count AS DOUBLE) AS BIGINT) AS passenger_count,
          CAST(trip_distance AS DOUBLE) AS trip_distance,
          CAST(RatecodeID AS BIGINT) AS rate_code_id,

@@ -7,8 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from checks.registry import check
 from checks.sql import CLEAN, CONFORMED, RAW, TAGGED, TRIPS, query
 from checks.trips import KEYS, flat, raw_trips, table, trips
-from millrace.operators import ordering, profile, reports, rules
-from millrace.operators.contract import Contract, Field
+from millrace.operators import ordering, profile, reports
 from millrace.plans import taxi
 from millrace.plans.lakebuild import store_outcomes
 from millrace.session import scratch_path
@@ -17,7 +16,7 @@ from millrace.streaming import incremental
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.kept(taxi.clean(trips(spark, sf_dir)))
+    return taxi.clean_kept(trips(spark, sf_dir))
 
 
 def _clean_lake(spark: SparkSession, sf_dir: str, label: str) -> str:
@@ -200,7 +199,7 @@ def lake_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def suspicious_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rules.kept(taxi.clean(trips(spark, sf_dir, KEYS))).where("suspicious")
+    rows = taxi.clean_kept(trips(spark, sf_dir, KEYS)).where("suspicious")
     draw = (
         F.col("l_orderkey") * 31 + F.col("l_partkey") * 17 + F.col("l_suppkey") * 7 + F.col("l_linenumber")
     ) % 1009

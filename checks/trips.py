@@ -9,10 +9,12 @@ Amounts are multiples of 0.5, so sums do not depend on the order of addition.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.plans import taxi
-from millrace.session import use_utc
+from millrace.session import scratch_path, use_utc
 
 KEYS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
@@ -25,7 +27,7 @@ def _unless(condition: Column, value: Column) -> Column:
     return F.when(~condition, value)
 
 
-def trips(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     order, part, supp, line = (F.col(k) for k in KEYS)
     # All source columns blank, and all critical columns blank, for some parts.
@@ -71,11 +73,36 @@ def trips(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> Data
         "trip_distance_unit": F.lit(taxi.DISTANCE_UNIT),
         "suspicious": F.lit(False),
     }
-    return lines.select(*extra, *(column.alias(name) for name, column in columns.items()))
+    return lines.select(*KEYS, *(column.alias(name) for name, column in columns.items()))
+
+
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str, rows: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table, written once per application, so that plans start from a scan.
+
+    Left as a view, its long expressions would be copied into every condition.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = scratch_path(spark, name)
+        rows().write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
+def trips(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    rows = _table(use_utc(spark), sf_dir, "trips", lambda: _lines(spark, sf_dir))
+    return rows.select(*extra, *taxi.CONTRACT.names)
 
 
 def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text columns under source names, plus the ``file_name`` a row would come from."""
+    return _table(use_utc(spark), sf_dir, "raw_trips", lambda: _raw_lines(spark, sf_dir))
+
+
+def _raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = trips(spark, sf_dir, KEYS)
     order, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     text = {

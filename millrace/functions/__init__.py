@@ -3,11 +3,13 @@
 from millrace.functions.columns import (
     all_missing,
     any_present,
+    elapsed,
     is_missing,
+    literal,
     long_form,
+    quoted,
     speed_per_hour,
     sum_present,
-    elapsed,
 )
 from millrace.functions.labels import (
     code_label,
@@ -25,8 +27,10 @@ __all__ = [
     "elapsed",
     "is_missing",
     "last_segment",
+    "literal",
     "long_form",
     "ordinal_in",
+    "quoted",
     "sized_label",
     "speed_per_hour",
     "sum_present",

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.functions import long_form
+from millrace.functions import literal, long_form, quoted
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _REAL = (T.FloatType, T.DoubleType)
@@ -143,9 +143,9 @@ def type_report(df: DataFrame, contract: Contract) -> DataFrame:
     ]
     return df.agg(*losses).select(
         long_form(
-            column_name=[F.lit(m.column) for m in found],
-            expected_type=[F.lit(m.expected) for m in found],
-            actual_type=[F.lit(m.actual) for m in found],
-            lost_values=[F.col(m.column) for m in found],
+            column_name=[literal(m.column) for m in found],
+            expected_type=[literal(m.expected) for m in found],
+            actual_type=[literal(m.actual) for m in found],
+            lost_values=[quoted(m.column) for m in found],
         )
     )

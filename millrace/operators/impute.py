@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.functions import any_present, long_form, sum_present
+from millrace.functions import any_present, literal, long_form, quoted, sum_present
 
 MARK = "imputed_"
 
@@ -52,7 +52,7 @@ def imputation_counts(df: DataFrame) -> DataFrame:
     """(marker, n_rows) for every marker column, from one aggregate."""
     names = markers(df)
     sums = df.agg(*(F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in names))
-    return sums.select(long_form(marker=[F.lit(n) for n in names], n_rows=[F.col(n) for n in names]))
+    return sums.select(long_form(marker=[literal(n) for n in names], n_rows=[quoted(n) for n in names]))
 
 
 def drop_markers(df: DataFrame) -> DataFrame:

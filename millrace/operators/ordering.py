@@ -14,7 +14,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from millrace.functions import long_form
+from millrace.functions import literal, long_form, quoted
 from millrace.session import durable
 
 # monotonically_increasing_id puts the task number above 33 bits of row number.
@@ -75,8 +75,8 @@ def exact_quantiles(
     pairs = df.select(
         *by,
         long_form(
-            column_name=[F.lit(c) for c in columns],
-            value=[F.col(c).cast("double") for c in columns],
+            column_name=[literal(c) for c in columns],
+            value=[f"CAST({quoted(c)} AS DOUBLE)" for c in columns],
         ),
     ).where(F.col("value").isNotNull() & ~F.isnan("value"))
     group = [*by, "column_name"]

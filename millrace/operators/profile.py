@@ -8,7 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.functions import long_form
+from millrace.functions import literal, long_form, quoted
 from millrace.operators.ordering import exact_medians, exact_quantiles
 
 ROWS = "total_rows"
@@ -21,19 +21,18 @@ def partial_missing(df: DataFrame, columns: Sequence[str] | None = None, by: Seq
     """
     names = list(columns or df.columns)
     return df.groupBy(*by).agg(
-        F.count("*").alias(ROWS), *(F.count_if(F.col(n).isNull()).alias(n) for n in names)
+        F.count("*").alias(ROWS), *(F.expr(f"count_if({quoted(n)} IS NULL) AS {quoted(n)}") for n in names)
     )
 
 
 def merge_missing(partials: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Final profile from partial counts: (column_name, missing_count, missing_percent)."""
-    total = partials.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in (ROWS, *columns)))
-    share = [F.round(F.try_divide(F.col(n), F.col(ROWS)) * 100.0, 2) for n in columns]
+    total = partials.agg(*(F.expr(f"coalesce(sum({quoted(n)}), 0L) AS {quoted(n)}") for n in (ROWS, *columns)))
     return total.select(
         long_form(
-            column_name=[F.lit(n) for n in columns],
-            missing_count=[F.col(n) for n in columns],
-            missing_percent=share,
+            column_name=[literal(n) for n in columns],
+            missing_count=[quoted(n) for n in columns],
+            missing_percent=[f"round(try_divide({quoted(n)}, {ROWS}) * 100D, 2)" for n in columns],
         )
     ).orderBy(F.desc("missing_count"), "column_name")
 
@@ -93,8 +92,8 @@ def describe(df: DataFrame, columns: Sequence[str], exact: bool = False, accurac
     one_row = df.agg(*(e.alias(f"{s}_{i}") for s, es in stats.items() for i, e in enumerate(es)))
     rows = one_row.select(
         long_form(
-            column_name=[F.lit(c) for c in columns],
-            **{s: [F.col(f"{s}_{i}") for i in range(len(columns))] for s in stats},
+            column_name=[literal(c) for c in columns],
+            **{s: [f"{s}_{i}" for i in range(len(columns))] for s in stats},
         )
     )
     order = ["column_name", "n", "mean", "stddev", "min", *quarters, "max"]
@@ -114,7 +113,10 @@ def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Grouping instead of collecting sets: no column's values end up in one array.
     """
     pairs = df.select(
-        long_form(column_name=[F.lit(c) for c in columns], value=[F.col(c).cast("string") for c in columns])
+        long_form(
+            column_name=[literal(c) for c in columns],
+            value=[f"CAST({quoted(c)} AS STRING)" for c in columns],
+        )
     )
     return pairs.groupBy("column_name", "value").agg(F.count("*").alias("n_rows"))
 
@@ -123,4 +125,4 @@ def conditional_counts(df: DataFrame, conditions: Mapping[str, Column]) -> DataF
     """(condition, n_rows) for several predicates, in one pass."""
     names = list(conditions)
     row = df.agg(*(F.count_if(conditions[n]).alias(n) for n in names))
-    return row.select(long_form(condition=[F.lit(n) for n in names], n_rows=[F.col(n) for n in names]))
+    return row.select(long_form(condition=[literal(n) for n in names], n_rows=[quoted(n) for n in names]))

@@ -7,11 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.functions import elapsed, long_form, speed_per_hour
+from millrace.functions import elapsed, speed_per_hour
 
 
 def calendar_features(df: DataFrame, start: str, end: str, distance: str, prefixes: tuple[str, str]) -> DataFrame:
@@ -75,7 +77,7 @@ def moments(
     features: Sequence[str],
     label: str,
     shift: Sequence[float] | None = None,
-    by: Sequence[str | Column] = (),
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """(by…, left_name, right_name, value): sums of products of all pairs of variables.
 
@@ -83,29 +85,30 @@ def moments(
     moments of disjoint pieces merge by addition. ``shift`` is subtracted from each
     variable first (any point near the means keeps the sums small); pieces to be
     merged must share it. The table has (k+2)(k+3)/2 rows for k features.
+
+    MLlib's polynomial expansion of degree two is exactly the list of sums and
+    products wanted, and its summarizer adds vectors up with partial aggregation.
     """
-    names = ["1", *features, label]
-    offsets = [0.0, *(shift or [0.0] * (len(features) + 1))]
-    # Shifted values are named columns, so each is computed once per row, not per pair.
+    names = [*features, label]
+    offsets = list(shift or [0.0] * len(names))
     centred = df.select(
+        *by, *((F.col(n).cast("double") - F.lit(float(o))).alias(f"_v{i}") for i, (n, o) in enumerate(zip(names, offsets)))
+    )
+    vectors = VectorAssembler(inputCols=[f"_v{i}" for i in range(len(names))], outputCol="_x").transform(centred)
+    terms = PolynomialExpansion(degree=2, inputCol="_x", outputCol="_terms").transform(vectors)
+    totals = terms.groupBy(*by).agg(Summarizer.metrics("count", "sum").summary(F.col("_terms")).alias("_s"))
+    # The expansion lists, for each variable, the variable and then its products with
+    # those up to and including itself.
+    order = [pair for j, name in enumerate(names) for pair in (("1", name), *((n, name) for n in names[: j + 1]))]
+    pairs = [("1", "1"), *order]
+    values = F.concat(F.array(F.col("_s.count").cast("double")), vector_to_array("_s.sum"))
+    return totals.select(*by, F.posexplode(values).alias("_place", "value")).select(
         *by,
         *(
-            (F.lit(1.0) if n == "1" else F.col(n).cast("double") - F.lit(float(o))).alias(f"_v{i}")
-            for i, (n, o) in enumerate(zip(names, offsets))
-        ),
-    )
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    group = [b if isinstance(b, str) else centred.columns[k] for k, b in enumerate(by)]
-    wide = centred.groupBy(*group).agg(
-        *(F.sum(F.col(f"_v{i}") * F.col(f"_v{j}")).alias(f"_s{i}_{j}") for i, j in pairs)
-    )
-    return wide.select(
-        *group,
-        long_form(
-            left_name=[F.lit(names[i]) for i, _ in pairs],
-            right_name=[F.lit(names[j]) for _, j in pairs],
-            value=[F.coalesce(F.col(f"_s{i}_{j}"), F.lit(0.0)) for i, j in pairs],
+            F.element_at(F.array(*(F.lit(p[side]) for p in pairs)), F.col("_place") + 1).alias(name)
+            for side, name in enumerate(("left_name", "right_name"))
         ),
+        "value",
     )
 
 

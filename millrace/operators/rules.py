@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -67,7 +69,7 @@ def within_speed(
     """Speed below the limit, or not computable."""
     speed = speed_per_hour(distance, start, end)
     below = speed <= F.lit(limit) if inclusive else speed < F.lit(limit)
-    return Rule(name, speed.isNull() | below)
+    return Rule(name, F.coalesce(below, F.lit(True)))
 
 
 def speed_metrics(df: DataFrame, distance: str, start: str, end: str) -> DataFrame:
@@ -89,6 +91,15 @@ def tag(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return df.withColumn(REASON, F.coalesce(*(F.when(~r.passes(), F.lit(r.name)) for r in rules)))
 
 
+def keep_only(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The rows that pass every rule, where the reasons of the others are not wanted.
+
+    Same rows as ``kept(tag(...))``, but as a plain conjunction, from which Spark pushes
+    what it can into the scan and stops at the first failing condition.
+    """
+    return df.where(reduce(and_, (r.keep for r in rules)))
+
+
 def kept(tagged: DataFrame) -> DataFrame:
     return tagged.where(F.col(REASON).isNull()).drop(REASON)
 
@@ -99,7 +110,7 @@ def rejected(tagged: DataFrame) -> DataFrame:
 
 def apply_rule(df: DataFrame, rule: Rule) -> DataFrame:
     """Keep the rows that pass a single rule."""
-    return df.where(rule.passes())
+    return keep_only(df, [rule])
 
 
 def reject_summary(tagged: DataFrame) -> DataFrame:

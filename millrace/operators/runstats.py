@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.functions import long_form
+from millrace.functions import literal, long_form, quoted
 from millrace.operators.ordering import positions
 
 
@@ -108,19 +108,19 @@ def relative_speedup(
 
     The baseline is the first of several columns that has a value.
     """
-    base = F.coalesce(*(F.col(f"`{b}`") for b in baselines))
+    base = ", ".join(quoted(b) for b in baselines)
     return pivoted.select(
         *index,
         long_form(
-            configuration=[F.lit(c) for c in configurations],
-            relative_speedup=[F.try_divide(base, F.col(f"`{c}`")) for c in configurations],
+            configuration=[literal(c) for c in configurations],
+            relative_speedup=[f"try_divide(coalesce({base}), {quoted(c)})" for c in configurations],
         ),
     )
 
 
 def scaleout(pivoted: DataFrame, index: Sequence[str], one: str, many: str, nodes: int) -> DataFrame:
     """Speedup from one node to several, and how much of the added hardware it used."""
-    speedup = F.try_divide(F.col(f"`{one}`"), F.col(f"`{many}`"))
+    speedup = F.try_divide(F.col(quoted(one)), F.col(quoted(many)))
     return pivoted.select(
         *index, speedup.alias("scaleout_speedup"), (speedup / F.lit(float(nodes))).alias("scaleout_efficiency")
     )

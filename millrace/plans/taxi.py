@@ -134,10 +134,23 @@ def clean(trips: DataFrame, mark: bool = False) -> DataFrame:
     ``mark=True`` leaves the imputation markers in.
     """
     tagged = rules.tag(trips, trip_rules())
-    keep = F.col(rules.REASON).isNull()
-    done = flag_suspicious(tagged, keep)
-    done = impute.impute_constants(done, FILL, keep)
-    done = impute.impute_total(done, "total_amount", AMOUNTS, keep)
+    return flag_and_impute(tagged, mark, F.col(rules.REASON).isNull())
+
+
+def clean_kept(trips: DataFrame, mark: bool = False) -> DataFrame:
+    """Only the rows that ``clean`` keeps, without the reason column.
+
+    The rules become a filter, part of which reaches the scan; the flag and the
+    fill-ins are computed only for what is left.
+    """
+    return flag_and_impute(rules.keep_only(trips, trip_rules()), mark)
+
+
+def flag_and_impute(rows: DataFrame, mark: bool = False, where: Column | None = None) -> DataFrame:
+    """The money flag, then the fill-ins: the flag must see which values were missing."""
+    done = flag_suspicious(rows, where)
+    done = impute.impute_constants(done, FILL, where)
+    done = impute.impute_total(done, "total_amount", AMOUNTS, where)
     return done if mark else impute.drop_markers(done)
 
 

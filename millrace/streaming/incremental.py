@@ -33,7 +33,8 @@ def ingest_available(
 ) -> int:
     """Process every file not seen before, then stop. Returns the last batch number.
 
-    Each batch owns the directory ``batch=<id>`` and overwrites it, so a batch that is
+    This is a staging area, laid out by batch and outcome only: months are formed once,
+    by ``publish``, instead of as small files in every batch. Each batch owns the directory ``batch=<id>`` and overwrites it, so a batch that is
     replayed after a failure leaves its rows once. Kept and rejected rows go out in one
     job. A batch's NULL counts are computed from what it stored and kept beside it, to
     be merged into a profile of everything without reading the rows again.
@@ -46,7 +47,7 @@ def ingest_available(
         (
             named.write.mode("overwrite")
             .option("partitionOverwriteMode", "static")
-            .partitionBy(OUTCOME, *lake.MONTHLY)
+            .partitionBy(OUTCOME)
             .parquet(place)
         )
         # An explicit schema: a batch without kept rows has no such directory.
