@@ -96,7 +96,8 @@ def moments(
     )
     vectors = VectorAssembler(inputCols=[f"_v{i}" for i in range(len(names))], outputCol="_x").transform(centred)
     terms = PolynomialExpansion(degree=2, inputCol="_x", outputCol="_terms").transform(vectors)
-    totals = terms.groupBy(*by).agg(Summarizer.metrics("count", "sum").summary(F.col("_terms")).alias("_s"))
+    # Grouping by a constant yields no row for no input, which the summarizer cannot sum.
+    totals = terms.groupBy(*by or [F.lit(0).alias("_all")]).agg(Summarizer.metrics("count", "sum").summary(F.col("_terms")).alias("_s"))
     # The expansion lists, for each variable, the variable and then its products with
     # those up to and including itself.
     order = [pair for j, name in enumerate(names) for pair in (("1", name), *((n, name) for n in names[: j + 1]))]
