@@ -361,6 +361,13 @@ def profile_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.profile_missing(taxi.clean_kept(trips(spark, sf_dir)), taxi.CONTRACT.names)
 
 
+@check("profile_missing_one_pass", query(CLEAN, _MISSING))
+def profile_missing_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same profile out of the pass that also gives the statistics per vendor."""
+    rows = taxi.clean_kept(trips(spark, sf_dir))
+    return profile.missing_of(profile.profile_once(rows, ["vendor_id"], taxi.PROFILED, taxi.CONTRACT.names))
+
+
 @check("profile_missing_merge", query(CLEAN, _MISSING))
 def profile_missing_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = taxi.clean_kept(trips(spark, sf_dir))

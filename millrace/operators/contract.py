@@ -54,6 +54,23 @@ class Contract:
     def field(self, name: str) -> Field:
         return next(f for f in self.fields if f.name == name)
 
+    def reading_schema(self, header: list[str]) -> T.StructType:
+        """Types for a text reader, wide enough to lose nothing the contract would keep.
+
+        Numbers and times are parsed by the reader (a cell it cannot parse is NULL), so
+        later conditions test typed columns instead of repeating casts from text. Whole
+        numbers are read as doubles, because "1.0" is a common way to write them; long
+        ones stay text, as a double would round them.
+        """
+        by_source = {f.source: f.type for f in self.fields if f.source}
+
+        def wide(kind: T.DataType | None) -> T.DataType:
+            if isinstance(kind, _REAL) or (isinstance(kind, _WHOLE) and not isinstance(kind, T.LongType)):
+                return T.DoubleType()
+            return kind if isinstance(kind, T.TimestampType) else T.StringType()
+
+        return T.StructType([T.StructField(n, wide(by_source.get(n))) for n in header])
+
     # --- the steps, each usable alone -------------------------------------------------
 
     def rename(self, df: DataFrame) -> DataFrame:

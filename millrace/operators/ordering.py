@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from millrace.functions import literal, long_form, quoted
 from millrace.session import durable
@@ -44,10 +44,11 @@ def positions(
 ) -> DataFrame:
     """Zero-based position of each row in a total order, over the table or per key.
 
-    ``order_by`` should end in something unique, otherwise tied rows get an arbitrary
-    but fixed order.
+    Rows that tie in ``order_by`` are ordered by a hash of all their columns. So the
+    result does not depend on partitioning, and many tied rows do not end in one task.
     """
-    rows = _sorted_blocks(df, [*within, *order_by])
+    hashable = [s.name for s in df.schema if not isinstance(s.dataType, (T.MapType, T.VariantType))]
+    rows = _sorted_blocks(df, [*within, *order_by, F.xxhash64(*hashable)])
     keys = [*within, "_block"]
     blocks = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_slot").alias("_first"))
     # One row per key and task; a key meets at most as many tasks as the sort has.

@@ -43,6 +43,16 @@ def profile_missing(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     return merge_missing(partial_missing(df, names), names)
 
 
+def _group_stats(columns: Sequence[str], accuracy: int | None) -> list[Column]:
+    parts: list[Column] = []
+    for c in columns:
+        parts += [F.count(c).alias(f"{c}_count"), F.avg(c).alias(f"{c}_mean")]
+        if accuracy is not None:
+            parts.append(F.percentile_approx(c, 0.5, accuracy).alias(f"{c}_median"))
+        parts += [F.stddev_samp(c).alias(f"{c}_stddev"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
+    return parts
+
+
 def profile_by_group(
     df: DataFrame,
     by: Sequence[str],
@@ -57,13 +67,7 @@ def profile_by_group(
     """
     if median not in ("approx", "exact"):
         raise ValueError("median is 'approx' or 'exact'")
-    parts: list[Column] = []
-    for c in columns:
-        parts += [F.count(c).alias(f"{c}_count"), F.avg(c).alias(f"{c}_mean")]
-        if median == "approx":
-            parts.append(F.percentile_approx(c, 0.5, accuracy).alias(f"{c}_median"))
-        parts += [F.stddev_samp(c).alias(f"{c}_stddev"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
-    stats = df.groupBy(*by).agg(*parts)
+    stats = df.groupBy(*by).agg(*_group_stats(columns, accuracy if median == "approx" else None))
     if median == "approx":
         return stats
     exact = exact_medians(df, columns, by)
@@ -76,6 +80,33 @@ def profile_by_group(
     )
 
 
+def profile_once(
+    df: DataFrame,
+    by: Sequence[str],
+    columns: Sequence[str],
+    names: Sequence[str] | None = None,
+    accuracy: int = 10_000,
+) -> DataFrame:
+    """NULL counts of all columns and statistics of some, per group, in one aggregate.
+
+    One pass over the rows gives a table of one row per group, small enough to store;
+    ``missing_of`` and ``groups_of`` read the two profiles from it.
+    """
+    gaps = [F.expr(f"count_if({quoted(n)} IS NULL) AS {quoted('missing_' + n)}") for n in names or df.columns]
+    stats = _group_stats(columns, accuracy)
+    return df.groupBy(*by).agg(F.count("*").alias(ROWS), *gaps, *stats)
+
+
+def missing_of(once: DataFrame) -> DataFrame:
+    names = [c.removeprefix("missing_") for c in once.columns if c.startswith("missing_")]
+    counts = once.select(ROWS, *(F.col(quoted("missing_" + n)).alias(n) for n in names))
+    return merge_missing(counts, names)
+
+
+def groups_of(once: DataFrame) -> DataFrame:
+    return once.drop(ROWS, *(c for c in once.columns if c.startswith("missing_")))
+
+
 def describe(df: DataFrame, columns: Sequence[str], exact: bool = False, accuracy: int = 10_000) -> DataFrame:
     """One row per numeric column: count, mean, stddev, min, quartiles, max."""
     quarters = {"q25": 0.25, "median": 0.5, "q75": 0.75}

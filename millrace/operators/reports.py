@@ -42,5 +42,5 @@ def row_count(df: DataFrame) -> DataFrame:
 
 
 def query_path(spark: SparkSession, sql: str, path: str) -> DataFrame:
-    """Run SQL that names the table ``lake`` over the Parquet files at ``path``."""
+    """Run SQL that names its table ``{lake}`` over the Parquet files at ``path``."""
     return spark.sql(sql, lake=spark.read.parquet(path))

@@ -20,6 +20,8 @@ from millrace.functions import (
 
 REASON = "reject_reason"
 KEPT = "kept"
+NO_VALUE = "rows_all_columns_missing"
+NO_CRITICAL = "rows_missing_critical_columns"
 
 
 @dataclass(frozen=True)
@@ -33,12 +35,12 @@ class Rule:
         return F.coalesce(self.keep, F.lit(False))
 
 
-def has_any_value(columns: Sequence[str], name: str = "rows_all_columns_missing") -> Rule:
+def has_any_value(columns: Sequence[str], name: str = NO_VALUE) -> Rule:
     """Rejects a row only when every listed column is NULL."""
     return Rule(name, ~all_missing(columns))
 
 
-def has_critical_value(columns: Sequence[str], name: str = "rows_missing_critical_columns") -> Rule:
+def has_critical_value(columns: Sequence[str], name: str = NO_CRITICAL) -> Rule:
     """Rejects a row only when all critical columns are NULL; an empty list rejects nothing."""
     return Rule(name, ~all_missing(columns) if columns else F.lit(True))
 

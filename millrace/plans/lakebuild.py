@@ -41,6 +41,10 @@ class LakeBuild:
         """Rows per outcome, from file footers."""
         return self.all_rows().groupBy(OUTCOME).agg(F.count("*").alias("n_rows"))
 
+    def profiled(self) -> DataFrame:
+        """Both profiles in one pass, a row per vendor: see ``profile.profile_once``."""
+        return profile.profile_once(self.trips(), ["vendor_id"], taxi.PROFILED, taxi.CONTRACT.names)
+
     def missing(self) -> DataFrame:
         return profile.profile_missing(self.trips(), taxi.CONTRACT.names)
 
@@ -52,18 +56,26 @@ class LakeBuild:
         return lake.write_quarantine(taxi.with_speed_metrics(self.rejects()), path)
 
 
-def store_outcomes(tagged: DataFrame, root: str, gather: bool = False) -> LakeBuild:
+def store_outcomes(
+    tagged: DataFrame, root: str, gather: bool = True, target_mib: int = lake.TARGET_MIB
+) -> LakeBuild:
     """Write kept and rejected rows in a single job, in directories by outcome.
 
     Raw input is parsed once, and nothing is cached: what follows reads columns back
     from Parquet. Rejects may lack a year or month; kept rows cannot, as the month rule
     has seen them. A new build replaces an old one at the same root.
+
+    By default one shuffle gives every directory files of about the target size, the
+    few rejects of many tasks included, so no compaction has to follow. ``gather=False``
+    saves the shuffle where input arrives by month, at the price of one file per task,
+    outcome and month.
     """
     rows = tagged.withColumn(OUTCOME, F.coalesce(rules.REASON, F.lit(rules.KEPT))).drop(rules.REASON)
     keys = [OUTCOME, *lake.MONTHLY]
     if gather:
         rows = lake.spread_by(rows, keys)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*keys).parquet(root)
+    with lake.file_size(tagged.sparkSession, target_mib):
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*keys).parquet(root)
     return LakeBuild(tagged.sparkSession, root)
 
 
@@ -72,11 +84,7 @@ def build_lake(
     paths: str | Sequence[str],
     root: str,
     conform: Callable[[DataFrame], DataFrame] = taxi.conform,
-    gather: bool = False,
+    gather: bool = True,
 ) -> LakeBuild:
-    """Scan CSV files, conform, clean and store them.
-
-    Monthly files need no shuffle: a scan task meets one or two months. Set ``gather``
-    for input that mixes many months, or every task would write a file for each.
-    """
-    return store_outcomes(taxi.clean(conform(csv_scan(spark, paths))), root, gather)
+    """Scan CSV files, conform, clean and store them in one job."""
+    return store_outcomes(taxi.clean(conform(csv_scan(spark, paths, taxi.CONTRACT))), root, gather)

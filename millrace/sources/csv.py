@@ -7,9 +7,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from millrace.operators.contract import Contract
+
 
 def text_schema(names: Sequence[str]) -> T.StructType:
-    """Every column as text: the contract's casts decide what a cell means, not the reader."""
+    """Every column as text, to look at raw cells."""
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
@@ -18,8 +20,8 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def csv_scan(spark: SparkSession, paths: str | Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
-    """Read CSV files with a header as text columns.
+def csv_scan(spark: SparkSession, paths: str | Sequence[str], contract: Contract | None = None) -> DataFrame:
+    """Read CSV files with a header: as text, or with the types a contract asks for.
 
     Files under one path must share a header: Spark assigns cells by position, so each
     file's header is checked and a different one is an error, not shifted columns.
@@ -28,8 +30,9 @@ def csv_scan(spark: SparkSession, paths: str | Sequence[str], names: Sequence[st
     ``_metadata`` stays available on a single path only, hence ``file_name``.
     """
     groups = [paths] if isinstance(paths, str) else list(paths)
+    schema = contract.reading_schema if contract else text_schema
     scans = [
-        spark.read.schema(text_schema(names or header_of(spark, path)))
+        spark.read.schema(schema(header_of(spark, path)))
         .option("header", True)
         .option("enforceSchema", False)
         .csv(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import AbstractContextManager
 from functools import reduce
 from operator import and_
 
@@ -50,6 +51,19 @@ def spread_by(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.hint("rebalance", *(F.col(b) for b in by))
 
 
+def file_size(spark: SparkSession, target_mib: int) -> AbstractContextManager[None]:
+    """Settings under which ``spread_by`` splits partitions at a file size.
+
+    Small partitions are merged into tasks only as far as all cores stay busy: merging
+    saves no files here, as every directory gets its own.
+    """
+    return session_conf(
+        spark,
+        spark__sql__adaptive__advisoryPartitionSizeInBytes=f"{target_mib * MIB}b",
+        spark__sql__adaptive__coalescePartitions__parallelismFirst="true",
+    )
+
+
 def write_partitioned(
     df: DataFrame,
     path: str,
@@ -69,9 +83,7 @@ def write_partitioned(
     ``"static"`` replaces the whole path.
     """
     rows = guarded(df, by)
-    with session_conf(
-        df.sparkSession, spark__sql__adaptive__advisoryPartitionSizeInBytes=f"{target_mib * MIB}b"
-    ):
+    with file_size(df.sparkSession, target_mib):
         (
             (spread_by(rows, by) if gather else rows)
             .write.mode("overwrite")
@@ -82,19 +94,25 @@ def write_partitioned(
         )
 
 
-def file_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Files, rows and MiB of a file-based table, per partition or in total.
+def rows_per_file(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by…, file_path, size_mib, n_rows) for every file of a file-based table that has rows.
 
     Uses the reader's own file metadata. On Parquet no column data is read.
     """
-    per_file = df.groupBy(*by, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"))
+    size = F.col("_metadata.file_size") / F.lit(float(MIB))
+    keys = [*by, F.col("_metadata.file_path").alias("file_path"), size.alias("size_mib")]
+    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+
+
+def file_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Files, rows and MiB of a file-based table, per partition or in total."""
     return (
-        per_file.agg(F.count("*").alias("_rows"))
+        rows_per_file(df, by)
         .groupBy(*by)
         .agg(
             F.count("*").alias("n_files"),
-            F.coalesce(F.sum("_rows"), F.lit(0)).alias("n_rows"),
-            F.coalesce(F.sum("_size") / F.lit(float(MIB)), F.lit(0.0)).alias("size_mib"),
+            F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
+            F.coalesce(F.sum("size_mib"), F.lit(0.0)).alias("size_mib"),
         )
     )
 

@@ -90,3 +90,17 @@ def test_taxi_contract_from_raw_names(spark):
     assert (first.vendor_id, first.year, first.month, first.currency, first.suspicious) == (1, 2024, 1, "USD", False)
     assert (second.year, second.month, second.store_and_forward_flag) == (None, None, None)
     assert [f.dataType for f in out.schema] == [f.type for f in taxi.CONTRACT.fields]
+
+
+def test_reading_with_types_equals_reading_text(spark, tmp_path):
+    from millrace.sources import csv
+
+    (tmp_path / "a-2024-01.csv").write_text(
+        "Code,Amount,At,Flag,note\n12,1.5,2024-02-29 10:00:00, y,p\n1.0,NaN,2024-02-30 10:00:00,N,q\n"
+        "999,x,soon,maybe,r\nx,,,,\n 7 ,1e3,2024-02-29,n,s\n-1,Infinity,2024-02-29T10:00:00,Y,t\n"
+    )
+    typed = csv.csv_scan(spark, str(tmp_path), SMALL)
+    assert [f.dataType.simpleString() for f in typed.schema][:5] == ["double", "double", "timestamp", "string", "string"]
+    text = csv.csv_scan(spark, str(tmp_path))
+    assert SMALL.apply(typed).collect() == SMALL.apply(text).collect()
+    assert [r.code for r in SMALL.apply(typed).collect()] == [12, 1, None, None, 7, -1]

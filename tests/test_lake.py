@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators.contract import Contract, Field
+from millrace.operators import reports
 from millrace.sources import csv, lake
 from pyspark.sql import types as T
 
@@ -101,6 +102,30 @@ def test_file_stats(spark, tmp_path):
     assert lake.file_stats(spark.read.parquet(path), ["month"]).count() == 5
 
 
+def test_rows_per_file_of_csv(spark, tmp_path):
+    (tmp_path / "a-2024-01.csv").write_text("x\n1\n2\n")
+    (tmp_path / "b-2024-02.csv").write_text("x\n3\n")
+    rows = lake.rows_per_file(spark.read.option("header", True).csv(str(tmp_path))).collect()
+    assert {(r.file_path.rsplit("/", 1)[1], r.n_rows) for r in rows} == {("a-2024-01.csv", 2), ("b-2024-02.csv", 1)}
+
+
+def test_a_month_range_reads_only_its_directories(spark, tmp_path):
+    path = str(tmp_path / "lake")
+    lake.write_partitioned(_rows(spark), path)
+    some = reports.month_range(spark.read.parquet(path), (2024, 2), (2024, 3))
+    assert {r.month for r in some.collect()} == {2, 3}
+    assert {f.split("month=")[1][0] for f in some.inputFiles()} >= {"2", "3"}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+    assert lake.file_stats(some).collect()[0].n_files == 2
+
+
+def test_sql_over_a_path(spark, tmp_path):
+    path = str(tmp_path / "lake")
+    lake.write_partitioned(_rows(spark), path)
+    assert reports.query_path(spark, "SELECT max(id) AS top FROM {lake} WHERE month = 2", path).collect()[0].top == 296
+
+
 def test_quarantine_has_a_folder_per_rule(spark, tmp_path):
     tagged = _rows(spark).withColumn(
         "reject_reason", F.when(F.col("id") < 10, "low").when(F.col("id") > 290, "high")

@@ -44,6 +44,13 @@ def test_a_hot_key_is_sorted_by_several_tasks(spark):
         spark.conf.unset(conf)
 
 
+def test_tied_rows_are_numbered_once_and_the_same_way(spark):
+    df = spark.range(2000).select("id", F.lit(1).alias("same"))
+    one = {r.id: r.position for r in ordering.positions(df, ["same"]).collect()}
+    two = {r.id: r.position for r in ordering.positions(df.repartition(7), ["same"]).collect()}
+    assert one == two and sorted(one.values()) == list(range(2000))
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     groups=st.lists(
