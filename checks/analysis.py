@@ -27,6 +27,7 @@ def _profile_sql(median: str) -> str:
             for c in taxi.PROFILED
         )
         + " FROM clean GROUP BY vendor_id",
+        "vendor_id",
     )
 
 
@@ -54,6 +55,7 @@ def profile_by_group_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
                avg(tip_amount) AS avg_tip_amount, sum(total_amount) AS sum_total_amount
         FROM clean WHERE NOT suspicious
         GROUP BY year, month, payment_type_id, trip_distance_unit, currency""",
+        "payment_type_id",
     ),
 )
 def q1_monthly_payment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +73,7 @@ def q1_monthly_payment(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM clean GROUP BY pickup_location_id, dropoff_location_id, trip_distance_unit, currency
         HAVING count(*) > 100
         ORDER BY sum_total_amount DESC, trip_count DESC, pickup_location_id, dropoff_location_id LIMIT 100""",
+        "pickup_location_id dropoff_location_id",
     ),
 )
 def q2_top_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +202,7 @@ def run_summary_whole_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @check(
     "array_stats",
     """
-    SELECT label, place, round(avg(x), 6) AS average, round(coalesce(stddev_samp(x), 0), 6) AS standard_deviation,
+    SELECT CAST(label AS BIGINT) AS label, place, round(avg(x), 6) AS average, round(coalesce(stddev_samp(x), 0), 6) AS standard_deviation,
            round(min(x), 6) AS min, round(max(x), 6) AS max
     FROM (SELECT label, unnest(range(len(embedding))) AS place, CAST(unnest(embedding) AS DOUBLE) AS x
           FROM embeddings)
@@ -282,7 +285,7 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
            split_part(rtrim(path, '/'), '/', -1) || ' (' || CAST(size AS VARCHAR) || ' MiB)' AS sized,
            printf('%.1fM', size / CAST(10 AS DOUBLE)) AS millions,
            CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE lang END AS lang_label,
-           CASE lang WHEN 'fr' THEN 1 WHEN 'en' THEN 2 WHEN 'de' THEN 3 ELSE 4 END AS lang_place
+           CAST(CASE lang WHEN 'fr' THEN 1 WHEN 'en' THEN 2 WHEN 'de' THEN 3 ELSE 4 END AS BIGINT) AS lang_place
     FROM parts""",
 )
 def report_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,9 +338,11 @@ split AS (SELECT *, (o * 7 + p * 13 + s * 3 + n) % 1000 < 200 AS is_test FROM mo
     query(
         MODEL_ROWS,
         f"""
-        SELECT o AS l_orderkey, p AS l_partkey, s AS l_suppkey, n AS l_linenumber, tip_amount,
+        SELECT o AS l_orderkey, p AS l_partkey, s AS l_suppkey, CAST(n AS BIGINT) AS l_linenumber, tip_amount,
                {", ".join("round(trip_speed, 6) AS trip_speed" if f == "trip_speed" else f for f in FEATURES)}
         FROM model_rows""",
+        "pickup_location_id dropoff_location_id payment_type_id pickup_hour pickup_day pickup_weekday "
+        "dropoff_hour dropoff_day dropoff_weekday",
     ),
 )
 def ml_features(spark: SparkSession, sf_dir: str) -> DataFrame:

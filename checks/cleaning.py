@@ -11,8 +11,12 @@ from millrace.functions import literal, long_form
 from millrace.operators import contract, impute, profile, rules
 from millrace.plans import taxi
 
-_KEYS = "o AS l_orderkey, p AS l_partkey, s AS l_suppkey, n AS l_linenumber"
+_KEYS = "o AS l_orderkey, p AS l_partkey, s AS l_suppkey, CAST(n AS BIGINT) AS l_linenumber"
 _ALL = ", ".join(taxi.CONTRACT.names)
+_SMALL = (
+    "vendor_id pickup_datetime dropoff_datetime passenger_count rate_code_id pickup_location_id "
+    "dropoff_location_id payment_type_id"
+)
 
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +59,7 @@ _ALIGNED = {f.name: f.source if f.source and f.name != "cbd_congestion_fee" else
     query(
         RAW,
         " UNION ALL ".join(
-            f"SELECT {i} AS place, '{name}' AS column_name, "
+            f"SELECT CAST({i} AS BIGINT) AS place, '{name}' AS column_name, "
             f"count({source or 'NULL'}) AS n_values FROM raw"
             for i, (name, source) in enumerate(_ALIGNED.items())
         ),
@@ -107,6 +111,7 @@ def type_mismatch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                CAST(sum(pickup_datetime) AS BIGINT) AS sum_pickup, sum(total_amount) AS sum_total,
                count(metered_rate_tax) AS n_taxes
         FROM conformed GROUP BY vendor_id, passenger_count, rate_code_id""",
+        "vendor_id passenger_count rate_code_id sum_pickup",
     ),
 )
 def enforce_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +124,8 @@ def enforce_types(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum(F.unix_timestamp("pickup_datetime")).alias("sum_pickup"),
             F.sum("total_amount").alias("sum_total"),
             F.count("metered_rate_tax").alias("n_taxes"),
-        )
+        ),
+        "sum_pickup",
     )
 
 
@@ -143,9 +149,9 @@ def normalise_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@check("apply_contract", query(CONFORMED, f"SELECT {_ALL} FROM conformed"))
+@check("apply_contract", query(CONFORMED, f"SELECT {_ALL} FROM conformed", f"{_SMALL} year month"))
 def apply_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(taxi.conform(raw_trips(spark, sf_dir)))
+    return flat(taxi.conform(raw_trips(spark, sf_dir)), "year month")
 
 
 @check(
@@ -178,6 +184,7 @@ def drop_missing_critical(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT {_KEYS}, CAST(epoch(pickup_datetime) AS BIGINT) AS pickup_datetime,
                CAST(epoch(dropoff_datetime) AS BIGINT) AS dropoff_datetime
         FROM trips WHERE pickup_datetime < dropoff_datetime""",
+        "pickup_datetime dropoff_datetime",
     ),
 )
 def valid_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +212,7 @@ def partition_leak(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"""
         SELECT {_KEYS}, trip_distance, passenger_count FROM trips
         WHERE coalesce(trip_distance, 0) >= 0 AND coalesce(passenger_count, 0) >= 0""",
+        "passenger_count",
     ),
 )
 def non_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,12 +234,13 @@ def non_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
                  AS avg_speed_mph
         FROM timed
         WHERE NOT coalesce(trip_duration_min > 0 AND trip_distance / (trip_duration_min / 60) >= 120, false)""",
+        "avg_speed_mph",
     ),
 )
 def speed_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = rules.within_speed("trip_distance", "pickup_datetime", "dropoff_datetime", 120.0)
     passing = taxi.with_speed_metrics(rules.apply_rule(_keyed(spark, sf_dir), rule))
-    return flat(passing.select(*KEYS, "trip_duration_min", "avg_speed_mph"))
+    return flat(passing.select(*KEYS, "trip_duration_min", "avg_speed_mph"), "avg_speed_mph")
 
 
 @check(
@@ -244,6 +253,7 @@ def speed_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
                REPLACE (CAST(epoch(pickup_datetime) AS BIGINT) AS pickup_datetime,
                         CAST(epoch(dropoff_datetime) AS BIGINT) AS dropoff_datetime)
         FROM clean""",
+        _SMALL,
     ),
 )
 def clean_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,6 +276,7 @@ def flag_suspicious(spark: SparkSession, sf_dir: str) -> DataFrame:
                CAST(passenger_count IS NULL AS BIGINT) AS imputed_passenger_count,
                CAST(store_and_forward_flag IS NULL AS BIGINT) AS imputed_store_and_forward_flag
         FROM trips""",
+        "passenger_count",
     ),
 )
 def impute_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,6 +334,7 @@ def reject_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHERE vendor_id IS NOT NULL AND passenger_count IS NOT NULL AND pickup_datetime IS NOT NULL
           AND trip_distance IS NOT NULL AND total_amount IS NOT NULL
         GROUP BY vendor_id, passenger_count""",
+        "vendor_id passenger_count",
     ),
 )
 def complete_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,7 +358,7 @@ def complete_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def outlier_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounds = [("fare_amount", 10.0, 80.0), ("tip_amount", 0.0, 6.0)]
-    return rules.within_bounds(_keyed(spark, sf_dir), bounds).select(*KEYS, "fare_amount", "tip_amount")
+    return flat(rules.within_bounds(_keyed(spark, sf_dir), bounds).select(*KEYS, "fare_amount", "tip_amount"))
 
 
 _MISSING = " UNION ALL ".join(

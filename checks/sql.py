@@ -166,5 +166,9 @@ conformed AS (
   FROM raw)"""
 
 
-def query(ctes: str, select: str) -> str:
+def query(ctes: str, select: str, double: str = "") -> str:
+    """A whole query; the columns named in ``double`` are returned as doubles."""
+    if double:
+        casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in double.split())
+        select = f"SELECT * REPLACE ({casts}) FROM ({select.strip()})"
     return f"WITH {ctes.strip()}\n{select.strip()}"

@@ -53,7 +53,7 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @check(
     "file_stats",
-    query(CLEAN, "SELECT year, month, 1 AS n_files, count(*) AS n_rows, true AS has_size FROM clean GROUP BY year, month"),
+    query(CLEAN, "SELECT year, month, CAST(1 AS BIGINT) AS n_files, count(*) AS n_rows, true AS has_size FROM clean GROUP BY year, month"),
 )
 def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = spark.read.parquet(_clean_lake(spark, sf_dir, "stats"))
@@ -70,12 +70,13 @@ def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
                CAST(nullif(regexp_extract(file_name, '(\\d{4})-(\\d{2})', 2), '') AS BIGINT) AS month,
                count(*) AS n_rows
         FROM raw GROUP BY 1, 2""",
+        "year month",
     ),
 )
 def filename_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = csv.year_month_from(F.col("file_name"))
     rows = raw_trips(spark, sf_dir).select("file_name").withColumns(parts)
-    return flat(rows.groupBy("year", "month").agg(F.count("*").alias("n_rows")))
+    return flat(rows.groupBy("year", "month").agg(F.count("*").alias("n_rows")), "year month")
 
 
 _BY_PAYMENT = """
@@ -83,7 +84,7 @@ _BY_PAYMENT = """
     FROM {table} WHERE fare_amount > 20 GROUP BY payment_type_id"""
 
 
-@check("parquet_scan", query(CLEAN, _BY_PAYMENT.format(table="clean")))
+@check("parquet_scan", query(CLEAN, _BY_PAYMENT.format(table="clean"), "payment_type_id"))
 def parquet_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _clean_lake(spark, sf_dir, "scan")
     return flat(reports.query_path(spark, _BY_PAYMENT.format(table="{lake}"), path))
@@ -143,7 +144,7 @@ def verify_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
     query(
         CLEAN,
         """
-        SELECT year, month, 1 AS n_files_out, count(*) AS n_rows_in, count(*) AS n_rows_out, true AS ok
+        SELECT year, month, CAST(1 AS BIGINT) AS n_files_out, count(*) AS n_rows_in, count(*) AS n_rows_out, true AS ok
         FROM clean GROUP BY year, month""",
     ),
 )
@@ -176,6 +177,7 @@ def quarantine_write(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM (SELECT * REPLACE (CASE WHEN reject_reason IS NULL THEN coalesce(passenger_count, 1)
                                      ELSE passenger_count END AS passenger_count) FROM tagged)
         GROUP BY 1, 2, 3""",
+        "sum_passengers",
     ),
 )
 def lake_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +186,8 @@ def lake_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(
         rows.groupBy("outcome", "year", "month").agg(
             F.count("*").alias("n_rows"), F.sum("passenger_count").alias("sum_passengers")
-        )
+        ),
+        "sum_passengers",
     )
 
 
@@ -193,7 +196,7 @@ def lake_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     query(
         CLEAN,
         """
-        SELECT o AS l_orderkey, p AS l_partkey, s AS l_suppkey, n AS l_linenumber, total_amount
+        SELECT o AS l_orderkey, p AS l_partkey, s AS l_suppkey, CAST(n AS BIGINT) AS l_linenumber, total_amount
         FROM clean WHERE suspicious
         ORDER BY (o * 31 + p * 17 + s * 7 + n) % 1009, o, p, s, n LIMIT 50""",
     ),

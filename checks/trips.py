@@ -127,13 +127,19 @@ def _raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def flat(df: DataFrame) -> DataFrame:
-    """Whole numbers as bigint and times as epoch seconds, as the other engine returns them."""
-    kinds = {"tinyint": "bigint", "smallint": "bigint", "int": "bigint"}
+def flat(df: DataFrame, double: str = "") -> DataFrame:
+    """Result types that look the same from both engines, also after a trip through pandas.
+
+    Integers become bigint. Those that may be NULL (small codes, times as epoch seconds
+    and the columns named in ``double``) become doubles.
+    """
+    kinds = {"tinyint": "double", "smallint": "double", "int": "bigint"}
 
     def column(name: str, kind: str) -> Column:
         if kind.startswith("timestamp"):
-            return F.unix_timestamp(name).alias(name)
+            return F.unix_timestamp(name).cast("double").alias(name)
+        if name in double.split():
+            return F.col(name).cast("double").alias(name)
         return F.col(name).cast(kinds[kind]).alias(name) if kind in kinds else F.col(name)
 
     return df.select(*(column(s.name, s.dataType.simpleString()) for s in df.schema))
