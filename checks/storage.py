@@ -206,7 +206,7 @@ def suspicious_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     draw = (
         F.col("l_orderkey") * 31 + F.col("l_partkey") * 17 + F.col("l_suppkey") * 7 + F.col("l_linenumber")
     ) % 1009
-    picked = ordering.fixed_sample(rows.select(*KEYS, "total_amount"), 50, key=KEYS, order=draw)
+    picked = ordering.fixed_sample(rows.select(*KEYS, "total_amount"), 50, key=KEYS, draw=draw)
     return flat(picked)
 
 

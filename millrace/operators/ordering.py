@@ -25,7 +25,7 @@ def _sorted_blocks(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Range-sort and number the rows of every task, then make the result durable.
 
     The numbers are only meaningful together with the very rows they were given to, so
-    the sorted table is checkpointed: a recomputed task could cut the ranges elsewhere.
+    the sorted table is stored: a recomputed task could cut the ranges elsewhere.
     """
     numbered = df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id())
     return durable(numbered.withColumn("_block", F.shiftright("_slot", _ROW_BITS)))
@@ -149,13 +149,28 @@ def fixed_sample(
     n: int,
     key: Sequence[str] | None = None,
     seed: int = 42,
-    order: Column | None = None,
+    draw: Column | None = None,
 ) -> DataFrame:
-    """``n`` rows chosen by a hash of their key, or every row if there are fewer.
+    """The ``n`` rows with the lowest draw, or every row if there are fewer.
 
-    Each task keeps its own first ``n`` and only those are merged. The same rows come
-    out however the table is partitioned, unlike with a Bernoulli sample.
+    The draw is a hash of the key (or a given non-negative whole number), so the same
+    rows come out however the table is partitioned, unlike with a Bernoulli sample.
+
+    A plain top-k would send ``n`` rows from every task to the driver, too many when
+    there are many tasks. So the rows are first counted by the magnitude of their draw,
+    and only those of the lowest magnitudes that hold ``n`` rows, about ``2n`` of them
+    for a hash, take part.
     """
     names = list(key or df.columns)
-    draw = F.xxhash64(F.lit(seed), *names) if order is None else order
-    return df.orderBy(draw, *names).limit(n)
+    lot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *names), 1) if draw is None else draw
+    magnitude = F.floor(F.log2(lot + F.lit(1.0)))
+    # At most 64 rows: a draw has that many magnitudes.
+    sizes = sorted(tuple(r) for r in df.groupBy(magnitude.alias("m")).agg(F.count("*").alias("n")).collect())
+    seen, enough = 0, None
+    for level, size in sizes:
+        seen += size
+        if seen >= n:
+            enough = level
+            break
+    chosen = df if enough is None else df.where(magnitude <= F.lit(enough))
+    return chosen.orderBy(lot, *names).limit(n)

@@ -35,10 +35,12 @@ def array_stats(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
     task in part and is never gathered. The arrays that come out are as long as one
     input list. Lists of different lengths within a group raise an error.
     """
-    # The list is parsed once; its length rides along with its elements. The outer
-    # variant keeps an empty list visible to the length check.
+    # The length is taken before the list is spread out, so that an element's row carries
+    # a number and not the whole list. The outer variant keeps an empty list visible to
+    # the length check.
     lists = df.select(*by, parse_list(df, column).alias("_list")).where(F.col("_list").isNotNull())
-    elements = lists.select(*by, F.size("_list").alias("_len"), F.posexplode_outer("_list").alias("_pos", "_x"))
+    measured = lists.withColumn("_len", F.size("_list"))
+    elements = measured.select(*by, "_len", F.posexplode_outer("_list").alias("_pos", "_x"))
     cells = elements.groupBy(*by, "_pos").agg(
         *_spread(F.col("_x"), "_x"), F.min("_len").alias("_shortest"), F.max("_len").alias("_longest")
     )
@@ -75,7 +77,7 @@ def run_summary(
     """
     runs = df if where is None else df.where(where)
     placed = positions(runs, order_by, within, "_place")
-    bucketed = placed.withColumn("bucket", (F.floor(F.col("_place") / F.lit(size)) + 1).cast("bigint"))
+    bucketed = placed.withColumn("bucket", F.expr(f"_place div {int(size)} + 1"))
     key = [*within, "bucket"]
     summary = bucketed.groupBy(*key).agg(
         *(F.min_by(k, "_place").alias(k) for k in keep if k not in key),

@@ -61,10 +61,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage, so a lost executor cannot change the rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def durable(df: DataFrame, label: str = "durable") -> DataFrame:
+    """The same rows, written to the shared folder and read back.
+
+    A lost executor can then no longer change them. Unlike a checkpoint of rows, the
+    Parquet table is compressed, lets later steps read only the columns they need, and
+    tells the optimizer its size.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 @contextmanager

@@ -99,9 +99,9 @@ def rows_per_file(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     Uses the reader's own file metadata. On Parquet no column data is read.
     """
-    size = F.col("_metadata.file_size") / F.lit(float(MIB))
-    keys = [*by, F.col("_metadata.file_path").alias("file_path"), size.alias("size_mib")]
-    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    file = [F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("_bytes")]
+    counts = df.groupBy(*by, *file).agg(F.count("*").alias("n_rows"))
+    return counts.select(*by, "file_path", (F.col("_bytes") / F.lit(float(MIB))).alias("size_mib"), "n_rows")
 
 
 def file_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

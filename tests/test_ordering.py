@@ -89,6 +89,23 @@ def test_sample_is_fixed_by_the_key(spark):
     assert len(first) == 50 and first == again
     assert {r.id for r in ordering.fixed_sample(df, 50, seed=7).collect()} != first
     assert ordering.fixed_sample(df, 5000).count() == 1000
+    assert ordering.fixed_sample(df.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 7, 50, 999, 1000])
+def test_sample_is_the_lowest_draws(spark, n):
+    df = spark.range(1000).select("id", (F.col("id") * 37 % 101).alias("lot"))
+    got = [(r.lot, r.id) for r in ordering.fixed_sample(df, n, key=["id"], draw=F.col("lot")).collect()]
+    assert got == sorted((i * 37 % 101, i) for i in range(1000))[:n]
+
+
+def test_few_rows_compete_for_a_sample(spark):
+    df = spark.range(100_000)
+    plan = ordering.fixed_sample(df, 50)._jdf.queryExecution()
+    assert "TakeOrderedAndProject" in plan.executedPlan().toString()
+    lot = F.shiftrightunsigned(F.xxhash64(F.lit(42), "id"), 1)
+    ids = {r.id for r in ordering.fixed_sample(df, 50).collect()}
+    assert ids == {r.id for r in df.orderBy(lot).limit(50).collect()}
 
 
 def test_describe_matches_a_literal(spark):
