@@ -79,16 +79,14 @@ def jobs(spark: SparkSession) -> dict[str, Callable[[], object]]:
         sink(built.summary())
 
     def mllib() -> None:
-        rows = taxi.model_rows(stored())
-        features = taxi.feature_names(rows)
-        split = regression.split_by_key(rows, rows.columns)
+        split = taxi.split_model_rows(stored())
+        features = taxi.feature_names(split)
         _, predicted = regression.fit_predict(split, features, taxi.ML_TARGET)
         sink(regression.regression_metrics(predicted, taxi.ML_TARGET, "prediction"))
 
     def from_moments() -> None:
-        rows = taxi.model_rows(stored())
-        features = taxi.feature_names(rows)
-        split = regression.split_by_key(rows, rows.columns)
+        split = taxi.split_model_rows(stored())
+        features = taxi.feature_names(split)
         learned = regression.moments(split.where(~F.col("is_test")), features, taxi.ML_TARGET)
         model = regression.solve_moments(learned, features, taxi.ML_TARGET)
         predicted = model.predict(split.where("is_test"))

@@ -9,7 +9,7 @@ from checks.registry import check
 from checks.sql import CLEAN, FEATURES, MODEL_ROWS, TRIPS, query
 from checks.trips import KEYS, flat, rounded, table, trips
 from millrace import functions as X
-from millrace.operators import ordering, profile, regression, rules, runstats
+from millrace.operators import profile, regression, runstats
 from millrace.plans import taxi
 
 
@@ -313,15 +313,7 @@ def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     draw = (
         F.col("l_orderkey") * 7 + F.col("l_partkey") * 13 + F.col("l_suppkey") * 3 + F.col("l_linenumber")
     ) % 1000
-    features = regression.calendar_features(
-        rows.select(*KEYS, *taxi.ML_COLUMNS, draw.alias("draw")),
-        "pickup_datetime",
-        "dropoff_datetime",
-        "trip_distance",
-        ("pickup", "dropoff"),
-    )
-    bounded = rules.within_bounds(features, taxi.ML_BOUNDS)
-    return rules.complete_cases(bounded, bounded.columns)
+    return taxi.model_rows(rows.withColumn("draw", draw), [*KEYS, "draw"])
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:

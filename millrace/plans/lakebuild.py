@@ -62,8 +62,8 @@ def store_outcomes(
     """Write kept and rejected rows in a single job, in directories by outcome.
 
     Raw input is parsed once, and nothing is cached: what follows reads columns back
-    from Parquet. Rejects may lack a year or month; kept rows cannot, as the month rule
-    has seen them. A new build replaces an old one at the same root.
+    from Parquet. Rejects may lack a year or month; a kept row without them fails the
+    job. A new build replaces an old one at the same root.
 
     By default one shuffle gives every directory files of about the target size, the
     few rejects of many tasks included, so no compaction has to follow. ``gather=False``
@@ -71,6 +71,7 @@ def store_outcomes(
     outcome and month.
     """
     rows = tagged.withColumn(OUTCOME, F.coalesce(rules.REASON, F.lit(rules.KEPT))).drop(rules.REASON)
+    rows = lake.guarded(rows, where=F.col(OUTCOME) == rules.KEPT)
     keys = [OUTCOME, *lake.MONTHLY]
     if gather:
         rows = lake.spread_by(rows, keys)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions import elapsed
@@ -225,14 +227,26 @@ def signed_speed() -> Column:
 # --- tip model ---------------------------------------------------------------------------
 
 
-def model_rows(trips: DataFrame) -> DataFrame:
-    """Features and target of the tip model: bounded, complete, timestamps unfolded."""
+def model_rows(trips: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Features and target of the tip model: bounded, complete, timestamps unfolded.
+
+    ``also`` names further columns to carry along.
+    """
     rows = regression.calendar_features(
-        trips.select(*ML_COLUMNS), "pickup_datetime", "dropoff_datetime", "trip_distance", ("pickup", "dropoff")
+        trips.select(*ML_COLUMNS, *also), "pickup_datetime", "dropoff_datetime", "trip_distance", ("pickup", "dropoff")
     )
     rows = rules.within_bounds(rows, ML_BOUNDS)
     return rules.complete_cases(rows, rows.columns)
 
 
+def split_model_rows(trips: DataFrame, test_share: float = 0.2, seed: int = 42) -> DataFrame:
+    """Model rows with ``is_test``, drawn by a hash of the trip's stored columns.
+
+    Hashing those rather than the features lets the choice of a side filter the scan.
+    """
+    drawn = regression.split_by_key(trips.select(*ML_COLUMNS), ML_COLUMNS, test_share, seed)
+    return model_rows(drawn, ["is_test"])
+
+
 def feature_names(rows: DataFrame) -> list[str]:
     return [c for c in rows.columns if c not in (ML_TARGET, "is_test")]

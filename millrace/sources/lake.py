@@ -28,16 +28,17 @@ def partition_violations(df: DataFrame, by: Sequence[str] = MONTHLY) -> DataFram
     )
 
 
-def guarded(df: DataFrame, by: Sequence[str] = MONTHLY) -> DataFrame:
-    """The same rows, but a NULL partition key fails the job that reads them.
+def guarded(df: DataFrame, by: Sequence[str] = MONTHLY, where: Column | None = None) -> DataFrame:
+    """The same rows, but a NULL partition key (of the rows ``where``) fails the job.
 
     The check is part of the projection that feeds the writer: it needs no pass of its
     own, and a failed write job commits nothing.
     """
-    checks = {
-        b: F.coalesce(F.col(b), F.raise_error(F.lit(f"partition column {b} is NULL")).cast(df.schema[b].dataType))
-        for b in by
-    }
+    checks = {}
+    for b in by:
+        failure = F.raise_error(F.lit(f"partition column {b} is NULL")).cast(df.schema[b].dataType)
+        present = F.coalesce(F.col(b), failure)
+        checks[b] = present if where is None else F.when(where, present).otherwise(F.col(b))
     return df.withColumns(checks)
 
 
@@ -173,18 +174,22 @@ def compaction_report(spark: SparkSession, source: str, target: str, by: Sequenc
     )
 
 
-def write_quarantine(tagged: DataFrame, path: str, reason: str = REASON) -> DataFrame:
-    """Write all rejected rows as CSV, one folder per rule, in one job without a shuffle.
+def write_quarantine(
+    tagged: DataFrame, path: str, reason: str = REASON, target_mib: int = TARGET_MIB
+) -> DataFrame:
+    """Write all rejected rows as CSV, one folder per rule, in one job.
 
-    Returns (reason, n_rows), counted from what was written.
+    Only the rejects are shuffled, so that the few of each task do not become files of
+    their own. Returns (reason, n_rows), counted from what was written.
     """
-    (
-        tagged.where(F.col(reason).isNotNull())
-        .write.mode("overwrite")
-        .option("header", True)
-        .partitionBy(reason)
-        .csv(path)
-    )
+    with file_size(tagged.sparkSession, target_mib):
+        (
+            spread_by(tagged.where(F.col(reason).isNotNull()), [reason])
+            .write.mode("overwrite")
+            .option("header", True)
+            .partitionBy(reason)
+            .csv(path)
+        )
     return quarantine_counts(tagged, path, reason)
 
 

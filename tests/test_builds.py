@@ -74,6 +74,16 @@ def test_profile_of_a_build_takes_few_jobs(spark, month_files, tmp_path):
     assert len(jobs) <= 10
 
 
+def test_a_kept_row_needs_its_month(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(1, 2024, 1, None), (2, None, None, "bad")], "id int, year int, month int, reject_reason string"
+    )
+    built = lakebuild.store_outcomes(rows, str(tmp_path / "a"))
+    assert {tuple(r) for r in built.summary().collect()} == {("kept", 1), ("bad", 1)}
+    with pytest.raises(Exception, match="partition column year is NULL"):
+        lakebuild.store_outcomes(rows.withColumn("reject_reason", F.lit(None).cast("string")), str(tmp_path / "b"))
+
+
 def test_incremental_equals_one_run(spark, month_files, tmp_path):
     landing, root, progress = (str(tmp_path / d) for d in ("landing", "root", "progress"))
     os.makedirs(landing)

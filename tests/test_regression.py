@@ -81,3 +81,19 @@ def test_calendar_features(spark):
     assert (first.in_hour, first.in_day, first.in_weekday, first.out_hour, first.out_weekday) == (23, 2, 1, 0, 2)
     assert (first.trip_duration_sec, first.trip_speed) == (1800, 10.0)
     assert (still.trip_duration_sec, still.trip_speed) == (0, None)
+
+
+def test_the_side_of_a_trip_filters_the_scan(spark, tmp_path):
+    from checks.trips import trips
+    from millrace.plans import taxi
+
+    path = str(tmp_path / "lake")
+    taxi.clean_kept(trips(spark, "/root/testdata/sf0.001")).write.parquet(path)
+    split = taxi.split_model_rows(spark.read.parquet(path))
+    features = taxi.feature_names(split)
+    assert len(features) == 15 and "is_test" not in features
+    n, test = split.count(), split.where("is_test").count()
+    assert n == taxi.model_rows(spark.read.parquet(path)).count() and 0.1 < test / n < 0.3
+    model, predicted = regression.fit_predict(split, features, taxi.ML_TARGET)
+    scores = regression.regression_metrics(predicted, taxi.ML_TARGET, "prediction").collect()[0]
+    assert scores.n_rows == test and scores.rmse < 5
