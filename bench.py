@@ -68,7 +68,8 @@ def jobs(spark: SparkSession) -> dict[str, Callable[[], object]]:
         return spark.read.parquet(lake_path)
 
     def clean_and_profile() -> None:
-        once = profile.profile_once(taxi.clean_kept(conform(scan())), ["vendor_id"], taxi.PROFILED, taxi.CONTRACT.names)
+        rows = taxi.clean_kept(conform(scan()))
+        once = profile.profile_once(rows, ["vendor_id"], taxi.PROFILED, taxi.CONTRACT.names)
         path = scratch_path(spark, "bench-profile")
         once.write.parquet(path)
         sink(profile.missing_of(spark.read.parquet(path)))
@@ -97,8 +98,12 @@ def jobs(spark: SparkSession) -> dict[str, Callable[[], object]]:
         "ingest_all_cells": lambda: sink(scan()),
         "clean_profile": clean_and_profile,
         "build_with_rejects": build,
-        "persist": lambda: lake.write_partitioned(conform(scan()).transform(taxi.clean_kept), scratch_path(spark, "bench-out")),
-        "compact": lambda: lake.compact_partitions(spark, loose_path, scratch_path(spark, "bench-compact")).collect(),
+        "persist": lambda: lake.write_partitioned(
+            conform(scan()).transform(taxi.clean_kept), scratch_path(spark, "bench-out")
+        ),
+        "compact": lambda: lake.compact_partitions(
+            spark, loose_path, scratch_path(spark, "bench-compact")
+        ).collect(),
         "q1_monthly_payment": lambda: sink(taxi.monthly_payments(stored())),
         "q2_top_routes": lambda: sink(taxi.top_routes(stored())),
         "q3_hourly_speed": lambda: sink(taxi.hourly_speed(stored())),

@@ -231,7 +231,10 @@ def _pivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runstats.pivot_mean(orders, ["o_orderpriority"], "o_orderstatus", ["F", "O", "P"], "o_totalprice")
 
 
-@check("pivot_config", f"{_PIVOT} SELECT o_orderpriority, round(F, 4) AS F, round(O, 4) AS O, round(P, 4) AS P FROM pivoted")
+@check(
+    "pivot_config",
+    f"{_PIVOT} SELECT o_orderpriority, round(F, 4) AS F, round(O, 4) AS O, round(P, 4) AS P FROM pivoted",
+)
 def pivot_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_pivoted(spark, sf_dir), 4)
 
@@ -285,7 +288,8 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
            split_part(rtrim(path, '/'), '/', -1) || ' (' || CAST(size AS VARCHAR) || ' MiB)' AS sized,
            printf('%.1fM', size / CAST(10 AS DOUBLE)) AS millions,
            CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE lang END AS lang_label,
-           CAST(CASE lang WHEN 'fr' THEN 1 WHEN 'en' THEN 2 WHEN 'de' THEN 3 ELSE 4 END AS BIGINT) AS lang_place
+           CAST(CASE lang WHEN 'fr' THEN 1 WHEN 'en' THEN 2 WHEN 'de' THEN 3 ELSE 4 END AS BIGINT)
+             AS lang_place
     FROM parts""",
 )
 def report_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,8 +370,41 @@ def ml_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@check("ml_linear_regression")
+_TERMS = {"1": "1.0", **{f: f"CAST({f} AS DOUBLE)" for f in FEATURES}}
+
+
+@check(
+    "ml_linear_regression",
+    query(
+        _MODEL_SPLIT,
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS term, count(*) AS n_rows, round(avg(tip_amount * {x}), 3) AS mean_product "
+            "FROM split WHERE NOT is_test"
+            for name, x in _TERMS.items()
+        ),
+    ),
+)
 def ml_linear_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least squares is the fit whose products with every feature are those of the target.
+
+    So the predictions of the training rows, multiplied by each feature, must have the
+    means that SQL finds for the target itself (the normal equations).
+    """
+    split = _split(spark, sf_dir)
+    model, _ = regression.fit_predict(split, FEATURES, taxi.ML_TARGET)
+    fitted = model.transform(split.where(~F.col("is_test")))
+    means = [F.expr(f"avg(prediction * {x})").alias(f"m{i}") for i, x in enumerate(_TERMS.values())]
+    row = fitted.agg(F.count("*").alias("n"), *means)
+    terms = X.long_form(
+        term=[X.literal(t) for t in _TERMS],
+        n_rows=["n"] * len(_TERMS),
+        mean_product=[f"round(m{i}, 3)" for i in range(len(_TERMS))],
+    )
+    return row.select(terms)
+
+
+@check("ml_test_scores")
+def ml_test_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, predicted = regression.fit_predict(_split(spark, sf_dir), FEATURES, taxi.ML_TARGET)
     return rounded(regression.regression_metrics(predicted, taxi.ML_TARGET, "prediction"))
 

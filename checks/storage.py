@@ -53,7 +53,12 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @check(
     "file_stats",
-    query(CLEAN, "SELECT year, month, CAST(1 AS BIGINT) AS n_files, count(*) AS n_rows, true AS has_size FROM clean GROUP BY year, month"),
+    query(
+        CLEAN,
+        """
+        SELECT year, month, CAST(1 AS BIGINT) AS n_files, count(*) AS n_rows, true AS has_size
+        FROM clean GROUP BY year, month""",
+    ),
 )
 def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = spark.read.parquet(_clean_lake(spark, sf_dir, "stats"))

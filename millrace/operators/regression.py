@@ -91,9 +91,8 @@ def moments(
     """
     names = [*features, label]
     offsets = list(shift or [0.0] * len(names))
-    centred = df.select(
-        *by, *((F.col(n).cast("double") - F.lit(float(o))).alias(f"_v{i}") for i, (n, o) in enumerate(zip(names, offsets)))
-    )
+    shifted = (F.col(n).cast("double") - F.lit(float(o)) for n, o in zip(names, offsets, strict=True))
+    centred = df.select(*by, *(column.alias(f"_v{i}") for i, column in enumerate(shifted)))
     vectors = VectorAssembler(inputCols=[f"_v{i}" for i in range(len(names))], outputCol="_x").transform(centred)
     terms = PolynomialExpansion(degree=2, inputCol="_x", outputCol="_terms").transform(vectors)
     # Grouping by a constant yields no row for no input, which the summarizer cannot sum.

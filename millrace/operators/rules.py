@@ -20,6 +20,7 @@ from millrace.functions import (
 
 REASON = "reject_reason"
 KEPT = "kept"
+# Names of rules, which become the names of the rejects' folders.
 NO_VALUE = "rows_all_columns_missing"
 NO_CRITICAL = "rows_missing_critical_columns"
 

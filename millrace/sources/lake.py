@@ -163,7 +163,11 @@ def compaction_report(spark: SparkSession, source: str, target: str, by: Sequenc
     before = file_stats(spark.read.parquet(source), by).alias("s")
     after = file_stats(spark.read.parquet(target), by).alias("t")
     match = reduce(and_, (F.col(f"s.{b}").eqNullSafe(F.col(f"t.{b}")) for b in by))
-    pairs = {f"{m}_{w}": F.coalesce(F.col(f"{t}.{m}"), F.lit(0)) for m in ("n_files", "n_rows", "size_mib") for t, w in (("s", "in"), ("t", "out"))}
+    pairs = {
+        f"{measure}_{way}": F.coalesce(F.col(f"{side}.{measure}"), F.lit(0))
+        for measure in ("n_files", "n_rows", "size_mib")
+        for side, way in (("s", "in"), ("t", "out"))
+    }
     return (
         before.join(after, match, "full")
         .select(

@@ -34,10 +34,11 @@ def ingest_available(
     """Process every file not seen before, then stop. Returns the last batch number.
 
     This is a staging area, laid out by batch and outcome only: months are formed once,
-    by ``publish``, instead of as small files in every batch. Each batch owns the directory ``batch=<id>`` and overwrites it, so a batch that is
-    replayed after a failure leaves its rows once. Kept and rejected rows go out in one
-    job. A batch's NULL counts are computed from what it stored and kept beside it, to
-    be merged into a profile of everything without reading the rows again.
+    by ``publish``, instead of as small files in every batch. Each batch owns the
+    directory ``batch=<id>`` and overwrites it, so a batch that is replayed after a
+    failure leaves its rows once. Kept and rejected rows go out in one job. A batch's
+    NULL counts are computed from what it stored and kept beside it, to be merged into
+    a profile of everything without reading the rows again.
     """
 
     def store(rows: DataFrame, batch_id: int) -> None:
@@ -81,9 +82,21 @@ def merged_profile(spark: SparkSession, root: str) -> DataFrame:
     return profile.merge_missing(partials, [c for c in partials.columns if c not in (profile.ROWS, BATCH)])
 
 
-def publish(spark: SparkSession, root: str, target: str, target_mib: int = lake.TARGET_MIB) -> None:
-    """Bring the batches' kept rows into one compact lake, in one job."""
-    lake.write_partitioned(stored_trips(spark, root), target, target_mib=target_mib, replace="static")
+def publish(
+    spark: SparkSession, root: str, target: str, since: int | None = None, target_mib: int = lake.TARGET_MIB
+) -> None:
+    """Bring the batches' kept rows into one compact lake, in one job.
+
+    With ``since``, only the months met by batches from that number on are rewritten,
+    each from all its rows in all batches; other months stay as they are.
+    """
+    rows = stored_trips(spark, root)
+    if since is None:
+        lake.write_partitioned(rows, target, target_mib=target_mib, replace="static")
+        return
+    recent = stored_rows(spark, root).where((F.col(OUTCOME) == rules.KEPT) & (F.col(BATCH) >= since))
+    touched = recent.select(*lake.MONTHLY).distinct()
+    lake.write_partitioned(rows.join(touched, list(lake.MONTHLY), "left_semi"), target, target_mib=target_mib)
 
 
 def learn_available(

@@ -99,6 +99,9 @@ def test_incremental_equals_one_run(spark, month_files, tmp_path):
         shutil.copy(f"{month_files}/{name}", landing)
     assert ingest() == 1
     half = incremental.stored_rows(spark, root).count()
+    target = str(tmp_path / "lake")
+    incremental.publish(spark, root, target)
+    early = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{target}/*/*/*.parquet")}
     ingest()  # nothing new
     assert incremental.stored_rows(spark, root).count() == half
     for name in files[4:]:
@@ -110,7 +113,10 @@ def test_incremental_equals_one_run(spark, month_files, tmp_path):
     whole = profile.profile_missing(rules.kept(tagged), taxi.CONTRACT.names).collect()
     assert incremental.merged_profile(spark, root).collect() == whole
 
-    target = str(tmp_path / "lake")
+    incremental.publish(spark, root, target, since=2)
+    assert _digest(spark.read.parquet(target)) == _digest(rules.kept(tagged))
+    # The months of the first batches were left alone.
+    assert {f: os.stat(f).st_mtime_ns for f in early} == early
     for _ in range(2):
         incremental.publish(spark, root, target)
     assert _digest(spark.read.parquet(target)) == _digest(rules.kept(tagged))
