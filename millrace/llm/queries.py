@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, pieces, quality
-from millrace.llm.tables import read, remainder
+from millrace.llm import decontaminate, pieces, quality, surrogates
+from millrace.llm.tables import importable, read, remainder
 
 #: A vocabulary file of a public SentencePiece model.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Of the registered queries; an application passes its own secret.
+SURROGATE_KEY = "millrace checks"
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +36,22 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_sentencepiece, op4_quality)
-}
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymise(read(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "text", "n_entities")
+
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _ready(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {f.__name__: _ready(f) for f in (op1_decontaminate, op2_sentencepiece, op4_quality, op8_surrogates)}
 
 #: DuckDB tests windows as joined texts of words, so no hash is shared with the operator.
 OP1_SQL = r"""
