@@ -52,7 +52,18 @@ PATTERNS: dict[str, str] = {
     "phone": r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\d)",
     "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.?[ ]\p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+)?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+
+
+def _any(*kinds: str) -> str:
+    return "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
+
+
+#: All kinds, behind cheap tests of where and with what a match can begin.
+ANY = (
+    rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9])(?:{_any('email', 'iban', 'access_key', 'secret')})"
+    rf"|(?=[\d+(])(?:{_any('ipv4', 'ssn', 'card', 'phone')})"
+    rf"|(?=[{''.join(sorted({t[0] for t in _TITLES.split('|')}))}])(?:{_any('name')})"
+)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -64,13 +75,13 @@ def chars(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
-def _keystream(key: str, kind: str, turn: Column, other: Column, sizes: Column, i: Column) -> Column:
+def _keystream(key: str, kind: Column, turn: Column, other: Column, sizes: Column, i: Column) -> Column:
     block = F.floor(i / 16)
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn, block, F.array_join(other, ","), F.array_join(sizes, ",")), 256)
+    digest = F.sha2(F.concat_ws("|", F.lit(key), kind, turn, block, F.array_join(other, ","), F.array_join(sizes, ",")), 256)
     return F.conv(F.substr(digest, (i % 16) * 4 + 1, F.lit(4)), 16, 10).cast("int")
 
 
-def feistel(values: Column, sizes: Column, key: str, kind: str) -> Column:
+def feistel(values: Column, sizes: Column, key: str, kind: Column) -> Column:
     """A keyed bijection of the arrays with 0 <= values[i] < sizes[i]."""
     half = F.floor(F.size(values) / 2).cast("int")
     rest = F.size(values) - half
@@ -87,72 +98,45 @@ def feistel(values: Column, sizes: Column, key: str, kind: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
 
 
-def permute(text: Column, alphabet: Callable[[Column, Column], Column], key: str, kind: str) -> Column:
-    """``text`` with each character moved within its alphabet (lower case; '' leaves it); case is kept."""
-
-    def rebuilt(cells: Column) -> Column:
-        moving = F.filter(cells, lambda c: c["a"] != "")
-        values = F.transform(moving, lambda c: (F.instr(c["a"], F.lower(c["c"])) - 1).cast("int"))
-        sizes = F.transform(moving, lambda c: F.length(c["a"]).cast("int"))
+def alphabet_of(kind: Column, c: Column, i: Column, cells: Column) -> Column:
+    """Lower-case characters that the i-th character of a part may become; '' for one that stays."""
+    low = F.lower(c)
+    own = F.when(low.rlike("^[0-9]$"), F.lit(DIGITS)).when(low.rlike("^[a-z]$"), F.lit(LATIN)).when(low.rlike("^[а-я]$"), F.lit(CYRILLIC)).otherwise(F.lit(""))
+    digit = (c >= "0") & (c <= "9")
+    n = F.size(F.filter(cells, lambda x: (x >= "0") & (x <= "9")))
+    # A phone number keeps what stands before its last ten digits; area and exchange begin with 2 to 9.
+    rank = F.size(F.filter(F.slice(cells, 1, i + 1), lambda x: (x >= "0") & (x <= "9"))) - F.when(n >= 10, n - 10).otherwise(2)
+    phone = F.when(~digit | (rank < 1), F.lit("")).when(rank.isin(1, 4) & (c >= "2") & (n >= 10), F.lit("23456789")).otherwise(F.lit(DIGITS))
+    return F.when(kind == "hex", F.lit(HEX)).when(kind == "phone", phone).when((kind == "card") & (i == 0), F.lit("")).otherwise(own)
 
-        def put(new: Column) -> Column:
-            def add(acc: Column, c: Column) -> Column:
-                letter = F.substr(c["a"], F.get(new, acc["i"]) + 1, F.lit(1))
-                cased = F.when(F.lower(c["c"]) != c["c"], F.upper(letter)).otherwise(letter)
-                return F.when(c["a"] == "", F.struct(F.concat(acc["s"], c["c"]).alias("s"), acc["i"].alias("i"))).otherwise(F.struct(F.concat(acc["s"], cased).alias("s"), (acc["i"] + 1).alias("i")))
 
-            return F.aggregate(cells, F.struct(F.lit("").alias("s"), F.lit(0).alias("i")), add, lambda acc: acc["s"])
+def permute(text: Column, kind: Column, key: str) -> Column:
+    """``text`` with each character moved within its alphabet; case and all other characters are kept."""
 
-        return let(feistel(values, sizes, key, kind), put)
-
-    def cells(cs: Column) -> Column:
+    def celled(cs: Column) -> Column:
         def cell(c: Column, i: Column) -> Column:
-            a = alphabet(c, i)
+            a = alphabet_of(kind, c, i, cs)
             return F.struct(c.alias("c"), F.when(F.instr(a, F.lower(c)) > 0, a).otherwise(F.lit("")).alias("a"))
 
         return F.transform(cs, cell)
 
-    return F.when(F.length(text) > 0, let(cells(chars(text)), rebuilt)).otherwise(text)
-
-
-def by_class(c: Column, _: Column) -> Column:
-    """Digits, Latin and Cyrillic letters each within their own; anything else stays."""
-    low = F.lower(c)
-    return F.when(low.rlike("^[0-9]$"), F.lit(DIGITS)).when(low.rlike("^[a-z]$"), F.lit(LATIN)).when(low.rlike("^[а-я]$"), F.lit(CYRILLIC)).otherwise(F.lit(""))
-
-
-def _secret(text: Column, key: str) -> Column:
-    head = F.regexp_extract(text, r"^(\w+\s*[=:]\s*[\"']?)(.*)$", 1)
-    value = F.regexp_extract(text, r"^(\w+\s*[=:]\s*[\"']?)(.*)$", 2)
-    hexadecimal = value.rlike("^[0-9a-f]+$")
-    return F.concat(head, F.when(hexadecimal, permute(value, lambda c, i: F.lit(HEX), key, "hex")).otherwise(permute(value, by_class, key, "secret")))
-
-
-def _email(text: Column, key: str) -> Column:
-    local, domain = F.substring_index(text, "@", 1), F.substring_index(text, "@", -1)
-    top = F.regexp_extract(domain, r"(\.[A-Za-z]+)$", 1)
-    reserved = F.regexp_extract(F.lower(domain), r"((?:^|\.)example\.(?:com|net|org))$", 1)
-    kept = F.when(F.length(reserved) > 0, F.substr(domain, F.length(domain) - F.length(reserved) + 1)).otherwise(top)
-    labels = F.substr(domain, F.lit(1), F.length(domain) - F.length(kept))
-    return F.concat(permute(local, by_class, key, "local"), F.lit("@"), permute(labels, by_class, key, "domain"), kept)
-
-
-def _ipv4(text: Column, key: str) -> Column:
-    octets = F.transform(F.split(text, r"\."), lambda x: x.cast("int"))
-    return F.array_join(feistel(octets, F.array(*[F.lit(256)] * 4), key, "ipv4"), ".")
+    def moved(cells: Column) -> Column:
+        def start(moving: Column) -> Column:
+            values = F.transform(moving, lambda m: (F.instr(m["a"], F.lower(m["c"])) - 1).cast("int"))
+            return feistel(values, F.transform(moving, lambda m: F.length(m["a"]).cast("int")), key, kind)
 
+        def put(new: Column) -> Column:
+            def add(acc: Column, x: Column) -> Column:
+                letter = F.substr(x["a"], F.get(new, acc["i"]) + 1, F.lit(1))
+                cased = F.when(F.lower(x["c"]) != x["c"], F.upper(letter)).otherwise(letter)
+                stays = x["a"] == ""
+                return F.struct(F.concat(acc["s"], F.when(stays, x["c"]).otherwise(cased)).alias("s"), (acc["i"] + F.when(stays, 0).otherwise(1)).alias("i"))
 
-def _phone(text: Column, key: str) -> Column:
-    digits = F.length(F.regexp_replace(text, r"\D", ""))
-    fixed = F.when(digits >= 10, digits - 10).otherwise(2)
+            return F.aggregate(cells, F.struct(F.lit("").alias("s"), F.lit(0).alias("i")), add, lambda acc: acc["s"])
 
-    def alphabet(c: Column, i: Column) -> Column:
-        rank = F.length(F.regexp_replace(F.substr(text, F.lit(1), i + 1), r"\D", "")) - fixed
-        # The first digits of area and exchange run from 2 to 9.
-        leading = rank.isin(1, 4) & (c >= "2") & (digits >= 10)
-        return F.when((c < "0") | (c > "9") | (rank < 1), F.lit("")).when(leading, F.lit("23456789")).otherwise(F.lit(DIGITS))
+        return let(let(F.filter(cells, lambda m: m["a"] != ""), start), put)
 
-    return permute(text, alphabet, key, "phone")
+    return let(let(chars(text), celled), moved)
 
 
 def luhn(text: Column) -> Column:
@@ -166,57 +150,73 @@ def luhn(text: Column) -> Column:
     return F.aggregate(F.transform(digits, worth), F.lit(0), lambda a, x: (a + x) % 10)
 
 
-def _card(text: Column, key: str) -> Column:
-    body, last = F.substr(text, F.lit(1), F.length(text) - 1), F.substr(text, F.length(text), F.lit(1)).cast("int")
-    moved = permute(body, lambda c, i: F.when((i > 0) & (c >= "0") & (c <= "9"), F.lit(DIGITS)).otherwise(F.lit("")), key, "card")
-    return let(moved, lambda m: F.concat(m, F.pmod(last + luhn(text) - luhn(F.concat(m, last.cast("string"))), F.lit(10)).cast("string")))
+def _parts(*pairs: tuple[str | Column, Column | str]) -> Column:
+    def lit(x: Column | str) -> Column:
+        return F.lit(x) if isinstance(x, str) else x
 
+    return F.array(*[F.struct(lit(kind).alias("kind"), lit(text).alias("text")) for kind, text in pairs])
+
+
+def _email(text: Column) -> Column:
+    domain = F.substring_index(text, "@", -1)
+    reserved = r"((?:^|\.)(?i:example\.(?:com|net|org)))$"
+    kept = F.regexp_extract(domain, r"((?:^|\.)(?i:example\.(?:com|net|org))|\.[A-Za-z]+)$", 1)
+    kept = F.when(domain.rlike(reserved), F.regexp_extract(domain, reserved, 1)).otherwise(kept)
+    labels = F.substr(domain, F.lit(1), F.length(domain) - F.length(kept))
+    return _parts(("local", F.substring_index(text, "@", 1)), ("fixed", "@"), ("domain", labels), ("fixed", kept))
 
-def _iban(text: Column, key: str) -> Column:
-    country = F.substr(text, F.lit(1), F.lit(2))
-    moved = permute(F.substr(text, F.lit(5)), by_class, key, "iban")
 
-    def with_check(body: Column) -> Column:
-        def add(acc: Column, c: Column) -> Column:
-            v = F.instr(F.lit(DIGITS + LATIN), F.lower(c)) - 1
-            return F.when(v > 9, (acc * 100 + v) % 97).otherwise((acc * 10 + v) % 97).cast("int")
+def _secret(text: Column) -> Column:
+    rule = r"^(\w+\s*[=:]\s*[\"']?)(.*)$"
+    value = F.regexp_extract(text, rule, 2)
+    return _parts(("fixed", F.regexp_extract(text, rule, 1)), (F.when(value.rlike("^[0-9a-f]+$"), "hex").otherwise("secret"), value))
 
-        left = F.aggregate(chars(F.concat(body, country, F.lit("00"))), F.lit(0), add)
-        return F.concat(country, F.lpad((98 - left).cast("string"), 2, "0"), body)
 
-    return let(moved, with_check)
+def _known() -> Column:
+    return F.array(*[F.lit(n) for names in GIVEN.values() for n in names])
+
+
+def _name(text: Column) -> Column:
+    """A known given name is one part; any other word keeps the ending that marks gender."""
+    rule = r"^(\S+ )(\p{L}+)(?:([ -])(\p{L}+))?$"
+    title, first, gap, second = (F.regexp_extract(text, rule, i) for i in (1, 2, 3, 4))
+
+    def ending(word: Column) -> Column:
+        return F.when(word.rlike("[а-яА-Я]") & (F.length(word) > 4), 3).otherwise(1)
+
+    def word(kind: str, w: Column, whole: Column) -> list[tuple[str | Column, Column | str]]:
+        cut = F.length(w) - F.when(whole, 0).otherwise(ending(w))
+        return [(F.when(whole, "known").otherwise(kind), F.substr(w, F.lit(1), cut)), ("fixed", F.substr(w, cut + 1))]
+
+    return _parts(("fixed", title), *word("given", first, F.array_contains(_known(), first)), ("fixed", gap), *word("family", second, F.lit(False)))
 
 
 def _shifted(name: Column, key: str) -> Column:
-    """A known given name moves within its list by an amount that the key gives; null for any other."""
-    found = F.lit(None).cast("string")
+    """A known given name moves within its list by an amount that the key gives."""
+    found = name
     for (script, gender), names in GIVEN.items():
-        pool = F.array(*[F.lit(n) for n in names])
         shift = F.pmod(F.xxhash64(F.lit(key), F.lit(script), F.lit(gender)), F.lit(len(names) - 1)) + 1
+        pool = F.array(*[F.lit(n) for n in names])
         at = F.array_position(pool, name)
         found = F.when(at > 0, F.element_at(pool, (F.pmod(at - 1 + shift, F.lit(len(names))) + 1).cast("int"))).otherwise(found)
     return found
 
 
-def _word(name: Column, key: str, kind: str) -> Column:
-    """An unknown name keeps the ending that marks gender: three letters in Cyrillic, one in Latin."""
-    ending = F.when(name.rlike("[а-яА-Я]") & (F.length(name) > 4), 3).otherwise(1)
-    stem = F.substr(name, F.lit(1), F.length(name) - ending)
-    return F.concat(permute(stem, by_class, key, kind), F.substr(name, F.length(name) - ending + 1))
+def _with_luhn(text: Column, body: Column) -> Column:
+    """The last digit that leaves the whole number's Luhn sum as it was."""
+    last = F.substr(text, F.length(text), F.lit(1)).cast("int")
+    return F.concat(body, F.pmod(last + luhn(text) - luhn(F.concat(body, last.cast("string"))), F.lit(10)).cast("string"))
 
 
-def _name(text: Column, key: str) -> Column:
-    rule = r"^(\S+ )(\p{L}+)(?:([ -])(\p{L}+))?$"
-    title, first, gap, second = (F.regexp_extract(text, rule, i) for i in (1, 2, 3, 4))
-    known = F.array(*[F.lit(n) for names in GIVEN.values() for n in names])
+def _with_iban_check(text: Column, body: Column) -> Column:
+    country = F.substr(text, F.lit(1), F.lit(2))
 
-    def unknown(name: Column) -> Column:
-        """Moved once more if it lands on a known name, so that none of those is hit twice."""
-        return let(_word(name, key, "given"), lambda a: F.when(F.array_contains(known, a), _word(a, key, "given")).otherwise(a))
+    def add(acc: Column, c: Column) -> Column:
+        v = F.instr(F.lit(DIGITS + LATIN), F.lower(c)) - 1
+        return F.when(v > 9, (acc * 100 + v) % 97).otherwise((acc * 10 + v) % 97).cast("int")
 
-    given = F.coalesce(_shifted(first, key), unknown(first))
-    alone = F.length(second) == 0
-    return F.when(alone, F.concat(title, F.coalesce(_shifted(first, key), _word(first, key, "family")))).otherwise(F.concat(title, given, gap, _word(second, key, "family")))
+    left = F.aggregate(chars(F.concat(body, country, F.lit("00"))), F.lit(0), add)
+    return F.concat(country, F.lpad((98 - left).cast("string"), 2, "0"), body)
 
 
 def kind_of(entity: Column) -> Column:
@@ -228,17 +228,31 @@ def kind_of(entity: Column) -> Column:
 
 
 def surrogate(entity: Column, key: str) -> Column:
-    makers: dict[str, Callable[[Column, str], Column]] = {
-        "email": _email, "ipv4": _ipv4, "iban": _iban, "secret": _secret, "card": _card, "phone": _phone, "name": _name,
-        "access_key": lambda e, k: F.concat(F.lit("AKIA"), permute(F.substr(e, F.lit(5)), by_class, k, "access_key")),
-        "ssn": lambda e, k: permute(e, by_class, k, "ssn"),
-    }
+    """The replacement of an entity (of any text that ``kind_of`` knows; others stay)."""
+
+    def of_part(part: Column) -> Column:
+        """A part of unknown given names is moved on while it lands on a known one, so none of those is hit twice."""
+        again = lambda x: (part["kind"] == "given") & F.array_contains(_known(), x)
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(3)), part["text"], lambda x, i: F.when((i == 1) | again(x), permute(x, part["kind"], key)).otherwise(x))
+        return F.when((part["kind"] == "fixed") | (part["text"] == ""), part["text"]).when(part["kind"] == "known", _shifted(part["text"], key)).otherwise(walked)
 
     def made(kind: Column) -> Column:
-        out = entity
-        for name, make in makers.items():
-            out = F.when(kind == name, make(entity, key)).otherwise(out)
-        return out
+        parts = (
+            F.when(kind == "email", _email(entity))
+            .when(kind == "secret", _secret(entity))
+            .when(kind == "name", _name(entity))
+            .when(kind == "card", _parts(("card", F.substr(entity, F.lit(1), F.length(entity) - 1))))
+            .when(kind == "iban", _parts(("iban", F.substr(entity, F.lit(5)))))
+            .when(kind == "access_key", _parts(("fixed", "AKIA"), ("access_key", F.substr(entity, F.lit(5)))))
+            .otherwise(_parts((kind, entity)))
+        )
+
+        def whole(text: Column) -> Column:
+            return F.when(kind == "card", _with_luhn(entity, text)).when(kind == "iban", _with_iban_check(entity, text)).otherwise(text)
+
+        octets = F.transform(F.split(entity, r"\."), lambda x: x.cast("int"))
+        address = F.array_join(feistel(octets, F.array(*[F.lit(256)] * 4), key, F.lit("ipv4")), ".")
+        return F.when(kind.isNull(), entity).when(kind == "ipv4", address).otherwise(let(F.array_join(F.transform(parts, of_part), ""), whole))
 
     return let(kind_of(entity), made)
 
@@ -250,8 +264,7 @@ def is_entity(match: Column) -> Column:
 
 def entities(text: Column) -> Column:
     """All entities of a text in order; null has none."""
-    found = F.filter(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), is_entity)
-    return F.when(text.rlike(ANY), found).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY), F.lit(0)), is_entity)
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
@@ -260,12 +273,12 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     Null text stays null, with 0 entities. Empty texts, repeated rows and empty tables need no special case.
     A column n_entities of the input is replaced.
     """
-    text = F.col("text")
-    rest = F.split(text, ANY, -1)
-    replaced = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda e: F.when(is_entity(e), surrogate(e, key)).otherwise(e))
-    woven = F.array_join(F.zip_with(rest, replaced, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    hit = text.rlike(ANY)
-    return docs.withColumns({"text": F.when(hit, woven).otherwise(text), "n_entities": F.size(entities(text))})
+    text, found = F.col("text"), F.col("__found")
+    replaced = F.transform(found, lambda e: F.when(is_entity(e), surrogate(e, key)).otherwise(e))
+    woven = F.array_join(F.zip_with(F.split(text, ANY, -1), replaced, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    count = F.coalesce(F.size(F.filter(found, is_entity)), F.lit(0))
+    once = docs.withColumn("__found", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY), F.lit(0)))
+    return once.withColumns({"text": F.when(F.size(found) > 0, woven).otherwise(text), "n_entities": count}).drop("__found")
 
 
 def collisions(docs: DataFrame, key: str) -> DataFrame:
