@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, pieces, quality, surrogates
+from millrace.llm import bagminhash, decontaminate, pieces, quality, surrogates
 from millrace.llm.tables import importable, read, remainder
 
 #: A vocabulary file of a public SentencePiece model.
@@ -40,6 +40,10 @@ def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(read(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "text", "n_entities")
 
 
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -51,7 +55,7 @@ def _ready(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {f.__name__: _ready(f) for f in (op1_decontaminate, op2_sentencepiece, op4_quality, op8_surrogates)}
+QUERIES: dict[str, Query] = {f.__name__: _ready(f) for f in (op1_decontaminate, op2_sentencepiece, op4_quality, op8_surrogates, op10_bagminhash)}
 
 #: DuckDB tests windows as joined texts of words, so no hash is shared with the operator.
 OP1_SQL = r"""
