@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bagminhash, decontaminate, pieces, quality, surrogates
+from millrace.llm import bagminhash, decontaminate, language, pieces, quality, surrogates
 from millrace.llm.tables import importable, read, remainder
 
 #: A vocabulary file of a public SentencePiece model.
@@ -30,6 +30,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "n_byte_tokens", pieces.ids_digest().alias("ids_sha256"), "round_trip", "parity")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.learn(docs.where(remainder("doc_id", 4) != 2))
+    return language.identify(docs, model, ("doc_id", (remainder("doc_id", 4) == 2).alias("held_out")))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
     scored = quality.classify(read(spark, sf_dir, "documents"), labels)
@@ -55,7 +61,7 @@ def _ready(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {f.__name__: _ready(f) for f in (op1_decontaminate, op2_sentencepiece, op4_quality, op8_surrogates, op10_bagminhash)}
+QUERIES: dict[str, Query] = {f.__name__: _ready(f) for f in (op1_decontaminate, op2_sentencepiece, op3_language, op4_quality, op8_surrogates, op10_bagminhash)}
 
 #: DuckDB tests windows as joined texts of words, so no hash is shared with the operator.
 OP1_SQL = r"""
