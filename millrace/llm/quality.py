@@ -38,7 +38,7 @@ def statistics(block: W.Block) -> np.ndarray:
     """A row of NAMES for each text of the block."""
     data, n = block.data, block.last - block.first
     length = np.diff(block.offsets).astype(np.float64)
-    words = W.split(block, SPACED)
+    words = W.split(block, W.SPACED)
     count = words.counts.astype(np.float64)
 
     def per_text(values: np.ndarray) -> np.ndarray:
@@ -82,9 +82,6 @@ def statistics(block: W.Block) -> np.ndarray:
     return np.stack(columns, axis=1).astype(np.float32)
 
 
-SPACED = W.byte_table(bytes([0x20, *range(9, 14)]))
-
-
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash and the statistics (array<float>) of each row's whole text; null is empty."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bagminhash, decontaminate, language, pieces, quality, surrogates
+from millrace.llm import backoff, bagminhash, decontaminate, language, pieces, quality, surrogates
 from millrace.llm.tables import importable, read, remainder
 
 #: A vocabulary file of a public SentencePiece model.
@@ -42,6 +42,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model, counts = backoff.learn(docs.where(remainder("doc_id", 5) != 1))
+    scored = backoff.score(docs, model, counts)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(read(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "text", "n_entities")
 
@@ -61,7 +68,7 @@ def _ready(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {f.__name__: _ready(f) for f in (op1_decontaminate, op2_sentencepiece, op3_language, op4_quality, op8_surrogates, op10_bagminhash)}
+QUERIES: dict[str, Query] = {f.__name__: _ready(f) for f in (op1_decontaminate, op2_sentencepiece, op3_language, op4_quality, op7_backoff, op8_surrogates, op10_bagminhash)}
 
 #: DuckDB tests windows as joined texts of words, so no hash is shared with the operator.
 OP1_SQL = r"""

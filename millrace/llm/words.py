@@ -19,15 +19,20 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def byte_table(separators: bytes, lower: bool = True) -> np.ndarray:
-    """256 entries: the (lower-cased) byte, or 0 for a byte that separates words."""
+    """256 entries: the (lower-cased) byte, or 0 for a byte that separates words.
+
+    A NUL that does not separate becomes 0xFF, which UTF-8 never has.
+    """
     table = np.arange(256, dtype=np.uint8)
     if lower:
         table[ord("A") : ord("Z") + 1] += 32
+    table[0] = 255
     table[list(separators)] = 0
-    table[0] = 0
     return table
 
 
+#: Words of [^\x20\x09-\x0D]+ after lower-casing A-Z.
+SPACED = byte_table(bytes([0x20, *range(9, 14)]))
 #: Words of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z: digits, a-z and all non-ASCII.
 ALNUM = byte_table(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
