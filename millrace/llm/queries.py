@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import backoff, bagminhash, decontaminate, language, pieces, quality, surrogates
+from millrace.llm import backoff, bagminhash, decontaminate, language, pieces, quality, surrogates, warc
 from millrace.llm.tables import importable, read, remainder
 
 #: A vocabulary file of a public SentencePiece model.
@@ -42,6 +42,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model, counts = backoff.learn(docs.where(remainder("doc_id", 5) != 1))
@@ -68,7 +72,7 @@ def _ready(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {f.__name__: _ready(f) for f in (op1_decontaminate, op2_sentencepiece, op3_language, op4_quality, op7_backoff, op8_surrogates, op10_bagminhash)}
+QUERIES: dict[str, Query] = {f.__name__: _ready(f) for f in (op1_decontaminate, op2_sentencepiece, op3_language, op4_quality, op5_warc, op7_backoff, op8_surrogates, op10_bagminhash)}
 
 #: DuckDB tests windows as joined texts of words, so no hash is shared with the operator.
 OP1_SQL = r"""
@@ -89,4 +93,12 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL.strip()}
+OP5_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+  f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""
+
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL.strip(), "op5_warc": OP5_SQL.strip()}
