@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import backoff, bagminhash, decontaminate, language, neighbours, pieces, quality, surrogates, warc
+from millrace.llm import backoff, bagminhash, decontaminate, language, neighbours, passages, pieces, quality, surrogates, warc
 from millrace.llm.tables import importable, read, remainder
 
 #: A vocabulary file of a public SentencePiece model.
@@ -61,6 +61,11 @@ def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymise(read(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "text", "n_entities")
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_repeated", "n_removable", F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["stop"])).alias("spans"), "partner")
+
+
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
@@ -76,7 +81,7 @@ def _ready(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {f.__name__: _ready(f) for f in (op1_decontaminate, op2_sentencepiece, op3_language, op4_quality, op5_warc, op6_neighbours, op7_backoff, op8_surrogates, op10_bagminhash)}
+QUERIES: dict[str, Query] = {f.__name__: _ready(f) for f in (op1_decontaminate, op2_sentencepiece, op3_language, op4_quality, op5_warc, op6_neighbours, op7_backoff, op8_surrogates, op9_passages, op10_bagminhash)}
 
 #: DuckDB tests windows as joined texts of words, so no hash is shared with the operator.
 OP1_SQL = r"""
