@@ -195,11 +195,11 @@ def score(docs: DataFrame, model: Automaton, counts: DataFrame) -> DataFrame:
                 ids = place(auto.hashes, h)
                 logs, unlisted = auto.walk(doc, ids)
                 listed = ~unlisted
-                base = np.bincount(doc[listed], auto.base[ids[listed]], minlength=k)
+                base = np.bincount(doc[listed], auto.base[ids[listed]], minlength=k).astype(np.float64)
                 many = np.bincount(doc, minlength=k)
                 known = np.bincount(doc[listed], minlength=k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), batch.column(1).slice(block.first, k), pa.array(W.signed(W.mixed(own.astype(np.uint64)))), pa.array(np.zeros(k, np.int64)), pa.array(many), pa.array(known), pa.array(base), pa.array(np.bincount(doc, logs, minlength=k))], names=columns
+                    [pa.array(own), batch.column(1).slice(block.first, k), pa.array(W.signed(W.mixed(own.astype(np.uint64)))), pa.array(np.zeros(k, np.int64)), pa.array(many), pa.array(known), pa.array(base, pa.float64()), pa.array(np.bincount(doc, logs, minlength=k).astype(np.float64), pa.float64())], names=columns
                 )
                 pair = np.flatnonzero(unlisted)
                 if not len(pair):

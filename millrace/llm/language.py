@@ -134,9 +134,9 @@ def learn(training: DataFrame, fit_rows: int = 800, clusters: int = 4, reject_sh
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("text")
         parts = [x[has] for _, x, has in vectors(pa.array(rows["text"], pa.string()))]
-        x = weighted(np.concatenate(parts), idf)
+        x = weighted(np.concatenate(parts), idf) if parts else np.empty((0, PLACES))
         if not len(x):
-            return pd.DataFrame({"lang": [], "centre": [], "floor": []})
+            return pd.DataFrame({"lang": [], "centre": [], "floor": []}, dtype=object)
         centres = cluster(x, clusters)
         near = (x @ centres.T).max(axis=1)
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "centre": [c.astype(np.float32) for c in centres], "floor": float(np.quantile(near, reject_share))})
