@@ -9,8 +9,8 @@ in part are thinned by their level, so texts with different weights of an elemen
 the smaller one. A process runs only until it passes the largest time of its text's signature.
 
 Texts with equal words are one class from the start, so thousands of copies cost one signature's bands.
-Buckets of equal bands are compared star-wise: a leader with every member not yet in its component, then
-more leaders among what is left, until no bucket holds two components with a pair that was not compared.
+Buckets of equal bands are compared star-wise, a leader with every member; buckets that still hold several
+components have all pairs across them compared, in bounded blocks where they are large, without writing pairs.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
@@ -179,39 +180,112 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return found.join(needed.select("content"), "content", "left_semi").dropDuplicates(["content"])
 
 
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose multisets overlap enough."""
+    left, right = (sets.select(F.col("content").alias(k), F.col("elements").alias(e)) for k, e in (("a", "x"), ("b", "y")))
+    both = pairs.join(left, "a").join(right, "b")
+    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
+    return common.where(F.col("common") >= similarity * (F.col("total") - F.col("common"))).select("a", "b")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the left sets shares with each of the right ones.
+
+    Elements of few sets are counted pair by pair, frequent ones by products of 0/1 matrices.
+    """
+    n, m = len(left), len(right)
+    owner = np.concatenate([np.full(len(x), i) for i, x in enumerate([*left, *right])] or [np.empty(0, np.int64)]).astype(np.int64)
+    _, code, count = np.unique(np.concatenate([*left, *right] or [np.empty(0, np.int64)]), return_inverse=True, return_counts=True)
+    order = np.lexsort((owner, code))
+    code, owner = code[order], owner[order]
+    out = np.zeros((n, m), np.int64)
+    start = np.cumsum(count) - count
+    for c in range(2, 9):
+        at = start[count == c]
+        group = owner[at[:, None] + np.arange(c)]
+        for i in range(c):
+            for j in range(i + 1, c):
+                a, b = group[:, i], group[:, j]
+                ok = (a < n) & (b >= n)
+                out += np.bincount(a[ok] * m + b[ok] - n, minlength=n * m).reshape(n, m)
+    many = np.flatnonzero(count > 8)
+    for i in range(0, len(many), 2048):
+        part = many[i : i + 2048]
+        dense = np.zeros((n + m, len(part)), np.float32)
+        size = count[part]
+        at = np.repeat(start[part], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        dense[owner[at], np.repeat(np.arange(len(part)), size)] = 1
+        out += (dense[:n] @ dense[n:].T).astype(np.int64)
+    return out
+
+
+BLOCK_ELEMENTS = 250_000
+SMALL = 12
+
+
+def _across(members: DataFrame, similarity: float) -> DataFrame:
+    """Links between components inside large buckets: rows (bucket, content, comp, n, elements).
+
+    A bucket is cut into blocks of about BLOCK_ELEMENTS elements by a hash; every two blocks meet in one task,
+    which compares all their sets and returns one link for each two components it joins, not all pairs.
+    """
+    blocks = members.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK_ELEMENTS).cast("int").alias("blocks"))
+    own = members.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("content", "bucket"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "content", "comp", "elements")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["own", "content"], ignore_index=True)
+        left = rows[rows["own"] == rows["i"]]
+        right = rows[rows["own"] == rows["j"]]
+        empty = pd.DataFrame({"a": [], "b": []})
+        if not len(left) or not len(right):
+            return empty
+        common = overlaps(left["elements"].tolist(), right["elements"].tolist())
+        total = left["elements"].map(len).to_numpy()[:, None] + right["elements"].map(len).to_numpy()[None, :]
+        comp = pd.factorize(pd.concat([left["comp"], right["comp"]]))[0]
+        a, b = np.nonzero((common >= similarity * (total - common)) & (comp[: len(left), None] != comp[None, len(left) :]))
+        if not len(a):
+            return empty
+        two = np.sort(np.stack((comp[a], comp[len(left) + b]), axis=1), axis=1)
+        first = np.unique(two, axis=0, return_index=True)[1]
+        return pd.DataFrame({"a": left["content"].to_numpy()[a[first]], "b": right["content"].to_numpy()[b[first]]})
+
+    return met.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary")
+
+
 def links(docs: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Verified links (a, b) between contents: enough of them to tell the components, not all pairs.
 
-    ``classes`` is stored and has content, key (of a row that holds it), n and bands.
+    ``classes`` is stored and has content, key (of a row that holds it), n and bands. In a bucket the member that
+    shares most buckets with others (near the middle of its group) leads and is compared with all. What is left in
+    several components after that is compared pair by pair: small buckets by a join, larger ones in blocks.
     """
-    spark = docs.sparkSession
-    rows = classes.select(F.explode("bands").alias("bucket"), "content", "n", F.col("content").alias("comp"))
-    found: DataFrame | None = None
-    sets: DataFrame | None = None
-    leaders = 1.0
-    while True:
-        busy = rows.groupBy("bucket").agg(F.min("content").alias("first"), F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        live = durable(rows.join(busy.select("bucket", "first", "size"), "bucket"), "buckets")
-        if live.isEmpty():
-            break
-        if sets is None:  # all that may be compared is in a bucket with another
-            needed = classes.join(live.select("content").distinct(), "content", "left_semi").select("content", "key")
-            sets = durable(_sets(docs, needed), "sets")
-        draw = F.pmod(F.xxhash64("content", "bucket"), F.lit(1 << 30)) / (1 << 30)
-        leads = live.where((F.col("content") == F.col("first")) | (draw * F.col("size") < leaders - 1))
-        left = leads.select("bucket", F.col("content").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-        right = live.select("bucket", F.col("content").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-        near = (F.col("comp_a") != F.col("comp_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-        pairs = left.join(right, "bucket").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        both = pairs.join(sets.select(F.col("content").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("content").alias("b"), F.col("elements").alias("y")), "b")
-        common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
-        new = durable(common.where(F.col("common") >= similarity * (F.col("total") - F.col("common"))).select("a", "b"), "near")
-        found = new if found is None else found.unionByName(new)
-        label = components(found)
-        rest = live.join(leads.select("bucket", "content"), ["bucket", "content"], "left_anti").drop("comp", "first", "size")
-        rows = rest.join(label.select(F.col("node").alias("content"), "root"), "content", "left").select("bucket", "content", "n", F.coalesce("root", "content").alias("comp"))
-        leaders *= 8
-    return found if found is not None else spark.createDataFrame([], "a binary, b binary")
+    rows = classes.select(F.explode("bands").alias("bucket"), "content", "n")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    live = durable(rows.join(sizes, "bucket"), "buckets")
+    degree = live.groupBy("content").agg(F.sum("size").alias("degree"))
+    leads = live.join(degree, "content").groupBy("bucket").agg(F.max(F.struct("degree", "content"))["content"].alias("lead"), F.max_by("n", F.struct("degree", "content")).alias("n_lead"))
+    live = durable(live.join(leads, "bucket"), "led")
+    needed = classes.join(live.select("content").distinct(), "content", "left_semi").select("content", "key")
+    sets = durable(_sets(docs, needed), "sets")
+
+    def fits(a: str, b: str) -> Column:
+        return F.least(a, b) >= similarity * F.greatest(a, b)
+
+    stars = live.where((F.col("content") != F.col("lead")) & fits("n", "n_lead")).select(F.col("lead").alias("a"), F.col("content").alias("b")).distinct()
+    found = durable(_similar(stars, sets, similarity), "star-links")
+    label = components(found).select(F.col("node").alias("content"), "root")
+    rest = live.where("size > 2").join(label, "content", "left").withColumn("comp", F.coalesce("root", "content"))
+    split = rest.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("bucket")
+    rest = durable(rest.join(split, "bucket").where(F.col("content") != F.col("lead")).select("bucket", "content", "n", "comp", "size"), "rest")
+    few = rest.where(F.col("size") <= SMALL)
+    one, two = (few.select("bucket", F.col("content").alias(k), F.col("n").alias(f"n_{k}"), F.col("comp").alias(f"comp_{k}")) for k in "ab")
+    pairs = one.join(two, "bucket").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & fits("n_a", "n_b")).select("a", "b").distinct()
+    more = durable(_similar(pairs, sets, similarity), "pair-links")
+    large = rest.where(F.col("size") > SMALL).select("bucket", "content", "comp", "n").join(sets, "content")
+    most = durable(_across(large, similarity), "block-links")
+    return found.unionByName(more).unionByName(most)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
