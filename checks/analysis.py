@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from checks.registry import check
 from checks.sql import CLEAN, FEATURES, MODEL_ROWS, TRIPS, query
@@ -45,6 +45,28 @@ def profile_by_group_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(rounded(stats))
 
 
+@check(
+    "profile_median_rank",
+    query(
+        CLEAN,
+        "SELECT vendor_id, " + ", ".join(f"count({c}) > 0 AS {c}_ok" for c in taxi.PROFILED) + " FROM clean GROUP BY vendor_id",
+        "vendor_id",
+    ),
+)
+def profile_median_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default accuracy: as many values lie below and above the approximate median as it promises."""
+    rows = _clean(spark, sf_dir)
+    stats = profile.profile_by_group(rows, ["vendor_id"], taxi.PROFILED).withColumnRenamed("vendor_id", "_vendor")
+    both = rows.join(stats, rows["vendor_id"].eqNullSafe(stats["_vendor"]))
+    slack = 0.5 + 1 / 10_000
+
+    def close(c: str) -> Column:
+        n, m = F.count(c), F.col(f"{c}_median")
+        return ((F.count_if(F.col(c) < m) <= slack * n + 1) & (F.count_if(F.col(c) > m) <= slack * n + 1) & (n > 0)).alias(f"{c}_ok")
+
+    return flat(both.groupBy("vendor_id").agg(*(close(c) for c in taxi.PROFILED)))
+
+
 @check(
     "q1_monthly_payment",
     query(
@@ -403,9 +425,31 @@ def ml_linear_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select(terms)
 
 
-@check("ml_test_scores")
+@check(
+    "ml_test_scores",
+    query(
+        _MODEL_SPLIT
+        + """,
+        spread AS (
+          SELECT avg(trip_distance) AS m1, avg(fare_amount) AS m2, avg(tip_amount) AS my,
+                 var_pop(trip_distance) AS v1, var_pop(fare_amount) AS v2, covar_pop(trip_distance, fare_amount) AS c12,
+                 covar_pop(trip_distance, tip_amount) AS c1, covar_pop(fare_amount, tip_amount) AS c2
+          FROM split WHERE NOT is_test),
+        slopes AS (
+          SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2
+          FROM spread),
+        scored AS (
+          SELECT tip_amount AS y, my + b1 * (trip_distance - m1) + b2 * (fare_amount - m2) AS f
+          FROM split, slopes WHERE is_test)""",
+        """
+        SELECT count(*) AS n_rows, round(avg(abs(y - f)), 6) AS mae, round(sqrt(avg((y - f) * (y - f))), 6) AS rmse,
+               round(1 - sum((y - f) * (y - f)) / (var_pop(y) * count(*)), 6) AS r2
+        FROM scored""",
+    ),
+)
 def ml_test_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, predicted = regression.fit_predict(_split(spark, sf_dir), FEATURES, taxi.ML_TARGET)
+    """Scores on the held-out rows with two features, where the normal equations have a closed form."""
+    _, predicted = regression.fit_predict(_split(spark, sf_dir), ["trip_distance", "fare_amount"], taxi.ML_TARGET)
     return rounded(regression.regression_metrics(predicted, taxi.ML_TARGET, "prediction"))
 
 

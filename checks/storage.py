@@ -25,6 +25,13 @@ def _clean_lake(spark: SparkSession, sf_dir: str, label: str) -> str:
     return path
 
 
+def _two_layouts(rows: DataFrame, path: str) -> None:
+    """CSV files of two column orders in one folder."""
+    odd = F.pmod(F.xxhash64(*rows.columns), F.lit(2)) == 1
+    for part, names in ((rows.where(odd), rows.columns), (rows.where(~odd), rows.columns[::-1])):
+        part.select(*names).write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+
+
 @check(
     "csv_scan",
     query(
@@ -37,10 +44,9 @@ def _clean_lake(spark: SparkSession, sf_dir: str, label: str) -> str:
 )
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "csv")
-    rows = raw_trips(spark, sf_dir).drop("file_name")
-    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    _two_layouts(raw_trips(spark, sf_dir).drop("file_name"), path)
     return (
-        csv.csv_scan(spark, path)
+        csv.csv_scan(spark, path, mixed=True)
         .groupBy("store_and_fwd_flag", "payment_type")
         .agg(
             F.count("*").alias("n_rows"),
@@ -51,19 +57,37 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@check(
+    "csv_lost_cells",
+    """
+    SELECT * FROM (
+      SELECT 'vendor_id' AS column_name, count(*) FILTER (l_suppkey % 53 = 0) AS lost_values FROM lineitem UNION ALL
+      SELECT 'passenger_count', count(*) FILTER (l_partkey % 41 = 0) FROM lineitem UNION ALL
+      SELECT 'pickup_datetime', count(*) FILTER (l_orderkey % 101 = 0) FROM lineitem UNION ALL
+      SELECT 'metered_rate_tax', count(*) FILTER (l_partkey % 43 = 0) FROM lineitem)
+    WHERE lost_values > 0""",
+)
+def csv_lost_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "lost")
+    _two_layouts(raw_trips(spark, sf_dir).drop("file_name"), path)
+    lost = csv.lost_cells(spark, path, taxi.CONTRACT)
+    return lost.where("lost_values > 0").select("column_name", "lost_values")
+
+
 @check(
     "file_stats",
     query(
         CLEAN,
         """
-        SELECT year, month, CAST(1 AS BIGINT) AS n_files, count(*) AS n_rows, true AS has_size
+        SELECT year, month, true AS few_files, count(*) AS n_rows, true AS has_size
         FROM clean GROUP BY year, month""",
     ),
 )
 def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = spark.read.parquet(_clean_lake(spark, sf_dir, "stats"))
     stats = lake.file_stats(stored, lake.MONTHLY)
-    return flat(stats.withColumn("has_size", F.col("size_mib") > 0).drop("size_mib"))
+    few = F.col("n_files") <= F.ceil(F.col("size_mib") / lake.TARGET_MIB) + 1
+    return flat(stats.select("year", "month", few.alias("few_files"), "n_rows", (F.col("size_mib") > 0).alias("has_size")))
 
 
 @check(
@@ -149,7 +173,7 @@ def verify_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
     query(
         CLEAN,
         """
-        SELECT year, month, CAST(1 AS BIGINT) AS n_files_out, count(*) AS n_rows_in, count(*) AS n_rows_out, true AS ok
+        SELECT year, month, true AS few_files, count(*) AS n_rows_in, count(*) AS n_rows_out, true AS ok
         FROM clean GROUP BY year, month""",
     ),
 )
@@ -157,7 +181,8 @@ def compact_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scattered, compacted = scratch_path(spark, "scattered"), scratch_path(spark, "compacted")
     lake.write_partitioned(_clean(spark, sf_dir).repartition(4), scattered, gather=False)
     report = lake.compact_partitions(spark, scattered, compacted)
-    return flat(report.select("year", "month", "n_files_out", "n_rows_in", "n_rows_out", "ok"))
+    few = F.col("n_files_out") <= F.ceil(F.col("size_mib_out") / lake.TARGET_MIB) + 1
+    return flat(report.select("year", "month", few.alias("few_files"), "n_rows_in", "n_rows_out", "ok"))
 
 
 @check(
@@ -294,6 +319,23 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@check(
+    "incremental_publish",
+    query(CLEAN, "SELECT year, month, count(*) AS n_rows, sum(fare_amount) AS sum_fare FROM clean GROUP BY year, month"),
+)
+def incremental_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two arrivals of files, several batches each, published as they come."""
+    landing, root, checkpoint, target = (scratch_path(spark, label) for label in ("landing", "batches", "progress", "published"))
+    rows = trips(spark, sf_dir)
+    first = F.pmod(F.xxhash64(*rows.columns), F.lit(3)) == 0
+    for part in (rows.where(first), rows.where(~first)):
+        part.repartition(4).write.mode("append").parquet(landing)
+        stream = incremental.file_stream(spark, landing, rows.schema, max_files=2, format="parquet")
+        incremental.ingest_available(stream, root, checkpoint, conform=lambda batch: batch.drop("file_name"))
+        incremental.publish_new(spark, root, target)
+    return flat(spark.read.parquet(target).groupBy("year", "month").agg(F.count("*").alias("n_rows"), F.sum("fare_amount").alias("sum_fare")))
+
+
 @check("row_count", "SELECT count(*) AS n_rows FROM lineitem")
 def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.row_count(table(spark, sf_dir, "lineitem"))

@@ -153,8 +153,10 @@ def fixed_sample(
 ) -> DataFrame:
     """The ``n`` rows with the lowest draw, or every row if there are fewer.
 
-    The draw is a hash of the key (or a given non-negative whole number), so the same
-    rows come out however the table is partitioned, unlike with a Bernoulli sample.
+    The draw is a hash of the key (or a given whole number; rows whose draw is NULL come last,
+    negative ones first), so the same rows come out however the table is partitioned, unlike
+    with a Bernoulli sample. Counting the draws is a job of its own that runs at once, and ``df`` is
+    evaluated twice: pass stored rows.
 
     A plain top-k would send ``n`` rows from every task to the driver, too many when
     there are many tasks. So the rows are first counted by the magnitude of their draw,
@@ -163,8 +165,8 @@ def fixed_sample(
     """
     names = list(key or df.columns)
     lot = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *names), 1) if draw is None else draw
-    magnitude = F.floor(F.log2(lot + F.lit(1.0)))
-    # At most 64 rows: a draw has that many magnitudes.
+    # -1 for negative draws, 64 for none, so at most 66 rows are counted.
+    magnitude = F.when(lot.isNull(), 64).when(lot < 0, -1).otherwise(F.floor(F.log2(lot + F.lit(1.0)))).cast("int")
     sizes = sorted(tuple(r) for r in df.groupBy(magnitude.alias("m")).agg(F.count("*").alias("n")).collect())
     seen, enough = 0, None
     for level, size in sizes:
@@ -173,4 +175,4 @@ def fixed_sample(
             enough = level
             break
     chosen = df if enough is None else df.where(magnitude <= F.lit(enough))
-    return chosen.orderBy(lot, *names).limit(n)
+    return chosen.orderBy(lot.asc_nulls_last(), *names).limit(n)

@@ -70,6 +70,9 @@ def profile_by_group(
     stats = df.groupBy(*by).agg(*_group_stats(columns, accuracy if median == "approx" else None))
     if median == "approx":
         return stats
+    if not by:
+        alone = profile_by_group(df.withColumn("_all", F.lit(0)), ["_all"], columns, "exact")
+        return alone.drop("_all")
     exact = exact_medians(df, columns, by)
     match = reduce(and_, (F.col(f"s.{b}").eqNullSafe(F.col(f"m.{b}")) for b in by))
     wanted = [f"{c}_{m}" for c in columns for m in ("count", "mean", "median", "stddev", "min", "max")]

@@ -14,6 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import elapsed, speed_per_hour
+from millrace.session import durable
 
 
 def calendar_features(df: DataFrame, start: str, end: str, distance: str, prefixes: tuple[str, str]) -> DataFrame:
@@ -31,10 +32,17 @@ def calendar_features(df: DataFrame, start: str, end: str, distance: str, prefix
 def split_by_key(df: DataFrame, key: Sequence[str] | Column, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``is_test``. A row's side depends on its key only, not on partitioning or retries.
 
-    ``key`` is a list of columns to hash, or an integer column that is used as it is.
+    ``key`` is a list of columns to hash, or an integer column whose value modulo 1000 decides.
+    Hashes split to one part in 2^30; with a column of one's own the share must be whole thousandths.
     """
-    draw = key if isinstance(key, Column) else F.xxhash64(F.lit(seed), *key)
-    return df.withColumn("is_test", F.pmod(draw, F.lit(1000)) < F.lit(round(test_share * 1000)))
+    if not 0 < test_share < 1:
+        raise ValueError("test_share must lie between 0 and 1")
+    own = isinstance(key, Column)
+    draw, steps = (key, 1000) if own else (F.xxhash64(F.lit(seed), *key), 1 << 30)
+    cut = round(test_share * steps)
+    if cut in (0, steps) or (own and abs(cut - test_share * steps) > 1e-6):
+        raise ValueError(f"a share of {test_share} is too fine for {steps} steps")
+    return df.withColumn("is_test", F.pmod(draw, F.lit(steps)) < F.lit(cut))
 
 
 def ols_estimator(features: Sequence[str], label: str) -> Pipeline:
@@ -49,8 +57,12 @@ def ols_estimator(features: Sequence[str], label: str) -> Pipeline:
 
 
 def fit_predict(df: DataFrame, features: Sequence[str], label: str) -> tuple[PipelineModel, DataFrame]:
-    """Fit on the rows with ``is_test = false`` and predict the others."""
+    """Fit on the rows with ``is_test = false`` and predict the others.
+
+    The rows are stored first: scaler and solver pass over them again, and what leads to them need not run for each.
+    """
     columns = [*features, label]
+    df = durable(df, "model-rows")
     train = df.where(~F.col("is_test")).select(*columns)
     model = ols_estimator(features, label).fit(train)
     return model, model.transform(df.where(F.col("is_test")))
@@ -117,6 +129,67 @@ def merge_moments(partials: DataFrame) -> DataFrame:
     return partials.groupBy("left_name", "right_name").agg(F.sum("value").alias("value"))
 
 
+def centred_moments(df: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by…, left_name, right_name, n, left_mean, right_mean, comoment) of all pairs of variables.
+
+    The aggregates work with deviations from running means and merge pairwise, so variables far from zero (years,
+    seconds since 1970) keep their digits. Rows with a NULL in any variable are left out, as least squares needs.
+    """
+    names = [*features, label]
+    complete = df.select(*by, *(F.col(n).cast("double").alias(f"_v{i}") for i, n in enumerate(names))).dropna(subset=[f"_v{i}" for i in range(len(names))])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    totals = complete.groupBy(*by).agg(
+        F.count("*").alias("_n"), *(F.avg(f"_v{i}").alias(f"_m{i}") for i in range(len(names))), *(F.covar_pop(f"_v{i}", f"_v{j}").alias(f"_c{i}_{j}") for i, j in pairs)
+    )
+    cells = F.array(
+        *(
+            F.struct(
+                F.lit(names[i]).alias("left_name"), F.lit(names[j]).alias("right_name"), F.col("_n").alias("n"),
+                F.col(f"_m{i}").alias("left_mean"), F.col(f"_m{j}").alias("right_mean"), (F.col(f"_c{i}_{j}") * F.col("_n")).alias("comoment"),
+            )
+            for i, j in pairs
+        )
+    )
+    return totals.where("_n > 0").select(*by, F.inline(cells))
+
+
+def merge_centred(partials: DataFrame) -> DataFrame:
+    """The centred moments of disjoint pieces together: their own, and those of their means."""
+    pair = ["left_name", "right_name"]
+    near = partials.groupBy(*pair).agg(F.min("left_mean").alias("_l"), F.min("right_mean").alias("_r"))
+    shifted = partials.join(near, pair).withColumns({"_dl": F.col("left_mean") - F.col("_l"), "_dr": F.col("right_mean") - F.col("_r")})
+    n = F.sum("n")
+    left, right = F.sum(F.col("n") * F.col("_dl")) / n, F.sum(F.col("n") * F.col("_dr")) / n
+    between = F.sum(F.col("n") * F.col("_dl") * F.col("_dr")) - n * left * right
+    return shifted.groupBy(*pair).agg(n.alias("n"), (F.first("_l") + left).alias("left_mean"), (F.first("_r") + right).alias("right_mean"), (F.sum("comoment") + between).alias("comoment"))
+
+
+def solve_centred(table: DataFrame, features: Sequence[str], label: str) -> LinearModel:
+    """Least squares from a table of centred moments; its size depends on the number of features."""
+    names = [*features, label]
+    place = {n: i for i, n in enumerate(names)}
+    spread, means, n = np.zeros((len(names), len(names))), np.zeros(len(names)), 0
+    for row in table.collect():
+        i, j = place[row.left_name], place[row.right_name]
+        spread[i, j] = spread[j, i] = row.comoment
+        means[i], means[j], n = row.left_mean, row.right_mean, row.n
+    if n == 0:
+        raise ValueError("no rows to learn from")
+    scale = np.sqrt(np.clip(np.diag(spread)[:-1], 0, None))
+    usable = scale > 1e-12 * np.sqrt(n) * np.maximum(np.abs(means[:-1]), 1e-300)
+    return _solved(features, spread, means, scale, usable)
+
+
+def _solved(features: Sequence[str], spread: np.ndarray, means: np.ndarray, scale: np.ndarray, usable: np.ndarray) -> LinearModel:
+    k = len(features)
+    weights = np.zeros(k)
+    if usable.any():
+        s = scale[usable]
+        correlation = spread[:k, :k][np.ix_(usable, usable)] / np.outer(s, s)
+        weights[usable] = np.linalg.lstsq(correlation, spread[:k, k][usable] / s, rcond=1e-12)[0] / s
+    return LinearModel(tuple(features), tuple(float(w) for w in weights), float(means[k] - weights @ means[:k]))
+
+
 @dataclass(frozen=True)
 class LinearModel:
     """Coefficients on the original scale of the features."""
@@ -153,13 +226,11 @@ def solve_moments(
     spread = m[1:, 1:] - n * np.outer(means, means)
     k = len(features)
     scale = np.sqrt(np.clip(np.diag(spread)[:k], 0, None))
-    usable = scale > 1e-9 * np.sqrt(np.clip(np.diag(m)[1 : k + 1], 1e-300, None))
-    weights = np.zeros(k)
-    if usable.any():
-        s = scale[usable]
-        correlation = spread[:k, :k][np.ix_(usable, usable)] / np.outer(s, s)
-        weights[usable] = np.linalg.lstsq(correlation, spread[:k, k][usable] / s, rcond=1e-12)[0] / s
+    raw = np.clip(np.diag(m)[1 : k + 1], 1e-300, None)
+    # What is left after subtracting must not be rounding: below this the sums have too few digits to tell.
+    lost = (np.diag(spread)[:k] != 0) & (np.abs(np.diag(spread)[:k]) < 1e-10 * raw)
+    if lost.any():
+        names_lost = [f for f, bad in zip(features, lost, strict=True) if bad]
+        raise ValueError(f"the sums of {names_lost} have lost their digits: give a shift near the means, or use centred_moments")
     offsets = np.array(shift if shift is not None else [0.0] * (k + 1))
-    centre = means + offsets
-    intercept = centre[k] - float(weights @ centre[:k])
-    return LinearModel(tuple(features), tuple(float(w) for w in weights), float(intercept))
+    return _solved(features, spread, means + offsets, scale, scale > 0)

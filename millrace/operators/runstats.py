@@ -22,9 +22,17 @@ def _spread(value: Column, name: str) -> list[Column]:
 
 
 def parse_list(df: DataFrame, column: str) -> Column:
-    """A list column as ``array<double>``; text such as ``"[1.0, 2]"`` is parsed as JSON."""
+    """A list column as ``array<double>``; text such as ``"[1.0, 2]"`` is parsed as JSON.
+
+    NULL and blank text is no list. Other text that is not a list of numbers raises an error.
+    """
     if isinstance(df.schema[column].dataType, T.StringType):
-        return F.from_json(column, T.ArrayType(T.DoubleType()))
+        text = F.when(F.trim(column) != "", F.trim(column))
+        parsed = F.from_json(text, T.ArrayType(T.StringType()))
+        numbers = F.transform(parsed, lambda x: x.try_cast("double"))
+        unread = text.isNotNull() & (parsed.isNull() | F.exists(F.arrays_zip(parsed.alias("s"), numbers.alias("n")), lambda z: z["s"].isNotNull() & z["n"].isNull()))
+        failure = F.raise_error(F.concat(F.lit(f"not a list of numbers in {column}: "), F.substring(column, 1, 100)))
+        return F.when(unread, failure.cast("array<double>")).otherwise(numbers)
     return F.col(column).cast("array<double>")
 
 
@@ -76,6 +84,14 @@ def run_summary(
     per ``within`` key.
     """
     runs = df if where is None else df.where(where)
+    # Only the columns that take part are sorted and stored; the hash of all stands for the others in ties.
+    hashable = [s.name for s in runs.schema if not isinstance(s.dataType, (T.MapType, T.VariantType))]
+    ordered = [c.alias(f"_by{i}") if isinstance(c, Column) else F.col(c).alias(f"_by{i}") for i, c in enumerate(order_by)]
+    wanted = list(dict.fromkeys([*within, *keep, *numeric, *lists]))
+    plain = all(isinstance(c, str) for c in order_by)
+    if plain:
+        runs = runs.select(*wanted, *ordered, F.xxhash64(*hashable).alias("_tie"))
+        order_by = [*(f"_by{i}" for i in range(len(order_by))), "_tie"]
     placed = positions(runs, order_by, within, "_place")
     bucketed = placed.withColumn("bucket", F.expr(f"_place div {int(size)} + 1"))
     key = [*within, "bucket"]

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from millrace.operators import profile, rules
+from millrace.operators import ordering, profile, rules
 from millrace.plans import taxi
 from millrace.sources import lake
+from millrace.session import durable, replacing
 from millrace.sources.csv import csv_scan
 
 OUTCOME = "outcome"
@@ -21,6 +22,7 @@ class LakeBuild:
 
     spark: SparkSession
     root: str
+    schema: T.StructType | None = None
 
     @property
     def path(self) -> str:
@@ -28,10 +30,24 @@ class LakeBuild:
         return f"{self.root}/{OUTCOME}={rules.KEPT}"
 
     def trips(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        """The kept rows; none, with the right columns, if the build kept none."""
+        return self.all_rows().where(F.col(OUTCOME) == rules.KEPT).drop(OUTCOME)
 
     def all_rows(self) -> DataFrame:
-        return self.spark.read.parquet(self.root)
+        reader = self.spark.read if self.schema is None else self.spark.read.schema(self.schema)
+        return reader.parquet(self.root)
+
+    def sample_suspicious(self, path: str, n: int = 50) -> DataFrame:
+        """Write ``n`` suspicious rows as CSV; returns one row: how many there are in all, and how many were written.
+
+        The rows are read from storage, so the cleaning does not run again. A stored sample is replaced.
+        """
+        suspicious = self.trips().where("suspicious")
+        chosen = durable(ordering.fixed_sample(suspicious, n), "sample")
+        with replacing(self.spark, path) as fresh:
+            chosen.repartition(1).write.option("header", True).csv(fresh)
+        total = F.count("*")
+        return suspicious.agg(total.alias("n_suspicious"), F.least(total, F.lit(n)).alias("n_written"))
 
     def rejects(self) -> DataFrame:
         """Rejected rows with their reason; the clean rows' directories are not read."""
@@ -63,7 +79,7 @@ def store_outcomes(
 
     Raw input is parsed once, and nothing is cached: what follows reads columns back
     from Parquet. Rejects may lack a year or month; a kept row without them fails the
-    job. A new build replaces an old one at the same root.
+    job. A new build replaces an old one at the same root, once it is complete.
 
     By default one shuffle gives every directory files of about the target size, the
     few rejects of many tasks included, so no compaction has to follow. ``gather=False``
@@ -75,9 +91,10 @@ def store_outcomes(
     keys = [OUTCOME, *lake.MONTHLY]
     if gather:
         rows = lake.spread_by(rows, keys)
-    with lake.file_size(tagged.sparkSession, target_mib):
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*keys).parquet(root)
-    return LakeBuild(tagged.sparkSession, root)
+    spark = tagged.sparkSession
+    with lake.file_size(spark, target_mib), replacing(spark, root) as fresh:
+        rows.write.partitionBy(*keys).parquet(fresh)
+    return LakeBuild(spark, root, rows.schema)
 
 
 def build_lake(
@@ -87,5 +104,5 @@ def build_lake(
     conform: Callable[[DataFrame], DataFrame] = taxi.conform,
     gather: bool = True,
 ) -> LakeBuild:
-    """Scan CSV files, conform, clean and store them in one job."""
-    return store_outcomes(taxi.clean(conform(csv_scan(spark, paths, taxi.CONTRACT))), root, gather)
+    """Scan CSV files, of one header or several, conform, clean and store them in one job."""
+    return store_outcomes(taxi.clean(conform(csv_scan(spark, paths, taxi.CONTRACT, mixed=True))), root, gather)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -21,11 +22,16 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: For clusters: sorts start with this many pieces, which AQE merges where they are small. It cannot split
+#: a range of a sort, so the 200 of Spark's default would give each task 500 GB of a 100 TB table.
+CLUSTER = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000"}
+
 
 def spark_session(app: str = "millrace", **conf: str) -> SparkSession:
     """A session with this library's defaults; ``conf`` wins (dots written as ``__``)."""
     builder = SparkSession.builder.appName(app)
-    settings = {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}
+    wide = {} if conf.get("master", conf.get("spark__master", "local")).startswith("local") else CLUSTER
+    settings = {**DEFAULTS, **wide, **{k.replace("__", "."): v for k, v in conf.items()}}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
@@ -46,6 +52,9 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if configured:
+        if configured.startswith("file:") and not sc.master.startswith("local"):
+            # A mounted share may be one; only the user can know.
+            warnings.warn(f"spark.checkpoint.dir is {configured}: it must be a mount that all executors share", stacklevel=2)
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
@@ -73,6 +82,53 @@ def durable(df: DataFrame, label: str = "durable") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def replacing(spark: SparkSession, path: str) -> Iterator[str]:
+    """A fresh path to write to, next to ``path``, which it replaces once the block has succeeded.
+
+    What was at ``path`` stays readable until the new data are complete; if anything fails it stays for
+    good and what was written is removed. The switch is two renames: between them the old data are in
+    a sibling folder whose name begins with an underscore, which readers of the parent folder skip.
+    """
+    target, fs = _file_system(spark, path.rstrip("/"))
+    name = f"{target.getName()}-{uuid.uuid4().hex}"
+    parent = target.getParent().toString()
+    fresh, old = (_file_system(spark, f"{parent}/_{kind}-{name}")[0] for kind in ("new", "old"))
+    try:
+        yield fresh.toString()
+        if not fs.exists(fresh):
+            raise FileNotFoundError(f"nothing was written to replace {path}")
+    except BaseException:
+        fs.delete(fresh, True)
+        raise
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"{path} could not be moved aside; the new data are in {fresh.toString()}")
+    if not fs.rename(fresh, target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"the new data could not be moved to {path}; they are in {fresh.toString()}")
+    if had:
+        fs.delete(old, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files that a ``durable`` table is read from, when nothing reads it any more."""
+    spark = df.sparkSession
+    base = shared_dir(spark)
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        plain, root = (p.replace("file://", "").replace("//", "/") for p in (folder, base))
+        if not plain.startswith(root.rstrip("/") + "/"):
+            raise ValueError(f"{folder} is not in the shared folder")
+        place, fs = _file_system(spark, folder)
+        fs.delete(place, True)
+
+
 @contextmanager
 def session_conf(spark: SparkSession, **conf: str) -> Iterator[None]:
     """Set runtime settings for the length of one action (dots written as ``__``)."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from millrace.operators.contract import Contract
+from millrace.operators.contract import Contract, type_report
 
 
 def text_schema(names: Sequence[str]) -> T.StructType:
@@ -20,28 +21,67 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def csv_scan(spark: SparkSession, paths: str | Sequence[str], contract: Contract | None = None) -> DataFrame:
+def headers_by_file(spark: SparkSession, paths: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files of one or more paths by their header line. Empty files are left out.
+
+    Spark lists the files; of each only the first line is opened, through Hadoop's file systems and codecs.
+    """
+    listed = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for (name,) in listed.select("path").toLocalIterator():
+        place = jvm.org.apache.hadoop.fs.Path(name)
+        stream = place.getFileSystem(conf).open(place)
+        codec = codecs.getCodec(place)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream if codec is None else codec.createInputStream(stream), "UTF-8"))
+        try:
+            line = reader.readLine()
+        finally:
+            reader.close()
+        if line:
+            groups.setdefault(tuple(next(csv.reader([line.lstrip("\ufeff")]))), []).append(name)
+    return groups
+
+
+def csv_scan(
+    spark: SparkSession, paths: str | Sequence[str], contract: Contract | None = None, mixed: bool = False
+) -> DataFrame:
     """Read CSV files with a header: as text, or with the types a contract asks for.
 
-    Files under one path must share a header: Spark assigns cells by position, so each
-    file's header is checked and a different one is an error, not shifted columns.
-    Give several paths for files of different layouts (a column added in some year);
-    each path is scanned with its own header and the results are united by name.
-    ``_metadata`` stays available on a single path only, hence ``file_name``.
+    Spark assigns cells by position, so a file is only ever read with its own header; a file
+    that has another is an error, not shifted columns. Each path has one header, or, with
+    ``mixed``, files are grouped by their header lines (a column added in some year, another
+    order). Each layout is one scan, and the results are united by name. ``_metadata`` stays
+    available on a single layout only, hence ``file_name``.
     """
-    groups = [paths] if isinstance(paths, str) else list(paths)
     schema = contract.reading_schema if contract else text_schema
+    if mixed:
+        groups = list(headers_by_file(spark, paths).items())
+        if not groups:
+            raise ValueError(f"no CSV file with a header in {paths}")
+    else:
+        groups = [(header_of(spark, p), p) for p in ([paths] if isinstance(paths, str) else paths)]
     scans = [
-        spark.read.schema(schema(header_of(spark, path)))
+        spark.read.schema(schema(list(header)))
         .option("header", True)
         .option("enforceSchema", False)
-        .csv(path)
+        .csv(files)
         .select("*", F.col("_metadata.file_name").alias("file_name"))
-        for path in groups
+        for header, files in groups
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
+def lost_cells(spark: SparkSession, paths: str | Sequence[str], contract: Contract) -> DataFrame:
+    """What a typed read of the files loses: (column_name, expected_type, actual_type, lost_values).
+
+    One pass over the text of the files counts, per column of another type than text, the cells that
+    hold something the contract's type cannot.
+    """
+    return type_report(contract.rename(csv_scan(spark, paths, mixed=True)), contract)
+
+
 def year_month_from(name: Column, pattern: str = r"(\d{4})-(\d{2})") -> dict[str, Column]:
     """Year and month in a file name, NULL where the pattern does not match."""
     return {

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from contextlib import AbstractContextManager
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from millrace.operators.contract import Contract, coerce
+from millrace.functions import quoted
+from millrace.operators.contract import Contract, coerce, type_report
 from millrace.operators.rules import REASON
-from millrace.session import session_conf
+from millrace.session import durable, replacing, session_conf
 
 MONTHLY = ("year", "month")
 MIB = 1024 * 1024
@@ -20,7 +21,7 @@ TARGET_MIB = 512
 
 def partition_violations(df: DataFrame, by: Sequence[str] = MONTHLY) -> DataFrame:
     """One row: all rows, rows with complete partition keys, and rows without."""
-    complete = reduce(and_, (F.col(b).isNotNull() for b in by))
+    complete = reduce(and_, (F.col(b).isNotNull() for b in by), F.lit(True))
     return df.agg(
         F.count("*").alias("n_rows"),
         F.count_if(complete).alias("n_valid"),
@@ -81,14 +82,19 @@ def write_partitioned(
     files are: the write then needs no shuffle.
 
     ``replace="dynamic"`` replaces the partitions present in ``df`` and leaves others;
-    ``"static"`` replaces the whole path.
+    ``"static"`` replaces the whole path, after the new lake has been written beside it:
+    a job that fails leaves the old lake as it was.
     """
+    if replace == "static":
+        with replacing(df.sparkSession, path) as fresh:
+            write_partitioned(df, fresh, by, gather, target_mib, "fresh", options)
+        return
     rows = guarded(df, by)
+    spread = spread_by(rows, by) if gather and by else rows
     with file_size(df.sparkSession, target_mib):
         (
-            (spread_by(rows, by) if gather else rows)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", replace)
+            spread.write.mode("overwrite" if replace == "dynamic" else "errorifexists")
+            .option("partitionOverwriteMode", "dynamic")
             .options(**(options or {}))
             .partitionBy(*by)
             .parquet(path)
@@ -120,6 +126,8 @@ def file_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def verify_readback(expected: DataFrame, actual: DataFrame, by: Sequence[str] = MONTHLY) -> DataFrame:
     """Rows per partition on both sides, and whether they agree. All partitions are listed."""
+    if not by:
+        raise ValueError("name the partition columns to compare by")
     e = expected.groupBy(*by).agg(F.count("*").alias("n"))
     a = actual.groupBy(*by).agg(F.count("*").alias("n"))
     match = reduce(and_, (F.col(f"e.{b}").eqNullSafe(F.col(f"a.{b}")) for b in by))
@@ -143,25 +151,44 @@ def compact_partitions(
     by: Sequence[str] = MONTHLY,
     target_mib: int = TARGET_MIB,
     row_group_mib: int | None = None,
+    where: Column | None = None,
 ) -> DataFrame:
     """Rewrite a lake with as few files per partition as ``target_mib`` allows.
 
     All partitions go through one job. A partition below the target becomes one file.
+    ``where``, a condition on partition columns such as that of ``scattered``, limits reading,
+    shuffling and writing to the partitions that need it; other partitions of ``target`` stay.
     Returns files and MiB before and after, and whether the rows agree, per partition.
     """
     if source.rstrip("/") == target.rstrip("/"):
         raise ValueError("compact into a new path, then switch readers to it")
     options = {} if row_group_mib is None else {"parquet.block.size": row_group_mib * MIB}
-    write_partitioned(
-        spark.read.parquet(source), target, by, target_mib=target_mib, replace="static", options=options
-    )
-    return compaction_report(spark, source, target, by)
+    rows = spark.read.parquet(source)
+    if where is None:
+        write_partitioned(rows, target, by, target_mib=target_mib, replace="static", options=options)
+    else:
+        write_partitioned(rows.where(where), target, by, target_mib=target_mib, options=options)
+    return compaction_report(spark, source, target, by, where)
+
+
+def scattered(table: DataFrame, by: Sequence[str] = MONTHLY, target_mib: int = TARGET_MIB) -> Column:
+    """The condition for partitions with more files than their size calls for; false if there are none.
+
+    File metadata only; the partitions found, not rows, reach the driver.
+    """
+    stats = file_stats(table, by).where(F.col("n_files") > F.ceil(F.col("size_mib") / target_mib))
+    found = [reduce(and_, (F.col(b).eqNullSafe(F.lit(row[b])) for b in by)) for row in stats.select(*by).collect()]
+    return reduce(or_, found, F.lit(False))
 
 
-def compaction_report(spark: SparkSession, source: str, target: str, by: Sequence[str] = MONTHLY) -> DataFrame:
+def compaction_report(
+    spark: SparkSession, source: str, target: str, by: Sequence[str] = MONTHLY, where: Column | None = None
+) -> DataFrame:
     """Compare two layouts of the same lake by their file metadata."""
-    before = file_stats(spark.read.parquet(source), by).alias("s")
-    after = file_stats(spark.read.parquet(target), by).alias("t")
+    if not by:
+        raise ValueError("name the partition columns to compare by")
+    tables = (spark.read.parquet(path) for path in (source, target))
+    before, after = (file_stats(t if where is None else t.where(where), by).alias(a) for t, a in zip(tables, "st"))
     match = reduce(and_, (F.col(f"s.{b}").eqNullSafe(F.col(f"t.{b}")) for b in by))
     pairs = {
         f"{measure}_{way}": F.coalesce(F.col(f"{side}.{measure}"), F.lit(0))
@@ -184,15 +211,15 @@ def write_quarantine(
     """Write all rejected rows as CSV, one folder per rule, in one job.
 
     Only the rejects are shuffled, so that the few of each task do not become files of
-    their own. Returns (reason, n_rows), counted from what was written.
+    their own. A former run is replaced as a whole, whatever the session's
+    overwrite mode. Returns (reason, n_rows), counted from what was written.
     """
-    with file_size(tagged.sparkSession, target_mib):
+    with file_size(tagged.sparkSession, target_mib), replacing(tagged.sparkSession, path) as fresh:
         (
             spread_by(tagged.where(F.col(reason).isNotNull()), [reason])
-            .write.mode("overwrite")
-            .option("header", True)
+            .write.option("header", True)
             .partitionBy(reason)
-            .csv(path)
+            .csv(fresh)
         )
     return quarantine_counts(tagged, path, reason)
 
@@ -206,27 +233,37 @@ def quarantine_counts(tagged: DataFrame, path: str, reason: str = REASON) -> Dat
 
 
 def directory_values(by: Sequence[str]) -> dict[str, Column]:
-    """Whole-number partition values taken from each file's path."""
-    return {b: F.regexp_extract("_metadata.file_path", rf"{b}=(\d+)", 1).try_cast("int") for b in by}
+    """Whole-number partition values from each file's path: those of the folders nearest to the file."""
+    return {b: F.regexp_extract("_metadata.file_path", rf"^.*/{b}=(\d+)/", 1).try_cast("int") for b in by}
 
 
 def retype(
     spark: SparkSession, source: str, target: str, contract: Contract, by: Sequence[str] = MONTHLY
-) -> None:
+) -> DataFrame:
     """Rewrite a lake with the contract's types; partition values come from directories.
 
-    Rows stay in the partitions they are in, so nothing is shuffled.
+    Rows stay in the partitions they are in, so nothing is shuffled. Columns that the contract does
+    not know keep their type. Returns, as ``type_report``, what each changed column lost by it.
     """
     raw = spark.read.option("recursiveFileLookup", True).parquet(source).withColumns(directory_values(by))
     have = {s.name: s.dataType for s in raw.schema}
-    columns = [
-        coerce(F.col(f.name), have[f.name], f).alias(f.name) for f in contract.fields if f.name in have
-    ]
-    write_partitioned(raw.select(*columns), target, by, gather=False, replace="static")
+    known = {f.name: f for f in contract.fields}
+    first = [f.name for f in contract.fields if f.name in have]
+    columns = [coerce(F.col(n), have[n], known[n]).alias(n) for n in first]
+    rest = [F.col(quoted(n)) for n in raw.columns if n not in known]
+    write_partitioned(raw.select(*columns, *rest), target, by, gather=False, replace="static")
+    return type_report(raw, contract)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """Save a small result table as CSV and as JSON lines, one file each."""
-    one = report.coalesce(1)
-    one.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
-    one.write.mode("overwrite").json(f"{path}/json")
+def write_report(report: DataFrame, path: str, decimals: int | None = None) -> None:
+    """Save a small result table as CSV and as JSON lines, one file each.
+
+    The report is worked out once, by all tasks, and stored before its rows are brought into one file.
+    ``decimals`` rounds doubles in both. What was at ``path`` is replaced when both are complete.
+    """
+    if decimals is not None:
+        report = report.withColumns({s.name: F.round(F.col(quoted(s.name)), decimals) for s in report.schema if s.dataType.typeName() == "double"})
+    one = durable(report, "report").repartition(1)
+    with replacing(report.sparkSession, path) as fresh:
+        one.write.option("header", True).csv(f"{fresh}/csv")
+        one.write.json(f"{fresh}/json")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from millrace.operators import profile, regression, rules
 from millrace.plans import taxi
 from millrace.plans.lakebuild import OUTCOME
+from millrace.session import replacing
 from millrace.sources import lake
 
 BATCH = "batch"
@@ -24,37 +29,51 @@ def file_stream(
     return reader.format(format).load(path).select("*", F.col("_metadata.file_name").alias("file_name"))
 
 
+def path_stream(spark: SparkSession, path: str, max_files: int) -> DataFrame:
+    """The paths of new files in a folder as a stream, for files that a batch reads by itself."""
+    return spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("maxFilesPerTrigger", max_files).load(path).select("path")
+
+
 def ingest_available(
     stream: DataFrame,
     root: str,
     checkpoint: str,
     conform: Callable[[DataFrame], DataFrame] = taxi.conform,
     clean: Callable[[DataFrame], DataFrame] = taxi.clean,
-) -> int:
-    """Process every file not seen before, then stop. Returns the last batch number.
+    scan: Callable[[SparkSession, list[str]], DataFrame] | None = None,
+) -> range:
+    """Process every file not seen before, then stop. Returns the numbers of the batches it stored.
+
+    With ``scan``, ``stream`` holds paths (see ``path_stream``) and a batch's files, as many as the
+    stream's limit at most, are read by it: so ``csv_scan`` takes files of different headers.
 
-    This is a staging area, laid out by batch and outcome only: months are formed once,
-    by ``publish``, instead of as small files in every batch. Each batch owns the
+    This is a staging area, laid out by batch, outcome and month, gathered so that a batch adds few files to
+    a month; ``publish`` then reads the months it needs and no others. Each batch owns the
     directory ``batch=<id>`` and overwrites it, so a batch that is replayed after a
     failure leaves its rows once. Kept and rejected rows go out in one job. A batch's
     NULL counts are computed from what it stored and kept beside it, to be merged into
     a profile of everything without reading the rows again.
     """
 
+    stored_ids: list[int] = []
+
     def store(rows: DataFrame, batch_id: int) -> None:
+        if scan is not None:
+            files = [r.path for r in rows.select("path").collect()]
+            if not files:
+                return
+            rows = scan(rows.sparkSession, files)
         tagged = clean(conform(rows))
         named = tagged.withColumn(OUTCOME, F.coalesce(rules.REASON, F.lit(rules.KEPT))).drop(rules.REASON)
         place = f"{root}/rows/{BATCH}={batch_id}"
-        (
-            named.write.mode("overwrite")
-            .option("partitionOverwriteMode", "static")
-            .partitionBy(OUTCOME)
-            .parquet(place)
-        )
+        keys = [OUTCOME, *lake.MONTHLY]
+        with replacing(rows.sparkSession, place) as fresh:
+            lake.spread_by(named, keys).write.partitionBy(*keys).parquet(fresh)
         # An explicit schema: a batch without kept rows has no such directory.
         stored = rows.sparkSession.read.schema(named.schema).parquet(place).where(F.col(OUTCOME) == rules.KEPT)
         partial = profile.partial_missing(stored, [c for c in named.columns if c != OUTCOME])
         partial.write.mode("overwrite").parquet(f"{root}/profile/{BATCH}={batch_id}")
+        stored_ids.append(batch_id)
 
     query = (
         stream.writeStream.trigger(availableNow=True)
@@ -63,8 +82,7 @@ def ingest_available(
         .start()
     )
     query.awaitTermination()
-    progress = query.lastProgress
-    return progress["batchId"] if progress else -1
+    return range(min(stored_ids), max(stored_ids) + 1) if stored_ids else range(0)
 
 
 def stored_rows(spark: SparkSession, root: str) -> DataFrame:
@@ -83,20 +101,47 @@ def merged_profile(spark: SparkSession, root: str) -> DataFrame:
 
 
 def publish(
-    spark: SparkSession, root: str, target: str, since: int | None = None, target_mib: int = lake.TARGET_MIB
+    spark: SparkSession, root: str, target: str, since: int | range | None = None, target_mib: int = lake.TARGET_MIB
 ) -> None:
     """Bring the batches' kept rows into one compact lake, in one job.
 
-    With ``since``, only the months met by batches from that number on are rewritten,
-    each from all its rows in all batches; other months stay as they are.
+    With ``since``, a batch number or what ``ingest_available`` returned, only the months met by
+    batches from there on are rewritten, each from all its rows in all batches; other months stay as
+    they are. Months are partitions of the staging area: the ones that were met, a few values, become
+    partition filters of the scan. ``publish_new`` remembers by itself what it has published.
     """
     rows = stored_trips(spark, root)
     if since is None:
         lake.write_partitioned(rows, target, target_mib=target_mib, replace="static")
         return
+    if isinstance(since, range):
+        if not since:
+            return
+        since = since.start
     recent = stored_rows(spark, root).where((F.col(OUTCOME) == rules.KEPT) & (F.col(BATCH) >= since))
-    touched = recent.select(*lake.MONTHLY).distinct()
-    lake.write_partitioned(rows.join(touched, list(lake.MONTHLY), "left_semi"), target, target_mib=target_mib)
+    months = [tuple(r) for r in recent.select(*lake.MONTHLY).distinct().collect()]
+    if months:
+        touched = reduce(or_, ((F.col("year") == y) & (F.col("month") == m) for y, m in months))
+        lake.write_partitioned(rows.where(touched), target, target_mib=target_mib)
+
+
+def publish_new(spark: SparkSession, root: str, target: str, target_mib: int = lake.TARGET_MIB) -> int:
+    """Publish the batches that earlier calls for ``target`` have not, and return the last batch published.
+
+    The mark is written after the lake: a call that failed is made good by the next one.
+    """
+    mark = f"{root}/published/{hashlib.sha256(target.rstrip('/').encode()).hexdigest()[:16]}"
+    try:
+        done = spark.read.schema("last long").parquet(mark).agg(F.max("last")).first()[0]
+    except AnalysisException:
+        done = None
+    last = stored_rows(spark, root).agg(F.max(BATCH)).first()[0]
+    if last is None or last == done:
+        return -1 if done is None else done
+    publish(spark, root, target, None if done is None else done + 1, target_mib)
+    with replacing(spark, mark) as fresh:
+        spark.range(1).select(F.lit(last).cast("long").alias("last")).write.parquet(fresh)
+    return last
 
 
 def learn_available(
@@ -110,12 +155,15 @@ def learn_available(
 ) -> DataFrame:
     """Moments of every new batch's training rows; returns those of all batches so far.
 
+    They are centred ones, for ``solve_centred``; with a ``shift``, plain ones for ``solve_moments``.
+
     Unlike stochastic gradient descent on pieces, the model solved from them is the
     same as if all rows had been seen at once.
     """
 
     def store(rows: DataFrame, batch_id: int) -> None:
-        part = regression.moments(prepare(rows), features, label, shift)
+        ready = prepare(rows)
+        part = regression.centred_moments(ready, features, label) if shift is None else regression.moments(ready, features, label, shift)
         part.write.mode("overwrite").parquet(f"{root}/{BATCH}={batch_id}")
 
     query = (
@@ -125,4 +173,5 @@ def learn_available(
         .start()
     )
     query.awaitTermination()
-    return regression.merge_moments(stream.sparkSession.read.parquet(root))
+    parts = stream.sparkSession.read.parquet(root)
+    return regression.merge_centred(parts) if shift is None else regression.merge_moments(parts)

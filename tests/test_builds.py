@@ -97,23 +97,24 @@ def test_incremental_equals_one_run(spark, month_files, tmp_path):
 
     for name in files[:4]:
         shutil.copy(f"{month_files}/{name}", landing)
-    assert ingest() == 1
+    assert ingest() == range(2)
     half = incremental.stored_rows(spark, root).count()
     target = str(tmp_path / "lake")
     incremental.publish(spark, root, target)
     early = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{target}/*/*/*.parquet")}
-    ingest()  # nothing new
+    assert ingest() == range(0)  # nothing new
+    incremental.publish(spark, root, target, since=range(0))
     assert incremental.stored_rows(spark, root).count() == half
     for name in files[4:]:
         shutil.copy(f"{month_files}/{name}", landing)
-    ingest()
+    new = ingest()
     tagged = _expected(spark, month_files)
     assert _digest(incremental.stored_trips(spark, root)) == _digest(rules.kept(tagged))
     assert incremental.stored_rows(spark, root).count() == tagged.count()
     whole = profile.profile_missing(rules.kept(tagged), taxi.CONTRACT.names).collect()
     assert incremental.merged_profile(spark, root).collect() == whole
 
-    incremental.publish(spark, root, target, since=2)
+    incremental.publish(spark, root, target, since=new)
     assert _digest(spark.read.parquet(target)) == _digest(rules.kept(tagged))
     # The months of the first batches were left alone.
     assert {f: os.stat(f).st_mtime_ns for f in early} == early
@@ -131,7 +132,7 @@ def test_learning_incrementally_equals_learning_at_once(spark, month_files, tmp_
     assert len(features) == 15
     stream = incremental.file_stream(spark, lake_path, trips.schema, max_files=2, format="parquet")
     table = incremental.learn_available(stream, root, progress, taxi.model_rows, features, taxi.ML_TARGET)
-    own = regression.solve_moments(table, features, taxi.ML_TARGET)
+    own = regression.solve_centred(table, features, taxi.ML_TARGET)
     rows = taxi.model_rows(trips).withColumn("is_test", F.lit(False))
     estimator = regression.ols_estimator(features, taxi.ML_TARGET)
     both = own.predict(estimator.fit(rows).transform(rows), "own")
