@@ -17,6 +17,8 @@ from millrace.session import replacing
 from millrace.sources import lake
 
 BATCH = "batch"
+#: Directories of the staging area: a kept row's month. Rejects, whose month may be what is wrong, have none.
+PLACED = {"at_year": "year", "at_month": "month"}
 
 
 def file_stream(
@@ -64,14 +66,16 @@ def ingest_available(
                 return
             rows = scan(rows.sparkSession, files)
         tagged = clean(conform(rows))
-        named = tagged.withColumn(OUTCOME, F.coalesce(rules.REASON, F.lit(rules.KEPT))).drop(rules.REASON)
+        month = {at: F.when(F.col(rules.REASON).isNull(), F.col(c)) for at, c in PLACED.items()}
+        outcome = F.coalesce(rules.REASON, F.lit(rules.KEPT))
+        named = tagged.withColumns({**month, OUTCOME: outcome}).drop(rules.REASON)
         place = f"{root}/rows/{BATCH}={batch_id}"
-        keys = [OUTCOME, *lake.MONTHLY]
+        keys = [OUTCOME, *PLACED]
         with replacing(rows.sparkSession, place) as fresh:
             lake.spread_by(named, keys).write.partitionBy(*keys).parquet(fresh)
         # An explicit schema: a batch without kept rows has no such directory.
         stored = rows.sparkSession.read.schema(named.schema).parquet(place).where(F.col(OUTCOME) == rules.KEPT)
-        partial = profile.partial_missing(stored, [c for c in named.columns if c != OUTCOME])
+        partial = profile.partial_missing(stored, [c for c in named.columns if c not in (OUTCOME, *PLACED)])
         partial.write.mode("overwrite").parquet(f"{root}/profile/{BATCH}={batch_id}")
         stored_ids.append(batch_id)
 
@@ -86,12 +90,16 @@ def ingest_available(
 
 
 def stored_rows(spark: SparkSession, root: str) -> DataFrame:
-    """All rows of all batches, with ``batch`` and ``outcome``."""
+    """All rows of all batches, with ``batch``, ``outcome`` and, of kept rows, the month they lie under."""
     return spark.read.parquet(f"{root}/rows")
 
 
 def stored_trips(spark: SparkSession, root: str) -> DataFrame:
-    return stored_rows(spark, root).where(F.col(OUTCOME) == rules.KEPT).drop(OUTCOME, BATCH)
+    return _kept(spark, root).drop(OUTCOME, BATCH, *PLACED)
+
+
+def _kept(spark: SparkSession, root: str) -> DataFrame:
+    return stored_rows(spark, root).where(F.col(OUTCOME) == rules.KEPT)
 
 
 def merged_profile(spark: SparkSession, root: str) -> DataFrame:
@@ -110,19 +118,18 @@ def publish(
     they are. Months are partitions of the staging area: the ones that were met, a few values, become
     partition filters of the scan. ``publish_new`` remembers by itself what it has published.
     """
-    rows = stored_trips(spark, root)
     if since is None:
-        lake.write_partitioned(rows, target, target_mib=target_mib, replace="static")
+        lake.write_partitioned(stored_trips(spark, root), target, target_mib=target_mib, replace="static")
         return
     if isinstance(since, range):
         if not since:
             return
         since = since.start
-    recent = stored_rows(spark, root).where((F.col(OUTCOME) == rules.KEPT) & (F.col(BATCH) >= since))
-    months = [tuple(r) for r in recent.select(*lake.MONTHLY).distinct().collect()]
+    rows = _kept(spark, root)
+    months = [tuple(r) for r in rows.where(F.col(BATCH) >= since).select(*PLACED).distinct().collect()]
     if months:
-        touched = reduce(or_, ((F.col("year") == y) & (F.col("month") == m) for y, m in months))
-        lake.write_partitioned(rows.where(touched), target, target_mib=target_mib)
+        touched = reduce(or_, ((F.col("at_year") == y) & (F.col("at_month") == m) for y, m in months))
+        lake.write_partitioned(rows.where(touched).drop(OUTCOME, BATCH, *PLACED), target, target_mib=target_mib)
 
 
 def publish_new(spark: SparkSession, root: str, target: str, target_mib: int = lake.TARGET_MIB) -> int:

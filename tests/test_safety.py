@@ -136,7 +136,7 @@ def test_a_stream_of_files_of_different_headers(spark, tmp_path):
     want = [(1, 2024, 1), (5, 2024, 2), (10, 2024, 3), (11, 2024, 1), (12, 2024, 2)]
     assert _read(spark, target) == want
     assert incremental.publish_new(spark, root, target) == 2 and ingest() == range(0)
-    plan = incremental.stored_trips(spark, root).where("year = 2024 and month = 3")._jdf.queryExecution().executedPlan().toString()
+    plan = incremental.stored_rows(spark, root).where("at_year = 2024 and at_month = 3")._jdf.queryExecution().executedPlan().toString()
     assert "month" in plan.split("PartitionFilters:")[1].split("]")[0]
 
 
