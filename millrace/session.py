@@ -30,11 +30,15 @@ CLUSTER = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8000"}
 def spark_session(app: str = "millrace", **conf: str) -> SparkSession:
     """A session with this library's defaults; ``conf`` wins (dots written as ``__``)."""
     builder = SparkSession.builder.appName(app)
-    wide = {} if conf.get("master", conf.get("spark__master", "local")).startswith("local") else CLUSTER
-    settings = {**DEFAULTS, **wide, **{k.replace("__", "."): v for k, v in conf.items()}}
+    settings = {**DEFAULTS, **{k.replace("__", "."): v for k, v in conf.items()}}
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local"):
+        for key, value in CLUSTER.items():
+            if spark.conf.get(key, None) is None:
+                spark.conf.set(key, value)
+    return spark
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
