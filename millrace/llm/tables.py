@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +20,44 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string")) % modulus
 
 
+BITMAP_BITS = 24
+
+
+def key_bitmap(keys: DataFrame, column: str = "key") -> np.ndarray:
+    """A bitmap of 2^24 bits, whatever the number of keys, of the leading bits of 64-bit keys."""
+    bit = F.shiftrightunsigned(column, 64 - BITMAP_BITS)
+    one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - BITMAP_BITS}) & 63 as int))")
+    rows = keys.select(F.shiftright(bit, 6).alias("word"), one.alias("one")).groupBy("word").agg(F.bit_or("one").alias("bits")).toPandas()
+    packed = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    packed[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return packed
+
+
+def in_bitmap(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be among those of the bitmap; all that are, and by chance a few more."""
+    bits = len(packed).bit_length() + 5
+    at = (keys.astype(np.int64).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return (packed[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 def drop_where(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """``docs`` without the rows whose (doc_id, text_hash) are in ``bad``, which should be stored.
 
-    Null ids count as equal to each other. Only ids and hashes are joined with; a small stored table is
-    broadcast by its known size.
+    Null ids count as equal to each other. Rows that a bitmap of the bad keys rules out pass as they are, so
+    their texts are neither joined nor shuffled at any size; only the rows it marks go through the exact join.
     """
-    bad = bad.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    match = docs["doc_id"].eqNullSafe(bad["__id"]) & (text_hash(docs["text"]) == bad["__hash"])
-    return docs.join(bad, match, "left_anti")
+    packed = key_bitmap(bad.select(F.xxhash64("doc_id", "text_hash").alias("key")))
+
+    @F.pandas_udf("boolean")
+    def may_be_bad(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(packed, keys.to_numpy()))
+
+    marked = docs.withColumn("__marked", may_be_bad(F.xxhash64("doc_id", text_hash(F.col("text")))))
+    good = marked.where(~F.col("__marked")).drop("__marked")
+    rest = marked.where(F.col("__marked")).drop("__marked")
+    names = bad.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    match = rest["doc_id"].eqNullSafe(names["__id"]) & (text_hash(rest["text"]) == names["__hash"])
+    return good.unionByName(rest.join(names, match, "left_anti"))
 
 
 def text_hash(text: Column) -> Column:
