@@ -60,7 +60,7 @@ def anchors(found: DataFrame) -> DataFrame:
 
 
 class Fenwick:
-    """Largest (value, index) over prefixes."""
+    """Largest (value, index) over prefixes; of equal values the larger index."""
 
     def __init__(self, n: int):
         self.best = [(-np.inf, -1)] * (n + 1)
@@ -68,16 +68,14 @@ class Fenwick:
     def put(self, i: int, value: float, index: int) -> None:
         i += 1
         while i < len(self.best):
-            if value > self.best[i][0]:
-                self.best[i] = (value, index)
+            self.best[i] = max(self.best[i], (value, index))
             i += i & -i
 
     def before(self, i: int) -> tuple[float, int]:
         """Over places below i."""
         top = (-np.inf, -1)
         while i:
-            if self.best[i][0] > top[0]:
-                top = self.best[i]
+            top = max(top, self.best[i])
             i -= i & -i
         return top
 
@@ -97,15 +95,17 @@ def chains(at: np.ndarray, there: np.ndarray, seed: int = SEED, gap_cost: float
         j = i
         while j < len(order) and at[order[j]] == at[order[i]]:
             a = order[j]
-            value, prior = tree.before(int(rank[a]))
+            value, number = tree.before(int(rank[a]))
+            prior = int(order[number]) if number >= 0 else -1
             gain = value - gap_cost * (int(at[a]) + int(there[a]))
             score[a] = seed
             if prior >= 0 and gain > 0:
                 new = min(seed, int(at[a] - at[prior]), int(there[a] - there[prior]))  # words not yet counted
                 score[a], back[a] = gain + new, prior
             j += 1
-        for a in order[i:j]:  # anchors of one place must not follow each other
-            tree.put(int(rank[a]), score[a] + gap_cost * (int(at[a]) + int(there[a])), int(a))
+        for x in range(i, j):  # anchors of one place must not follow each other
+            a = order[x]
+            tree.put(int(rank[a]), float(score[a] + gap_cost * (int(at[a]) + int(there[a]))), x)
         i = j
     out, used = [], np.zeros(len(at), bool)
     for end in np.argsort(-score, kind="stable"):
@@ -179,53 +179,70 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return docs.select(key().alias("key"), "text").mapInArrow(run, "key long, words array<int>").join(needed, "key", "left_semi").dropDuplicates(["key"])
 
 
-def align(a: np.ndarray, b: np.ndarray, band: int = BAND) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of equal words in a global banded alignment of the fewest edits, in order.
+def align_all(pairs: list[tuple[np.ndarray, np.ndarray]], band: int = BAND) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each pair of word sequences the positions of equal words, in order, in a global alignment of the fewest edits.
 
-    The band lies around the line from one pair of ends to the other.
+    Rows of all pairs are filled at once, in a band around the line from one pair of ends to the other.
     """
-    n, m = len(a), len(b)
-    if n == m and (a == b).mean() >= 0.9:
-        same = np.flatnonzero(a == b)
-        return same, same
-    centre = np.arange(n + 1) * m // max(n, 1)
-    width = band + int(np.diff(centre).max(initial=1))
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(pairs)
+    order = sorted((i for i, (a, b) in enumerate(pairs) if len(a) and len(b)), key=lambda i: -len(pairs[i][0]))
+    while order:
+        longest = len(pairs[order[0]][0])
+        many = max(1, min(256, 4_000_000 // (longest * (2 * band + 8))))
+        for i, found in zip(order[:many], _align_group([pairs[i] for i in order[:many]], band), strict=True):
+            out[i] = found
+        order = order[many:]
+    return out
+
+
+def _align_group(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``align_all`` for a few pairs, those of longer first sequences first."""
+    n, m = (np.array([len(p[s]) for p in pairs]) for s in (0, 1))
+    width = band + int(np.ceil(m / n).max())
     offsets = np.arange(-width, width + 1)
-    far = n + m + 1
-    cost = np.where((offsets >= 0) & (offsets <= m), offsets, far)
-    moves = np.zeros((n + 1, len(offsets)), np.uint8)  # 0 match or change, 1 skip in a, 2 skip in b
-    moves[0] = 2
-    for i in range(1, n + 1):
-        j = centre[i] + offsets
-        shift = centre[i] - centre[i - 1]
-        up = np.full(len(offsets), far)
-        up[: len(offsets) - shift] = cost[shift:]
-        diagonal = np.full(len(offsets), far)
-        lo = max(0, 1 - shift)
-        source = cost[max(0, shift - 1) :]
-        diagonal[lo : lo + len(source)] = source[: len(offsets) - lo]
-        valid = (j >= 1) & (j <= m)
-        differs = np.ones(len(offsets), np.int64)
-        differs[valid] = a[i - 1] != b[j[valid] - 1]
-        diagonal = np.where(valid, diagonal + differs, far)
-        new = np.minimum(diagonal, up + 1)
-        moves[i] = np.where(diagonal <= up + 1, 0, 1)
-        new[(j < 0) | (j > m)] = far
-        run = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
-        moves[i][run < new] = 2
-        cost = np.where((j < 0) | (j > m), far, run)
-    i, j, left, right = n, m, [], []
-    while i > 0 or j > 0:
-        move = moves[i][j - centre[i] + width] if abs(j - centre[i]) <= width else (1 if j < centre[i] else 2)
-        if move == 0 and i > 0 and j > 0:
-            i, j = i - 1, j - 1
-            if a[i] == b[j]:
-                left.append(i), right.append(j)
-        elif (move == 1 and i > 0) or j == 0:
-            i -= 1
-        else:
-            j -= 1
-    return np.array(left[::-1], np.int64), np.array(right[::-1], np.int64)
+    a = np.full((len(pairs), n.max()), -1, np.int64)
+    b = np.full((len(pairs), m.max() + 1), -2, np.int64)
+    for i, (x, y) in enumerate(pairs):
+        a[i, : len(x)], b[i, : len(y)] = x, y
+    far = int(n.max() + m.max() + 1)
+    cost = np.where((offsets >= 0) & (offsets <= m[:, None]), offsets, far)
+    moves = np.full((n.max() + 1, len(pairs), len(offsets)), 2, np.uint8)  # 0 match or change, 1 skip in a, 2 skip in b
+    centre = np.zeros(len(pairs), np.int64)
+    place = np.arange(len(offsets))
+    for i in range(1, int(n.max()) + 1):
+        k = int((n >= i).sum())
+        before, centre = centre[:k], i * m[:k] // n[:k]
+        source = place + (centre - before)[:, None]
+        padded = np.concatenate((np.full((k, 1), far), cost[:k], np.full((k, width + 1), far)), axis=1)
+        up = np.take_along_axis(padded, source + 1, 1) + 1
+        j = centre[:, None] + offsets
+        inside = (j >= 1) & (j <= m[:k, None])
+        differs = a[:k, i - 1, None] != np.take_along_axis(b[:k], np.clip(j - 1, 0, b.shape[1] - 1), 1)
+        diagonal = np.where(inside, np.take_along_axis(padded, source, 1) + differs, far)
+        new = np.minimum(diagonal, up)
+        outside = (j < 0) | (j > m[:k, None])
+        new[outside] = far
+        run = np.minimum.accumulate(new - place, axis=1) + place
+        moves[i, :k] = np.where(run < new, 2, np.where(diagonal <= up, 0, 1))
+        run[outside] = far
+        cost = run
+    found = []
+    for p, (x, y) in enumerate(pairs):
+        i, j, left, right = len(x), len(y), [], []
+        own = moves[:, p]
+        while i and j:
+            at = j - i * len(y) // len(x) + width
+            move = own[i, at] if 0 <= at < len(offsets) else (1 if at < 0 else 2)
+            if move == 0:
+                i, j = i - 1, j - 1
+                if x[i] == y[j]:
+                    left.append(i), right.append(j)
+            elif move == 1:
+                i -= 1
+            else:
+                j -= 1
+        found.append((np.array(left[::-1], np.int64), np.array(right[::-1], np.int64)))
+    return found
 
 
 def best_run(left: np.ndarray, right: np.ndarray, identity: float) -> tuple[int, int] | None:
@@ -240,27 +257,49 @@ def best_run(left: np.ndarray, right: np.ndarray, identity: float) -> tuple[int,
     return begin, end
 
 
+def _passage(left: np.ndarray, right: np.ndarray, least: int, identity: float) -> tuple[int, int, int, int, float] | None:
+    """(start, stop, other start, other stop, identity) of the best run of matches if it is long and alike enough."""
+    ends = best_run(left, right, identity)
+    if ends is None:
+        return None
+    a, b = ends
+    sizes = int(left[b] - left[a]) + 1, int(right[b] - right[a]) + 1
+    same = (b - a + 1) / max(sizes)
+    if min(sizes) < least or same < identity:
+        return None
+    return int(left[a]), int(left[b]) + 1, int(right[a]), int(right[b]) + 1, same
+
+
 def aligned(pairs: DataFrame, least: int, identity: float) -> DataFrame:
-    """The passages of candidates whose slices are at hand: x from x_from on, y from y_from on."""
+    """The passages of candidates whose slices are at hand: x from x_from on, y from y_from on.
+
+    The slices face each other at the chain's start. If a passage on that diagonal covers the chain (from
+    core_from to core_to in x), nothing was put in or left out; all other candidates are aligned, but for slices
+    that have too few words in common to hold a passage.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = []
-            for c in (2, 4):
-                col = batch.column(c)
-                lists.append((col.flatten().to_numpy(), col.offsets.to_numpy() - col.offsets[0].as_py()))
-            (xs, xo), (ys, yo) = lists
-            x_from, y_from = batch.column(3).to_numpy(), batch.column(5).to_numpy()
-            rows = []
+            (xs, xo), (ys, yo) = ((batch.column(c).flatten().to_numpy(), batch.column(c).offsets.to_numpy() - batch.column(c).offsets[0].as_py()) for c in (2, 4))
+            x_from, y_from, core_from, core_to = (batch.column(c).to_numpy() for c in (3, 5, 6, 7))
+            rows: list[tuple] = []
+
+            def add(i: int, p: tuple[int, int, int, int, float], rows: list[tuple] = rows, x_from=x_from, y_from=y_from) -> None:
+                rows.append((i, int(x_from[i]) + p[0], int(x_from[i]) + p[1], int(y_from[i]) + p[2], int(y_from[i]) + p[3], p[4]))
+
+            hard: list[int] = []
+            slices: list[tuple[np.ndarray, np.ndarray]] = []
             for i in range(batch.num_rows):
-                left, right = align(xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]])
-                ends = best_run(left, right, identity)
-                if ends is None:
-                    continue
-                a, b = ends
-                n = int(max(left[b] - left[a], right[b] - right[a])) + 1
-                if min(left[b] - left[a], right[b] - right[a]) + 1 >= least and b - a + 1 >= identity * n:
-                    rows.append((i, int(x_from[i] + left[a]), int(x_from[i] + left[b]) + 1, int(y_from[i] + right[a]), int(y_from[i] + right[b]) + 1, (b - a + 1) / n))
+                x, y = xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]
+                same = np.flatnonzero(x[: len(y)] == y[: len(x)])
+                direct = _passage(same, same, least, identity)
+                if direct and direct[0] <= core_from[i] and direct[1] >= core_to[i]:
+                    add(i, direct)
+                elif min(len(x), len(y)) >= least and np.isin(x, y).sum() >= identity * least:
+                    hard.append(i), slices.append((x, y))
+            for i, (left, right) in zip(hard, align_all(slices), strict=True):
+                if found := _passage(left, right, least, identity):
+                    add(i, found)
             if rows:
                 which, *spans, same = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), *(pa.array(s, pa.int32()) for s in spans), pa.array(same)], names=["key", "other", "start", "stop", "other_start", "other_stop", "identity"])
@@ -283,13 +322,14 @@ def passages(docs: DataFrame, least: int = LEAST_WORDS, identity: float = IDENTI
     cut = one.select(
         "key", "other", (F.col("start") - before).alias("x_from"), (F.col("other_start") - before).alias("y_from"), "other_stop",
         F.least(F.lit(MARGIN), F.size("w") - F.col("stop")).alias("after"), F.slice("w", F.col("start") - before + 1, F.col("stop") - F.col("start") + before + MARGIN).alias("x"),
-        F.col("stop"),
+        "start", "stop",
     )
     two = cut.join(texts.select(F.col("key").alias("other"), F.col("words").alias("w")), "other")
     after = F.least("after", F.size("w") - F.col("other_stop"))
     ready = two.select(
         "key", "other", F.slice("x", F.lit(1), F.col("stop") - F.col("x_from") + after).alias("x"), "x_from",
         F.slice("w", F.col("y_from") + 1, F.col("other_stop") - F.col("y_from") + after).alias("y"), "y_from",
+        (F.col("start") - F.col("x_from")).alias("core_from"), (F.col("stop") - F.col("x_from")).alias("core_to"),
     )
     return aligned(ready, least, identity).distinct()
 
