@@ -2,7 +2,7 @@
 
 A text is the multiset of its runs of five words (lower-cased, as in ``words.ALNUM``). BagMinHash assigns
 to every element a Poisson process over (time, weight level, signature component); a signature keeps, for
-each component, the first time at which a point of any element falls below that element's weight. Two
+each component, the first point of any element that falls below that element's weight. Two
 texts agree in a component with the probability of their weighted Jaccard similarity. The weight axis is
 cut into dyadic intervals [0,1) [1,2) [2,4) [4,8) ...; points of an interval that the weight reaches only
 in part are thinned by their level, so texts with different weights of an element share the points below
@@ -61,8 +61,13 @@ def _uniform(bits: np.ndarray) -> np.ndarray:
 
 
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m: int) -> np.ndarray:
-    """BagMinHash signatures (n x m times; infinite for texts without elements) of integer weights."""
+    """BagMinHash signatures of integer weights: n x m hashes of the first points (0 for texts without elements).
+
+    A point is known by its element, level and number, so it is the same wherever its text stands. Its time is
+    the running sum of its process, one point after the other, however many points are drawn at once.
+    """
     sig = np.full((n, m), np.inf)
+    first = np.zeros((n, m), np.uint64)
     levels = np.array([0, *[1 << i for i in range(40)]])
     parts = []
     for j in range(len(levels) - 1):
@@ -71,19 +76,20 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
             break
         parts.append((have, np.full(len(have), j)))
     if not parts:
-        return sig
+        return first
     who = np.concatenate([p[0] for p in parts])
     level = np.concatenate([p[1] for p in parts])
     owner, reach, start = doc[who], weight[who], levels[level]
     width = levels[level + 1] - start
     seed = W.mixed(element[who] + level.astype(np.uint64) * _SECOND)
-    time, step = np.zeros(len(who)), 0
-    flat = sig.ravel()
+    passed, step = np.zeros(len(who)), 0
+    flat, marks = sig.ravel(), first.ravel()
     while len(owner):
         k = int(np.clip(8192 // len(owner), 1, 64))  # few processes left: several points of each at once
         turn = np.arange(step + 1, step + k + 1, dtype=np.uint64) * _STEP
         bits = W.mixed(seed[:, None] + turn)
-        times = time[:, None] + np.cumsum(-np.log(_uniform(bits)), axis=1) / (m * width)[:, None]
+        sums = np.add.accumulate(np.concatenate((passed[:, None], -np.log(_uniform(bits))), axis=1), axis=1)[:, 1:]
+        times = sums / (m * width)[:, None]
         second = W.mixed(bits ^ _SECOND)
         component = ((second >> np.uint64(40)) * np.uint64(m) >> np.uint64(24)).astype(np.int64)
         fits = np.ones(times.shape, bool)
@@ -91,16 +97,19 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int,
         if len(part):
             third = _uniform(W.mixed(second[part] ^ _STEP))
             fits[part] = start[part, None] + np.floor(third * width[part, None]) < reach[part, None]
-        where = owner[:, None] * m + component
-        np.minimum.at(flat, where[fits], times[fits])
-        time, step = times[:, -1], step + k
-        open_ = time < sig.max(axis=1)[owner]
-        owner, reach, start, width, seed, time = (x[open_] for x in (owner, reach, start, width, seed, time))
-    return sig
+        where, when, point = (owner[:, None] * m + component)[fits], times[fits], bits[fits]
+        before = flat[where]
+        np.minimum.at(flat, where, when)
+        won = (when == flat[where]) & (when < before)
+        marks[where[won]] = point[won]
+        passed, step = sums[:, -1], step + k
+        open_ = times[:, -1] < sig.max(axis=1)[owner]
+        owner, reach, start, width, seed, passed = (x[open_] for x in (owner, reach, start, width, seed, passed))
+    return first
 
 
 def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    bits = np.ascontiguousarray(sig).view(np.uint64).reshape(len(sig), bands, rows)
+    bits = sig.reshape(len(sig), bands, rows)
     h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(sig), bands)).copy()
     for r in range(rows):
         h = W.mixed(h * W.MULTIPLIER + bits[:, :, r])

@@ -33,6 +33,21 @@ def test_signatures_estimate_weighted_jaccard():
             assert (sig[i] == sig[j]).mean() == pytest.approx(true, abs=0.03)
 
 
+def test_signatures_do_not_depend_on_the_block():
+    rng = random.Random(3)
+    texts = [" ".join(f"v{rng.randint(0, 5000)}" for _ in range(n)) for n in (4, 19, 34, 54, 104, 304)]
+    texts += [" ".join(t.split()[:40] * 3) for t in texts[3:]]
+    others = [" ".join(f"o{rng.randint(0, 9000)}" for _ in range(200)) for _ in range(80)]
+
+    def bands(block):
+        words = W.split(next(W.blocks(pa.array(block))))
+        return B.band_hashes(B.signatures(*B.bags(words), len(block), B.BANDS * B.ROWS), B.BANDS, B.ROWS)
+
+    inside = bands(others[:40] + texts + others[40:])[40 : 40 + len(texts)]
+    for i, text in enumerate(texts):
+        assert bands([text])[0].tolist() == inside[i].tolist()
+
+
 def test_overlaps_count_shared_elements():
     rng = np.random.default_rng(1)
     sets = [rng.choice(60, rng.integers(0, 40), replace=False).astype(np.int64) for _ in range(30)]
