@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import bagminhash, decontaminate, pieces, quality, surrogates
 from millrace.llm.queries import PIECE_MODEL, SURROGATE_KEY
-from millrace.llm.tables import drop_where, importable, read, remainder
+from millrace.llm.tables import drop_where, importable, one_where, read, remainder
 from millrace.session import durable
 
 
@@ -27,10 +27,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, and one row of those repeated as a whole.
+
+    Rows without an id and without words are not known to be copies of each other: all stay.
+    """
     importable(spark)
-    classes = bagminhash.near_duplicates(docs)
-    return drop_where(docs, durable(classes.where(~F.col("kept")).select("doc_id", "text_hash"), "copies"))
+    classes = durable(bagminhash.near_duplicates(docs), "near-duplicates")
+    one = drop_where(docs, classes.where(~F.col("kept")).select("doc_id", "text_hash"))
+    heads = classes.where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    again = durable(heads.where("rows > 1").select("doc_id", "text_hash"), "repeated-rows")
+    return one if again.isEmpty() else one_where(one, again, F.col("doc_id").isNotNull() | F.col("text").rlike("[0-9A-Za-z]|[^\\x00-\\x7F]"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

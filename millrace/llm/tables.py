@@ -40,19 +40,24 @@ def in_bitmap(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (packed[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
+def _marked(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """``docs`` with __marked: whether a bitmap lets the row be one of ``named`` (doc_id, text_hash)."""
+    packed = key_bitmap(named.select(F.xxhash64("doc_id", "text_hash").alias("key")))
+
+    @F.pandas_udf("boolean")
+    def may_be(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(packed, keys.to_numpy()))
+
+    return docs.withColumn("__marked", may_be(F.xxhash64("doc_id", text_hash(F.col("text")))))
+
+
 def drop_where(docs: DataFrame, bad: DataFrame) -> DataFrame:
     """``docs`` without the rows whose (doc_id, text_hash) are in ``bad``, which should be stored.
 
     Null ids count as equal to each other. Rows that a bitmap of the bad keys rules out pass as they are, so
     their texts are neither joined nor shuffled at any size; only the rows it marks go through the exact join.
     """
-    packed = key_bitmap(bad.select(F.xxhash64("doc_id", "text_hash").alias("key")))
-
-    @F.pandas_udf("boolean")
-    def may_be_bad(keys: pd.Series) -> pd.Series:
-        return pd.Series(in_bitmap(packed, keys.to_numpy()))
-
-    marked = docs.withColumn("__marked", may_be_bad(F.xxhash64("doc_id", text_hash(F.col("text")))))
+    marked = _marked(docs, bad)
     good = marked.where(~F.col("__marked")).drop("__marked")
     rest = marked.where(F.col("__marked")).drop("__marked")
     names = bad.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
@@ -60,6 +65,18 @@ def drop_where(docs: DataFrame, bad: DataFrame) -> DataFrame:
     return good.unionByName(rest.join(names, match, "left_anti"))
 
 
+def one_where(docs: DataFrame, repeated: DataFrame, where: Column) -> DataFrame:
+    """``docs`` with one row of each (doc_id, text_hash) of ``repeated``, among the rows that hold ``where``.
+
+    Null ids count as equal to each other. Rows that a bitmap of the keys rules out pass as they are; a row that
+    it lets through by chance is the only one of its key and stays.
+    """
+    marked = _marked(docs, repeated).withColumn("__marked", F.col("__marked") & F.coalesce(where, F.lit(False)))
+    good = marked.where(~F.col("__marked")).drop("__marked")
+    rest = marked.where(F.col("__marked")).drop("__marked").withColumn("__hash", text_hash(F.col("text")))
+    return good.unionByName(rest.dropDuplicates(["doc_id", "__hash"]).drop("__hash"))
+
+
 def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 

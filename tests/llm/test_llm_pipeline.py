@@ -42,3 +42,12 @@ def test_nothing_to_do(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = durable(stage(spark, docs, PATH))
         assert docs.count() == 0
+
+
+def test_rows_repeated_as_a_whole_leave_one(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (1, text), (1, text), (2, "a b c d e f g"), (None, "no id at all here"), (None, "no id at all here"), (None, "NO id at all here!"), (3, ""), (3, ""), (None, "?"), (None, "?"), (None, None), (4, "other words")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n long")
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, PATH).collect()), key=repr)
+    nameless = next(t for i, t in left if i is None and t and "id" in t)
+    assert left == sorted([(1, text), (2, "a b c d e f g"), (3, ""), (4, "other words"), (None, nameless), (None, "?"), (None, "?"), (None, None)], key=repr)
