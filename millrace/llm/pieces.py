@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding on the tokenizers library.
 
 The model's protobuf is parsed here; normaliser, metaspace marker, merges or unigram scores and byte
-fallback are rebuilt from it. A parity check runs the sentencepiece library on a share of the texts.
+fallback are rebuilt from it. A parity check runs the sentencepiece library on every text (or, if asked, on a share of them).
 
 Where no piece holds the marker behind another character (checked when the model is loaded), a text
 falls into segments (a run of spaces and what follows it) that encode independently. A block of texts
@@ -250,12 +250,12 @@ def _encoder(proto: bytes, threads: int) -> Encoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("doc_id",), threads: int = 2, parity_every: int = 16) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("doc_id",), threads: int = 2, parity_every: int = 1) -> DataFrame:
     """``keep``, ids (array<int>), n_tokens, n_byte_tokens, round_trip and parity of each row's whole text.
 
     ``round_trip``: decoding the ids gives the text back (of a normalising model: the normalised text may
     differ, then false). ``parity``: whether the sentencepiece library gives the same ids; asked for the rows
-    whose text hash is divisible by ``parity_every`` (1: all), null elsewhere. Null and empty texts have no
+    whose text hash is divisible by ``parity_every`` (1, as by default: all), null elsewhere. Null and empty texts have no
     ids. Every row has one result, repeated ones too; an empty table gives no rows. The model file is read
     once by the driver (its vocabulary bounds its size) and travels with the tasks.
     """

@@ -87,3 +87,10 @@ def test_encode_and_decode_tables(spark, odd, none):
     back = P.decode(coded.select("doc_id", "ids"), MODEL).collect()
     assert sorted(r.text for r in back) == sorted((r.text or "").replace("▁", " ") for r in rows)
     assert P.encode(none, MODEL).count() == 0
+
+
+def test_registered_query_checks_every_row(spark):
+    from millrace.llm.queries import QUERIES
+
+    rows = QUERIES["op2_sentencepiece"](spark, "/root/testdata/sf0.001").select("parity").collect()
+    assert len(rows) > 100 and all(r.parity for r in rows)
