@@ -257,17 +257,24 @@ def best_run(left: np.ndarray, right: np.ndarray, identity: float) -> tuple[int,
     return begin, end
 
 
-def _passage(left: np.ndarray, right: np.ndarray, least: int, identity: float) -> tuple[int, int, int, int, float] | None:
-    """(start, stop, other start, other stop, identity) of the best run of matches if it is long and alike enough."""
-    ends = best_run(left, right, identity)
-    if ends is None:
-        return None
-    a, b = ends
-    sizes = int(left[b] - left[a]) + 1, int(right[b] - right[a]) + 1
-    same = (b - a + 1) / max(sizes)
-    if min(sizes) < least or same < identity:
-        return None
-    return int(left[a]), int(left[b]) + 1, int(right[a]), int(right[b]) + 1, same
+def _passages(left: np.ndarray, right: np.ndarray, least: int, identity: float) -> list[tuple[int, int, int, int, float]]:
+    """(start, stop, other start, other stop, identity) of all disjoint best runs of matches that are long and alike enough.
+
+    The best run is taken, then the best ones of what lies before and after it, as long as a part has matches enough.
+    """
+    out, parts = [], [(0, len(left))]
+    while parts:
+        lo, hi = parts.pop()
+        if hi - lo < identity * least:
+            continue
+        ends = best_run(left[lo:hi], right[lo:hi], identity)
+        a, b = lo + ends[0], lo + ends[1]
+        sizes = int(left[b] - left[a]) + 1, int(right[b] - right[a]) + 1
+        same = (b - a + 1) / max(sizes)
+        if min(sizes) >= least and same >= identity:
+            out.append((int(left[a]), int(left[b]) + 1, int(right[a]), int(right[b]) + 1, same))
+        parts += [(lo, a), (b + 1, hi)]
+    return sorted(out)
 
 
 def aligned(pairs: DataFrame, least: int, identity: float) -> DataFrame:
@@ -292,14 +299,15 @@ def aligned(pairs: DataFrame, least: int, identity: float) -> DataFrame:
             for i in range(batch.num_rows):
                 x, y = xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]
                 same = np.flatnonzero(x[: len(y)] == y[: len(x)])
-                direct = _passage(same, same, least, identity)
-                if direct and direct[0] <= core_from[i] and direct[1] >= core_to[i]:
-                    add(i, direct)
+                direct = _passages(same, same, least, identity)
+                if any(p[0] <= core_from[i] and p[1] >= core_to[i] for p in direct):
+                    for p in direct:
+                        add(i, p)
                 elif min(len(x), len(y)) >= least and np.isin(x, y).sum() >= identity * least:
                     hard.append(i), slices.append((x, y))
             for i, (left, right) in zip(hard, align_all(slices), strict=True):
-                if found := _passage(left, right, least, identity):
-                    add(i, found)
+                for p in _passages(left, right, least, identity):
+                    add(i, p)
             if rows:
                 which, *spans, same = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), *(pa.array(s, pa.int32()) for s in spans), pa.array(same)], names=["key", "other", "start", "stop", "other_start", "other_stop", "identity"])

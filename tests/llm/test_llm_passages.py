@@ -80,6 +80,18 @@ def test_planted_passages(spark):
     assert len(alnum(rows[0][1])) == 220
 
 
+def test_all_passages_of_a_piece(spark):
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randint(0, 90000)}" for _ in range(n)]
+    parts = [words(65) for _ in range(20)]
+    with_gaps = lambda sizes: [w for p, n in zip(parts, sizes, strict=True) for w in p + words(n)]
+    docs = [(1, " ".join(with_gaps([25] * 20))), (2, " ".join(with_gaps([25] * 20))), (3, " ".join(words(30) + with_gaps([20, 27] * 10)))]
+    got = {r.doc_id: r for r in P.repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: len(got[i].spans) for i in got} == {1: 20, 2: 20, 3: 20}
+    assert [tuple(s) for s in got[1].spans] == [tuple(s) for s in got[2].spans] == [(90 * i, 90 * i + 65) for i in range(20)]
+    assert all(r.n_repeated == 1300 for r in got.values())
+
+
 def test_odd_rows(odd, none):
     got = P.repeated(odd).collect()
     assert all(r.n_repeated >= 50 for r in got)
