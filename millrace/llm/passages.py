@@ -5,7 +5,7 @@ All occurrences of a seed are joined with the one in the document of the smalles
 of all documents costs one anchor per document, not one per pair. Each pair of documents then has a list of
 anchors (position, other position), no longer than the text; chaining picks ordered anchors whose total length
 less a linear gap cost is largest, by a Fenwick tree of prefix maxima. Chains are cut at long gaps, widened to
-both sides and aligned word by word; what is long and similar enough is a passage.
+both sides and aligned word by word between their anchors; what is long and similar enough is a passage.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from millrace.session import durable
 
 SEED, WINDOW = 6, 8
 LEAST_WORDS, IDENTITY = 50, 0.8
-GAP_COST, LONGEST_GAP, MARGIN, BAND = 0.05, 40, 60, 12
+GAP_COST, LONGEST_GAP, MARGIN = 0.05, 40, 60
 LEAST_ANCHORS = 2
 KEY_BITS = 24
 
@@ -119,18 +119,25 @@ def chains(at: np.ndarray, there: np.ndarray, seed: int = SEED, gap_cost: float
     return out
 
 
-def pieces_of(chain: list[int], at: np.ndarray, there: np.ndarray, longest: int = LONGEST_GAP) -> Iterator[tuple[int, int, int, int]]:
-    """(start, stop, other start, other stop) of a chain cut where either text has a long gap."""
+def pieces_of(chain: list[int], at: np.ndarray, there: np.ndarray, longest: int = LONGEST_GAP) -> Iterator[tuple[int, int, int, int, list[int]]]:
+    """(start, stop, other start, other stop, anchors) of a chain cut where either text has a long gap."""
     begin = 0
     for i in range(1, len(chain) + 1):
         if i == len(chain) or max(at[chain[i]] - at[chain[i - 1]], there[chain[i]] - there[chain[i - 1]]) > longest + SEED:
             a, b = chain[begin], chain[i - 1]
-            yield int(at[a]), int(at[b]) + SEED, int(there[a]), int(there[b]) + SEED
+            yield int(at[a]), int(at[b]) + SEED, int(there[a]), int(there[b]) + SEED, chain[begin:i]
             begin = i
 
 
+def lists_of(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in arrays]))), pa.int32()), pa.array(np.concatenate(arrays), pa.int32()))
+
+
 def candidates(pairs: DataFrame) -> DataFrame:
-    """(key, other, start, stop, other_start, other_stop) of the pieces of all chains that margins can make long enough."""
+    """(key, other, start, stop, other_start, other_stop, marks) of the pieces of all chains that margins can make long enough.
+
+    ``marks`` are the piece's anchors, as places after start and after other_start in turns.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,17 +147,21 @@ def candidates(pairs: DataFrame) -> DataFrame:
             at, there = (flat.field(i).to_numpy() for i in (0, 1))
             base = offsets[0]
             rows: list[tuple[int, ...]] = []
+            marks: list[np.ndarray] = []
             for i in range(batch.num_rows):
                 lo, hi = offsets[i] - base, offsets[i + 1] - base
                 a, t = at[lo:hi].astype(np.int64), there[lo:hi].astype(np.int64)
                 for chain in chains(a, t):
                     if len(chain) >= LEAST_ANCHORS:
-                        rows += [(i, *p) for p in pieces_of(chain, a, t) if p[1] - p[0] > SEED]
+                        for *p, own in pieces_of(chain, a, t):
+                            if p[1] - p[0] > SEED:
+                                rows.append((i, *p))
+                                marks.append(np.stack((a[own] - p[0], t[own] - p[2]), axis=1).ravel().astype(np.int32))
             if rows:
                 which, *spans = (np.array(x) for x in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), *(pa.array(x.astype(np.int32)) for x in spans)], names=["key", "other", "start", "stop", "other_start", "other_stop"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), *(pa.array(x.astype(np.int32)) for x in spans), lists_of(marks)], names=["key", "other", "start", "stop", "other_start", "other_stop", "marks"])
 
-    return pairs.mapInArrow(run, "key long, other long, start int, stop int, other_start int, other_stop int")
+    return pairs.mapInArrow(run, "key long, other long, start int, stop int, other_start int, other_stop int, marks array<int>")
 
 
 def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -179,7 +190,7 @@ def _texts(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return docs.select(key().alias("key"), "text").mapInArrow(run, "key long, words array<int>").join(needed, "key", "left_semi").dropDuplicates(["key"])
 
 
-def align_all(pairs: list[tuple[np.ndarray, np.ndarray]], band: int = BAND) -> list[tuple[np.ndarray, np.ndarray]]:
+def align_all(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each pair of word sequences the positions of equal words, in order, in a global alignment of the fewest edits.
 
     Rows of all pairs are filled at once, in a band around the line from one pair of ends to the other.
@@ -245,6 +256,55 @@ def _align_group(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> list[
     return found
 
 
+def align_between(x: np.ndarray, y: np.ndarray, at: np.ndarray, there: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
+    """Runs of equal words (place in x, place in y, length) at the anchors of a chain, and what is between them.
+
+    Gaps are (start, stop in x; start, stop in y), at most LONGEST_GAP and a seed long in both texts, or a margin.
+    Where anchors overlap, the later one counts from where the earlier one ends in both texts.
+    """
+    runs, gaps, i, j = [], [], 0, 0
+    for a, t in zip(at.tolist(), there.tolist(), strict=True):
+        late = max(i - a, j - t, 0)
+        if late >= SEED:
+            continue
+        a, t = a + late, t + late
+        if a > i or t > j:
+            gaps.append((i, a, j, t))
+        runs.append((a, t, SEED - late))
+        i, j = a + SEED - late, t + SEED - late
+    gaps.append((i, len(x), j, len(y)))
+    return runs, gaps
+
+
+def align_chains(slices: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each (x, y, anchors in x, in y) the positions of equal words, in order: those of the anchors, and in each
+    gap between them, before and after them, those of an alignment of the fewest edits."""
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in slices]
+    owner: list[tuple[int, int, int]] = []
+    hard: list[tuple[np.ndarray, np.ndarray]] = []
+    for s, (x, y, at, there) in enumerate(slices):
+        runs, gaps = align_between(x, y, at, there)
+        found[s] += [(np.arange(a, a + n), np.arange(t, t + n)) for a, t, n in runs]
+        for i, i_end, j, j_end in gaps:
+            if i == i_end or j == j_end:
+                continue
+            p, q = x[i:i_end], y[j:j_end]
+            same = np.flatnonzero(p == q) if len(p) == len(q) else None
+            if same is not None and len(p) - len(same) <= 1:  # no other alignment has fewer edits
+                found[s].append((i + same, j + same))
+            else:
+                owner.append((s, i, j)), hard.append((p, q))
+    band = max((len(q) for _, q in hard), default=0)  # the whole matrix of every gap
+    for (s, i, j), (left, right) in zip(owner, align_all(hard, band), strict=True):
+        found[s].append((i + left, j + right))
+    out = []
+    for parts in found:
+        left, right = (np.concatenate([p[side] for p in parts] or [np.empty(0, np.int64)]) for side in (0, 1))
+        order = np.argsort(left, kind="stable")
+        out.append((left[order], right[order]))
+    return out
+
+
 def best_run(left: np.ndarray, right: np.ndarray, identity: float) -> tuple[int, int] | None:
     """First and last of the matched positions with the largest sum: a match counts 1 - identity, a skipped word -identity."""
     if not len(left):
@@ -281,8 +341,8 @@ def aligned(pairs: DataFrame, least: int, identity: float) -> DataFrame:
     """The passages of candidates whose slices are at hand: x from x_from on, y from y_from on.
 
     The slices face each other at the chain's start. If a passage on that diagonal covers the chain (from
-    core_from to core_to in x), nothing was put in or left out; all other candidates are aligned, but for slices
-    that have too few words in common to hold a passage.
+    core_from to core_to in x), nothing was put in or left out; all other candidates are aligned between their
+    anchors (marks, from the chain's start), but for slices that have too few words in common to hold a passage.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +355,8 @@ def aligned(pairs: DataFrame, least: int, identity: float) -> DataFrame:
                 rows.append((i, int(x_from[i]) + p[0], int(x_from[i]) + p[1], int(y_from[i]) + p[2], int(y_from[i]) + p[3], p[4]))
 
             hard: list[int] = []
-            slices: list[tuple[np.ndarray, np.ndarray]] = []
+            slices: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+            marks, mo = batch.column(8).flatten().to_numpy(), batch.column(8).offsets.to_numpy() - batch.column(8).offsets[0].as_py()
             for i in range(batch.num_rows):
                 x, y = xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]
                 same = np.flatnonzero(x[: len(y)] == y[: len(x)])
@@ -304,8 +365,9 @@ def aligned(pairs: DataFrame, least: int, identity: float) -> DataFrame:
                     for p in direct:
                         add(i, p)
                 elif min(len(x), len(y)) >= least and np.isin(x, y).sum() >= identity * least:
-                    hard.append(i), slices.append((x, y))
-            for i, (left, right) in zip(hard, align_all(slices), strict=True):
+                    own = core_from[i] + marks[mo[i] : mo[i + 1]].reshape(-1, 2)
+                    hard.append(i), slices.append((x, y, own[:, 0], own[:, 1]))
+            for i, (left, right) in zip(hard, align_chains(slices), strict=True):
                 for p in _passages(left, right, least, identity):
                     add(i, p)
             if rows:
@@ -330,14 +392,14 @@ def passages(docs: DataFrame, least: int = LEAST_WORDS, identity: float = IDENTI
     cut = one.select(
         "key", "other", (F.col("start") - before).alias("x_from"), (F.col("other_start") - before).alias("y_from"), "other_stop",
         F.least(F.lit(MARGIN), F.size("w") - F.col("stop")).alias("after"), F.slice("w", F.col("start") - before + 1, F.col("stop") - F.col("start") + before + MARGIN).alias("x"),
-        "start", "stop",
+        "start", "stop", "marks",
     )
     two = cut.join(texts.select(F.col("key").alias("other"), F.col("words").alias("w")), "other")
     after = F.least("after", F.size("w") - F.col("other_stop"))
     ready = two.select(
         "key", "other", F.slice("x", F.lit(1), F.col("stop") - F.col("x_from") + after).alias("x"), "x_from",
         F.slice("w", F.col("y_from") + 1, F.col("other_stop") - F.col("y_from") + after).alias("y"), "y_from",
-        (F.col("start") - F.col("x_from")).alias("core_from"), (F.col("stop") - F.col("x_from")).alias("core_to"),
+        (F.col("start") - F.col("x_from")).alias("core_from"), (F.col("stop") - F.col("x_from")).alias("core_to"), "marks",
     )
     return aligned(ready, least, identity).distinct()
 

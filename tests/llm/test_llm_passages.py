@@ -92,6 +92,31 @@ def test_all_passages_of_a_piece(spark):
     assert all(r.n_repeated == 1300 for r in got.values())
 
 
+def test_insertions_far_from_the_diagonal(spark):
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randint(0, 90000)}" for _ in range(n)]
+    base = words(2000)
+    inserted = base[:100] + words(30) + base[100:]
+    drifting = [w for i, x in enumerate(base) for w in ([x] + words(3) if i % 60 == 30 else [x])]
+    for changed in (inserted, drifting):
+        docs = [(1, " ".join(base)), (2, " ".join(changed))]
+        got = {r.doc_id: r for r in P.repeated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert got[1].n_repeated == 2000 and got[2].n_repeated >= 2000
+
+
+def test_chains_are_aligned_between_their_anchors():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        x = rng.integers(0, 10**6, 200)
+        y = np.concatenate([[w] * int(rng.choice([0, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2])) for w in x]).astype(np.int64)
+        both = [(i, j) for i in range(len(x) - P.SEED + 1) for j in range(len(y) - P.SEED + 1) if (x[i : i + P.SEED] == y[j : j + P.SEED]).all()]
+        at, there = np.array(both or np.empty((0, 2)), np.int64).T
+        (left, right), = P.align_chains([(x, y, at, there)])
+        assert (x[left] == y[right]).all() and (np.diff(left) > 0).all() and (np.diff(right) > 0).all()
+        ends_a, ends_b = np.concatenate(([-1], left, [len(x)])), np.concatenate(([-1], right, [len(y)]))
+        assert np.maximum(np.diff(ends_a), np.diff(ends_b)).sum() - (len(left) + 1) <= edits(x.tolist(), y.tolist())
+
+
 def test_odd_rows(odd, none):
     got = P.repeated(odd).collect()
     assert all(r.n_repeated >= 50 for r in got)
