@@ -23,12 +23,12 @@ def remainder(column: str, modulus: int) -> Column:
 BITMAP_BITS = 24
 
 
-def key_bitmap(keys: DataFrame, column: str = "key") -> np.ndarray:
-    """A bitmap of 2^24 bits, whatever the number of keys, of the leading bits of 64-bit keys."""
-    bit = F.shiftrightunsigned(column, 64 - BITMAP_BITS)
-    one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - BITMAP_BITS}) & 63 as int))")
+def key_bitmap(keys: DataFrame, column: str = "key", bits: int = BITMAP_BITS) -> np.ndarray:
+    """A bitmap of 2^``bits`` bits, whatever the number of keys, of the leading bits of 64-bit keys."""
+    bit = F.shiftrightunsigned(column, 64 - bits)
+    one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - bits}) & 63 as int))")
     rows = keys.select(F.shiftright(bit, 6).alias("word"), one.alias("one")).groupBy("word").agg(F.bit_or("one").alias("bits")).toPandas()
-    packed = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    packed = np.zeros(1 << (bits - 6), np.uint64)
     packed[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return packed
 

@@ -73,6 +73,32 @@ def test_against_plain_model(spark, token_share, ngram_share):
         assert sum(plain.p(history, w) for w in [*plain.c, "never seen"]) == pytest.approx(1)
 
 
+@pytest.mark.parametrize(("token_share", "cache_share"), [(2.0**-20, 2.0**-17), (0.02, 0.01), (0.5, 0.5)])
+def test_all_ngrams_are_kept_whatever_travels(spark, token_share, cache_share):
+    docs = [*corpus(random.Random(7)), (100, None), (102, "unseen the of the of the")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model, table = B.learn(frame.where("doc_id % 5 <> 1"), token_share, cache_share=cache_share)
+    plain = Plain([t for i, t in docs if i % 5 != 1], 0)
+    sizes = {r["size"]: r["count"] for r in table.groupBy("size").count().collect()}
+    assert sizes == {1: len(plain.c), 2: len(plain.two), 3: len(plain.three)}
+    got = {r.doc_id: r for r in B.score(frame, model, table).collect()}
+    for i, text in docs:
+        t = tokens(text)
+        assert got[i].n_known == sum(plain.c[w] > 0 for w in t)
+        assert got[i].base_score == pytest.approx(sum(math.log10(plain.base(w)) for w in t), rel=1e-9)
+        assert got[i].score == pytest.approx(plain.score(text), rel=1e-9)
+
+
+def test_ngrams_grow_with_the_corpus(spark):
+    """Pairs of a share below 2^-17 that occur three times each: more than any order could hold before."""
+    rows = [(i, f"a{i % 150_000} b{i % 150_000}") for i in range(450_000)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4), "doc_id long, text string")
+    model, table = B.learn(docs)
+    assert table.where("size = 2").count() == 300_000  # each pair, and each second token before the end
+    seen, turned = (B.score(spark.createDataFrame([(1, t)], "doc_id long, text string"), model, table).first() for t in ("a7 b7", "a7 b8"))
+    assert seen.base_score == pytest.approx(turned.base_score) and seen.score > turned.score + 2
+
+
 def test_odd_rows(odd, none):
     model, counts = B.learn(odd)
     got = B.score(odd, model, counts).collect()
