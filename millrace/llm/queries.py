@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import backoff, bagminhash, decontaminate, language, neighbours, passages, pieces, quality, surrogates, warc
+from millrace.llm import backoff, bagminhash, decontaminate, language, merkle, neighbours, passages, pieces, quality, surrogates, warc
 from millrace.llm.tables import importable, read, remainder
 
 #: A vocabulary file of a public SentencePiece model.
@@ -70,6 +70,20 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def leaf_of(text: Column) -> Column:
+        return merkle.leaf(*map(F.col, ("doc_id", "source", "lang", "n_chars")), text)
+
+    text = F.col("text")
+    changed = F.when(remainder("doc_id", 2) == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    rows = read(spark, sf_dir, "documents").select("doc_id", "source", leaf_of(text).alias("leaf"), leaf_of(changed).alias("claimed"))
+    proofs = merkle.prove(merkle.build(rows, F.col("source"), ["doc_id"]), ["doc_id", "claimed"])
+    folded = merkle.fold(F.col("claimed"), F.col("path"))
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -81,7 +95,7 @@ def _ready(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {f.__name__: _ready(f) for f in (op1_decontaminate, op2_sentencepiece, op3_language, op4_quality, op5_warc, op6_neighbours, op7_backoff, op8_surrogates, op9_passages, op10_bagminhash)}
+QUERIES: dict[str, Query] = {f.__name__: _ready(f) for f in (op1_decontaminate, op2_sentencepiece, op3_language, op4_quality, op5_warc, op6_neighbours, op7_backoff, op8_surrogates, op9_passages, op10_bagminhash, op11_merkle)}
 
 #: DuckDB tests windows as joined texts of words, so no hash is shared with the operator.
 OP1_SQL = r"""
