@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import backoff, bagminhash, decontaminate, language, merkle, neighbours, passages, pieces, quality, surrogates, warc
+from millrace.llm import backoff, bagminhash, decontaminate, language, merkle, neighbours, passages, pieces, quality, shards, surrogates, tries, warc
 from millrace.llm.tables import importable, read, remainder
 
 #: A vocabulary file of a public SentencePiece model.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Of the registered queries; an application passes its own secret.
 SURROGATE_KEY = "millrace checks"
+#: 24 shards in two regions of three racks, and the same with a 25th in the first rack.
+SHARDS = shards.Tree.uniform(2, 3, 4)
+GROWN_SHARDS = SHARDS.grown([shards.Shard("r0", "k0", 24)])
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +87,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.assign(read(spark, sf_dir, "documents"), SHARDS, GROWN_SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = tries.ordered(read(spark, sf_dir, "conversations"))
+    return tries.trie(tries.grafted(turns, F.col("conv_id") - F.col("conv_id") % 100, remainder("conv_id", 6), most=5))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -95,7 +108,7 @@ def _ready(query: Query) -> Query:
     return run
 
 
-QUERIES: dict[str, Query] = {f.__name__: _ready(f) for f in (op1_decontaminate, op2_sentencepiece, op3_language, op4_quality, op5_warc, op6_neighbours, op7_backoff, op8_surrogates, op9_passages, op10_bagminhash, op11_merkle)}
+QUERIES: dict[str, Query] = {f.__name__: _ready(f) for f in (op1_decontaminate, op2_sentencepiece, op3_language, op4_quality, op5_warc, op6_neighbours, op7_backoff, op8_surrogates, op9_passages, op10_bagminhash, op11_merkle, op12_hash_tree, op13_trie)}
 
 #: DuckDB tests windows as joined texts of words, so no hash is shared with the operator.
 OP1_SQL = r"""
