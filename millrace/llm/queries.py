@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import backoff, bagminhash, decontaminate, language, merkle, neighbours, passages, pieces, quality, shards, surrogates, tries, warc
+from millrace.llm.oracles import OP11_SQL, OP12_SQL, OP13_SQL
 from millrace.llm.tables import importable, read, remainder
 
 #: A vocabulary file of a public SentencePiece model.
@@ -137,4 +138,7 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WH
 FROM p LEFT JOIN f USING (d)
 """
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL.strip(), "op5_warc": OP5_SQL.strip()}
+ORACLES: dict[str, str] = {
+    name: sql.strip()
+    for name, sql in {"op1_decontaminate": OP1_SQL, "op5_warc": OP5_SQL, "op11_merkle": OP11_SQL, "op12_hash_tree": OP12_SQL, "op13_trie": OP13_SQL}.items()
+}
