@@ -101,21 +101,24 @@ def _paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=_PAGE_ARROW)
 
 
-def _grow(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Pages, from below, and roots of the trees of ``nodes`` (tree, rank, digest, height).
+def _grow(nodes: DataFrame, heights: DataFrame | int) -> tuple[list[DataFrame], DataFrame]:
+    """Pages, from below, and roots of the trees of ``nodes`` (tree, rank, digest).
 
-    ``height`` is how many levels a tree has above these nodes. A tree that ends lower than others hands its root up
-    through pages of no levels, so that a root and its leaves are as many pages apart in all trees.
+    ``heights`` (tree, height), or one number for all, tells how many levels a tree has above these nodes. A tree that ends lower than others hands
+    its root up through pages of no levels, so that a root and its leaves are as many pages apart in all trees.
     """
     pages = []
+    run = F.array_sort(F.collect_list(F.struct("rank", "digest"))).alias("nodes")
+    by = ("tree", F.floor(F.col("rank") / WIDTH).cast("long").alias("page"))
+    # Heights are joined to runs, not to nodes: grouping by page must not inherit a partitioning by tree.
+    runs = nodes.groupBy(*by).agg(run)
+    runs = runs.withColumn("height", F.lit(heights)) if isinstance(heights, int) else runs.join(heights, "tree")
     while True:
-        runs = nodes.groupBy("tree", F.floor(F.col("rank") / WIDTH).cast("long").alias("page")).agg(
-            F.max("height").alias("height"), F.array_sort(F.collect_list(F.struct("rank", "digest"))).alias("nodes")
-        )
-        pages.append(durable(runs.mapInArrow(_paged, _PAGE), "pages"))
+        pages.append(durable(runs.select("tree", "page", "height", "nodes").mapInArrow(_paged, _PAGE), "pages"))
         nodes = pages[-1].select("tree", F.col("page").alias("rank"), "digest", "height")
         if not nodes.agg(F.max("rank")).first()[0]:
             return pages, nodes
+        runs = nodes.groupBy(*by).agg(F.max("height").alias("height"), run)
 
 
 def _height(count: Column) -> Column:
@@ -134,10 +137,10 @@ def build(rows: DataFrame, tree: Column, order: Sequence[str]) -> Manifest:
     forget(named)
     heights = leaves.groupBy(F.col("__tree").alias("tree")).agg(F.count("*").alias("n")).select("tree", _height(F.col("n")).alias("height"))
     nodes = leaves.select(F.col("__tree").alias("tree"), F.col("__rank").alias("rank"), F.col("leaf").alias("digest"))
-    pages, subroots = _grow(nodes.join(heights, "tree"))
+    pages, subroots = _grow(nodes, heights)
     trees = durable(positions(subroots.select("tree", "digest"), ["tree"], name="rank"), "trees")
-    one = trees.select(F.lit("").alias("tree"), "rank", "digest", _height(F.lit(trees.count())).alias("height"))
-    forest, top = _grow(one)
+    count = trees.count()
+    forest, top = _grow(trees.select(F.lit("").alias("tree"), "rank", "digest"), sum(FAN**i < count for i in range(40)))
     root = top.first()
     return Manifest(leaves, trees, pages, forest, root["digest"] if root else None)
 
@@ -168,6 +171,7 @@ class _Page:
 
 
 _PATH = "array<struct<digit: int, others: array<string>>>"
+_REQUEST = f"tree string, subroot string, rank long, digest string, path {_PATH}"
 _PATH_ARROW = pa.list_(pa.struct([("digit", pa.int32()), ("others", pa.list_(pa.string()))]))
 
 
@@ -177,8 +181,8 @@ def _with_page(requests: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def _step(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """Requests (tree, rank, digest, path) for all that lies one page below those given."""
-    schema = pa.schema([("tree", pa.string()), ("rank", pa.int64()), ("digest", pa.string()), ("path", _PATH_ARROW)])
+    """Requests (tree, subroot, rank, digest, path) for all that lies one page below those given."""
+    schema = pa.schema([("tree", pa.string()), ("subroot", pa.string()), ("rank", pa.int64()), ("digest", pa.string()), ("path", _PATH_ARROW)])
 
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,11 +190,11 @@ def _step(requests: DataFrame, pages: DataFrame) -> DataFrame:
                 page, rows = _Page(r["digest"], r["levels"], r["records"]), []
                 for place in range(page.width()):
                     at, path = page.descend(place)
-                    rows.append({"tree": r["tree"], "rank": r["rank"] * WIDTH + place, "digest": at, "path": r["path"] + path})
+                    rows.append({"tree": r["tree"], "subroot": r["subroot"], "rank": r["rank"] * WIDTH + place, "digest": at, "path": r["path"] + path})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    joined = _with_page(requests, pages).select("tree", "rank", "digest", "levels", "records", "path")
-    return durable(joined.mapInArrow(below, f"tree string, rank long, digest string, path {_PATH}"), "requests")
+    joined = _with_page(requests, pages).select("tree", "subroot", "rank", "digest", "levels", "records", "path")
+    return durable(joined.mapInArrow(below, _REQUEST), "requests")
 
 
 def prove(manifest: Manifest, keep: Sequence[str]) -> DataFrame:
@@ -200,12 +204,13 @@ def prove(manifest: Manifest, keep: Sequence[str]) -> DataFrame:
     below it; the path down to a page is carried with the page's requests, and only the last step makes a row of each leaf.
     """
     spark = manifest.leaves.sparkSession
-    at = spark.createDataFrame([("", 0, manifest.root, [])] if manifest.root else [], f"tree string, rank long, digest string, path {_PATH}")
+    at = spark.createDataFrame([("", None, 0, manifest.root, [])] if manifest.root else [], _REQUEST)
     for pages in reversed(manifest.forest):
         at = _step(at, pages)
     names = manifest.trees.select(F.col("tree").alias("name"), F.col("rank").alias("number"))
-    at = at.join(names, at["rank"] == names["number"]).select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("rank"), "digest", "path")
-    roots = manifest.trees.select("tree", F.col("digest").alias("subroot"))
+    at = at.join(names, at["rank"] == names["number"]).select(
+        F.col("name").alias("tree"), F.col("digest").alias("subroot"), F.lit(0).cast("long").alias("rank"), "digest", "path"
+    )
     for pages in reversed(manifest.pages[1:]):
         at = _step(at, pages)
 
@@ -214,7 +219,7 @@ def prove(manifest: Manifest, keep: Sequence[str]) -> DataFrame:
     asked = carried.groupBy("tree", F.floor(F.col("rank") / WIDTH).cast("long").alias("page")).agg(
         F.collect_list(F.struct((F.col("rank") % WIDTH).cast("int").alias("place"), *(f"c{i}" for i in range(len(keep))))).alias("places")
     )
-    last = _with_page(at, manifest.pages[0]).join(asked.withColumnRenamed("page", "rank"), ["tree", "rank"]).join(roots, "tree")
+    last = _with_page(at, manifest.pages[0]).join(asked.withColumnRenamed("page", "rank"), ["tree", "rank"])
 
     def proofs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
