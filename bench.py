@@ -29,7 +29,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 #: Jobs that go through all raw rows; the others read the clean lake, but for two with tables of their own.
-FROM_RAW = {"ingest_count", "ingest_all_cells", "clean_profile", "build_with_rejects", "persist", "reject_summary"}
+FROM_RAW = {"ingest_count", "ingest_all_cells", "clean_profile", "build_with_rejects", "build_with_lost_cells", "persist", "reject_summary"}
 LAKE: dict[str, str] = {}
 
 
@@ -97,6 +97,16 @@ def jobs(spark: SparkSession) -> dict[str, Callable[[], object]]:
         predicted = model.predict(split.where("is_test"))
         sink(regression.regression_metrics(predicted, taxi.ML_TARGET, "prediction"))
 
+    def from_factors() -> None:
+        split = taxi.split_model_rows(stored())
+        features = taxi.feature_names(split)
+        model = regression.solve_factor(regression.factors(split.where(~F.col("is_test")), features, taxi.ML_TARGET), features, taxi.ML_TARGET)
+        sink(regression.regression_metrics(model.predict(split.where("is_test")), taxi.ML_TARGET, "prediction"))
+
+    def counted_build() -> None:
+        raw = taxi.CONTRACT.mark_lost(csv.csv_scan(spark, raw_path, taxi.CONTRACT, rescue=True), csv.RESCUED)
+        lakebuild.store_outcomes(taxi.clean(conform(raw), mark=True), scratch_path(spark, "bench-counted"))
+
     return {
         "ingest_count": lambda: reports.row_count(scan()).collect(),
         "ingest_all_cells": lambda: sink(scan()),
@@ -127,6 +137,9 @@ def jobs(spark: SparkSession) -> dict[str, Callable[[], object]]:
         "array_stats": lambda: sink(runstats.array_stats(table(spark, SF_DIR, "embeddings"), ["label"], "embedding")),
         "regression_mllib": mllib,
         "regression_moments": from_moments,
+        "regression_factors": from_factors,
+        "build_with_lost_cells": counted_build,
+        "footer_stats": lambda: sink(reports.footer_stats(spark, lake_path, list(taxi.PROFILED), lake.MONTHLY)),
     }
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from checks.registry import check
+from checks.registry import ORACLES, check
 from checks.sql import CLEAN, FEATURES, MODEL_ROWS, TRIPS, query
 from checks.trips import KEYS, flat, rounded, table, trips
 from millrace import functions as X
 from millrace.operators import profile, regression, runstats
 from millrace.plans import taxi
+from millrace.session import durable, scratch_path
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,33 @@ def profile_median_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(both.groupBy("vendor_id").agg(*(close(c) for c in taxi.PROFILED)))
 
 
+def _sketch_sql() -> str:
+    stats = ", ".join(
+        f"count({c}) AS {c}_count, round(avg({c}), 6) AS {c}_mean, round(stddev_samp({c}), 6) AS {c}_stddev, min({c}) AS {c}_min, max({c}) AS {c}_max, count({c}) > 0 AS {c}_ok"
+        for c in taxi.PROFILED
+    )
+    return query(CLEAN, f"SELECT vendor_id, {stats} FROM clean GROUP BY vendor_id", "vendor_id")
+
+
+@check("profile_sketches", _sketch_sql())
+def profile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile by vendor of all months from partial ones stored by month; medians within 1 % of rank, tested on the rows."""
+    rows = _clean(spark, sf_dir)
+    path = scratch_path(spark, "partial-profiles")
+    profile.partial_profile(rows, ["year", "month", "vendor_id"], taxi.PROFILED).write.parquet(path)
+    whole = profile.merge_profiles(spark.read.parquet(path), ["vendor_id"], taxi.PROFILED)
+    stats = profile.profile_of(whole, ["vendor_id"], taxi.PROFILED).withColumnRenamed("vendor_id", "_vendor")
+    both = rows.join(stats, rows["vendor_id"].eqNullSafe(stats["_vendor"]))
+
+    def close(c: str) -> Column:
+        n, m = F.count(c), F.col(f"{c}_median")
+        return ((F.count_if(F.col(c) < m) <= 0.51 * n + 1) & (F.count_if(F.col(c) > m) <= 0.51 * n + 1) & (n > 0)).alias(f"{c}_ok")
+
+    told = both.groupBy("vendor_id").agg(*(close(c) for c in taxi.PROFILED)).withColumnRenamed("vendor_id", "_v")
+    joined = stats.join(told, stats["_vendor"].eqNullSafe(told["_v"])).withColumnRenamed("_vendor", "vendor_id")
+    return flat(rounded(joined.drop("_v", *(f"{c}_median" for c in taxi.PROFILED))))
+
+
 @check(
     "q1_monthly_payment",
     query(
@@ -515,3 +543,43 @@ def ml_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = regression.moments(rows, FEATURES, taxi.ML_TARGET, _SHIFT, by=["piece"])
     merged = regression.merge_moments(pieces)
     return merged.withColumn("value", F.round("value", 2) + 0.0)
+
+
+@check(
+    "ml_qr_spread",
+    query(
+        MODEL_ROWS,
+        " UNION ALL ".join(
+            f"SELECT '{a}' AS left_name, '{b}' AS right_name, count(*) AS n, round(avg({a}), 6) AS left_mean, round(avg({b}), 6) AS right_mean, "
+            f"round(covar_pop(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 4) + 0.0 AS covariance FROM model_rows"
+            for i, a in enumerate(_NAMES[1:])
+            for b in _NAMES[1:][i:]
+        ),
+    ),
+)
+def ml_qr_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangular factors of yearly pieces, stored, merged and multiplied out: the covariances of all rows."""
+    rows = _model_rows(spark, sf_dir).withColumn("piece", F.col("year"))
+    stored = durable(regression.factors(rows, FEATURES, taxi.ML_TARGET, by=["piece"]), "factors")
+    names = _NAMES[1:]
+    k = len(names)
+    whole = regression.merge_factors(stored)
+    triangle = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.slice("factor", i * k + 1, F.lit(k)))
+    pairs = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b")) for i in range(k) for j in range(i, k)))
+    cells = whole.select("n", F.zip_with("origin", "offset", lambda a, b: a + b).alias("means"), triangle.alias("r"), F.explode(pairs).alias("p"))
+    product = F.aggregate("r", F.lit(0.0), lambda total, row: total + F.get(row, F.col("p.i")) * F.get(row, F.col("p.j")))
+    return cells.select(
+        F.col("p.a").alias("left_name"), F.col("p.b").alias("right_name"), "n", F.round(F.get("means", F.col("p.i")), 6).alias("left_mean"),
+        F.round(F.get("means", F.col("p.j")), 6).alias("right_mean"), (F.round(product / F.col("n"), 4) + 0.0).alias("covariance"),
+    )
+
+
+@check("ml_qr_scores", ORACLES["ml_test_scores"])
+def ml_qr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of ``ml_test_scores`` for a model solved from the factors of monthly pieces."""
+    split = durable(_split(spark, sf_dir), "split")
+    names = ["trip_distance", "fare_amount"]
+    train = split.where(~F.col("is_test")).withColumn("piece", F.col("month"))
+    model = regression.solve_factor(regression.merge_factors(regression.factors(train, names, taxi.ML_TARGET, ["piece"])), names, taxi.ML_TARGET)
+    predicted = model.predict(split.where(F.col("is_test")))
+    return rounded(regression.regression_metrics(predicted, taxi.ML_TARGET, "prediction"))

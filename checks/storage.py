@@ -9,9 +9,10 @@ from checks.sql import CLEAN, CONFORMED, RAW, TAGGED, TRIPS, query
 from checks.trips import KEYS, flat, raw_trips, table, trips
 from millrace.operators import ordering, profile, reports
 from millrace.plans import taxi
-from millrace.plans.lakebuild import store_outcomes
+from millrace.plans.lakebuild import build_lake, store_outcomes
 from millrace.session import scratch_path
 from millrace.sources import csv, lake
+from millrace.sources.snapshots import SnapshotTable
 from millrace.streaming import incremental
 
 
@@ -339,3 +340,208 @@ def incremental_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
 @check("row_count", "SELECT count(*) AS n_rows FROM lineitem")
 def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.row_count(table(spark, sf_dir, "lineitem"))
+
+
+# --- what a build counts by itself ---------------------------------------------------------
+
+_COUNTS = "kind string, name string, n_rows long"
+
+
+@check(
+    "build_lost_cells",
+    query(
+        RAW,
+        """
+        SELECT name, n_rows FROM (
+          SELECT 'vendor_id' AS name, count(*) FILTER (VendorID = '999') AS n_rows FROM raw UNION ALL
+          SELECT 'passenger_count', count(*) FILTER (passenger_count = 'x') FROM raw UNION ALL
+          SELECT 'pickup_datetime', count(*) FILTER (tpep_pickup_datetime = 'not a time') FROM raw UNION ALL
+          SELECT 'metered_rate_tax', count(*) FILTER (mta_tax = 'NaN') FROM raw UNION ALL
+          SELECT 'rows', count(*) FROM raw)
+        WHERE n_rows > 0""",
+    ),
+)
+def build_lost_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells lost and rows written, as counted by the one job that parses the files and stores the rows."""
+    path = scratch_path(spark, "lost")
+    _two_layouts(raw_trips(spark, sf_dir).withColumnRenamed("file_name", "origin"), path)
+
+    def conform(rows: DataFrame) -> DataFrame:
+        return taxi.conform(rows.drop("file_name").withColumnRenamed("origin", "file_name"))
+
+    counts = build_lake(spark, path, scratch_path(spark, "build"), conform).counts
+    found = [(name, n) for name, n in counts.lost.items() if n] + [("rows", sum(counts.outcomes.values()))]
+    return spark.createDataFrame(found, "name string, n_rows long")
+
+
+@check(
+    "build_counts",
+    query(
+        TAGGED,
+        """
+        SELECT * FROM (
+          SELECT 'outcome' AS kind, coalesce(reject_reason, 'kept') AS name, count(*) AS n_rows FROM tagged GROUP BY 2 UNION ALL
+          SELECT 'imputed', 'imputed_tip_amount', count(*) FILTER (tip_amount IS NULL) FROM tagged WHERE reject_reason IS NULL UNION ALL
+          SELECT 'imputed', 'imputed_passenger_count', count(*) FILTER (passenger_count IS NULL) FROM tagged WHERE reject_reason IS NULL UNION ALL
+          SELECT 'imputed', 'imputed_store_and_forward_flag', count(*) FILTER (store_and_forward_flag IS NULL) FROM tagged WHERE reject_reason IS NULL UNION ALL
+          SELECT 'imputed', 'imputed_total_amount', count(*) FILTER (total_amount IS NULL) FROM tagged WHERE reject_reason IS NULL UNION ALL
+          SELECT 'imputed', 'filled_total_amount', count(*) FILTER (total_amount IS NULL) FROM tagged WHERE reject_reason IS NULL)
+        WHERE n_rows > 0""",
+    ),
+)
+def build_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejects per rule, imputations and rows kept, from the job that writes the lake."""
+    built = store_outcomes(taxi.clean(trips(spark, sf_dir), mark=True), scratch_path(spark, "build"))
+    return spark.createDataFrame([r for r in built.counts.rows() if r[2]], _COUNTS)
+
+
+@check("persist_checked", query(CLEAN, "SELECT true AS ok, true AS has_files, true AS has_size, count(*) AS n_rows FROM clean"))
+def persist_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lake.persist_checked(_clean(spark, sf_dir), scratch_path(spark, "persisted"))
+    return spark.createDataFrame([(done.ok, done.n_files > 0, done.size_mib > 0, done.n_rows)], "ok boolean, has_files boolean, has_size boolean, n_rows long")
+
+
+# --- versions, layout, footers -------------------------------------------------------------
+
+
+@check(
+    "snapshot_overwrite",
+    query(
+        CLEAN,
+        """
+        SELECT 'before' AS seen, year, month, count(*) AS n_rows, sum(fare_amount) AS sum_fare FROM clean GROUP BY year, month UNION ALL
+        SELECT 'after', year, month, count(*), sum(fare_amount) + CASE WHEN month = 3 THEN count(fare_amount) ELSE 0 END
+        FROM clean WHERE month <> 3 OR payment_type_id = 1 GROUP BY year, month""",
+    ),
+)
+def snapshot_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader that opened the table before some months were replaced, and one that did afterwards."""
+    table = SnapshotTable(spark, scratch_path(spark, "table"))
+    table.replace(_clean(spark, sf_dir))
+    before = table.read()
+    march = before.where("month = 3 AND payment_type_id = 1").withColumn("fare_amount", F.col("fare_amount") + 1)
+    table.overwrite_partitions(march)
+    both = [rows.select(F.lit(name).alias("seen"), "year", "month", "fare_amount") for name, rows in (("before", before), ("after", table.read()))]
+    grouped = both[0].unionByName(both[1]).groupBy("seen", "year", "month")
+    return flat(grouped.agg(F.count("*").alias("n_rows"), F.sum("fare_amount").alias("sum_fare")))
+
+
+@check(
+    "snapshot_compaction",
+    query(
+        CLEAN,
+        """
+        SELECT year, month, true AS few_files, true AS fewer_files, count(*) AS n_rows, sum(total_amount) AS sum_total
+        FROM clean GROUP BY year, month""",
+    ),
+)
+def snapshot_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many small files per month, merged along a plan of bins; each task rewrites one bin."""
+    table = SnapshotTable(spark, scratch_path(spark, "table"))
+    table.replace(_clean(spark, sf_dir).repartition(6), gather=False)
+    table.compact(target_mib=1)
+    sizes = [table.files(v).groupBy("year", "month").agg(F.count("*").alias(f"files_{v}"), F.sum("bytes").alias(f"bytes_{v}")) for v in (1, 2)]
+    few = (F.col("files_2") <= F.ceil(F.col("bytes_1") / lake.MIB) + 1).alias("few_files")
+    fewer = ((F.col("files_2") < F.col("files_1")) | (F.col("files_1") == 1)).alias("fewer_files")
+    rows = table.read().groupBy("year", "month").agg(F.count("*").alias("n_rows"), F.sum("total_amount").alias("sum_total"))
+    return flat(rows.join(sizes[0], ["year", "month"]).join(sizes[1], ["year", "month"]).select("year", "month", few, fewer, "n_rows", "sum_total"))
+
+
+@check(
+    "footer_stats",
+    query(
+        CLEAN,
+        """
+        SELECT year, month, count(*) AS n_rows, count(*) FILTER (trip_distance IS NULL) AS trip_distance_missing,
+               min(trip_distance) AS trip_distance_min, max(trip_distance) AS trip_distance_max,
+               count(*) FILTER (vendor_id IS NULL) AS vendor_id_missing, min(vendor_id) AS vendor_id_min, max(vendor_id) AS vendor_id_max,
+               0 AS pickup_datetime_missing
+        FROM clean GROUP BY year, month""",
+        "vendor_id_min vendor_id_max",
+    ).replace("0 AS pickup", "CAST(0 AS BIGINT) AS pickup"),
+)
+def footer_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _clean_lake(spark, sf_dir, "footers")
+    return flat(reports.footer_stats(spark, path, ["trip_distance", "vendor_id", "pickup_datetime"], lake.MONTHLY))
+
+
+@check(
+    "clustered_scan",
+    query(
+        CLEAN,
+        """
+        SELECT dropoff_location_id, count(*) AS n_rows, sum(total_amount) AS sum_total
+        FROM clean WHERE pickup_location_id = 7 AND dropoff_location_id < 5 GROUP BY dropoff_location_id""",
+        "dropoff_location_id",
+    ),
+)
+def clustered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes read from a lake that lies along a Z-order curve of both locations."""
+    path = scratch_path(spark, "clustered")
+    routes = ["pickup_location_id", "dropoff_location_id"]
+    lake.write_clustered(_clean(spark, sf_dir), path, routes, bloom=routes)
+    found = spark.read.parquet(path).where("pickup_location_id = 7 AND dropoff_location_id < 5")
+    return flat(found.groupBy("dropoff_location_id").agg(F.count("*").alias("n_rows"), F.sum("total_amount").alias("sum_total")))
+
+
+# --- states of batches ---------------------------------------------------------------------
+
+
+def _batches(spark: SparkSession, rows: DataFrame, states: dict) -> str:
+    """``rows`` as files of several batches, each stored with its states; rules have been applied before."""
+    landing, root, checkpoint = (scratch_path(spark, label) for label in ("landing", "batches", "progress"))
+    rows.repartition(6).write.parquet(landing)
+    stream = incremental.file_stream(spark, landing, rows.schema, max_files=2, format="parquet")
+    untagged = F.lit(None).cast("string")
+    incremental.ingest_available(stream, root, checkpoint, lambda b: b.drop("file_name"), lambda b: b.withColumn("reject_reason", untagged), states=states)
+    return root
+
+
+_SAMPLE_DRAW = "(l_orderkey * 31 + l_partkey * 17 + l_suppkey * 7 + l_linenumber) % 1009"
+
+
+@check(
+    "batch_sample",
+    query(
+        CLEAN,
+        """
+        SELECT o AS l_orderkey, p AS l_partkey, s AS l_suppkey, CAST(n AS BIGINT) AS l_linenumber, total_amount
+        FROM clean WHERE suspicious
+        ORDER BY (o * 31 + p * 17 + s * 7 + n) % 1009, o, p, s, n LIMIT 50""",
+    ),
+)
+def batch_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample of all batches from the lowest draws kept with each."""
+    rows = taxi.clean_kept(trips(spark, sf_dir, KEYS)).select(*KEYS, "total_amount", "suspicious", "year", "month")
+
+    def lowest(batch: DataFrame) -> DataFrame:
+        return ordering.lowest_draws(batch.where("suspicious").select(*KEYS, "total_amount"), 50, KEYS, draw=F.expr(_SAMPLE_DRAW))
+
+    kept = incremental.batch_states(spark, _batches(spark, rows, {"sample": lowest}), "sample")
+    return flat(ordering.merge_lowest(kept.drop(incremental.BATCH), 50, KEYS))
+
+
+_COUNTED = ("l_orderkey", "l_partkey", "vendor_id", "store_and_forward_flag", "passenger_count")
+
+
+@check(
+    "batch_distinct",
+    query(
+        CLEAN,
+        """
+        SELECT 'l_orderkey' AS column_name, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_null, count(DISTINCT o) AS n_distinct, true AS close FROM clean UNION ALL
+        SELECT 'l_partkey', count(*), 0, count(DISTINCT p), true FROM clean UNION ALL
+        SELECT 'vendor_id', count(*), count(*) FILTER (vendor_id IS NULL), count(DISTINCT vendor_id), true FROM clean UNION ALL
+        SELECT 'store_and_forward_flag', count(*), 0, count(DISTINCT store_and_forward_flag), true FROM clean UNION ALL
+        SELECT 'passenger_count', count(*), 0, count(DISTINCT passenger_count), true FROM clean""",
+    ),
+)
+def batch_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values of all batches from their sketches, each within four standard errors of the true number."""
+    rows = taxi.clean_kept(trips(spark, sf_dir, KEYS)).select(*_COUNTED, "year", "month")
+    root = _batches(spark, rows, {"distinct": lambda batch: profile.distinct_sketches(batch, _COUNTED)})
+    about = profile.merge_distinct(incremental.batch_states(spark, root, "distinct"))
+    exact = profile.distinct_values(incremental.stored_trips(spark, root), _COUNTED).where("value IS NOT NULL")
+    true_counts = exact.groupBy("column_name").agg(F.count("*").alias("true_distinct"))
+    close = F.abs(F.col("n_distinct") - F.col("true_distinct")) <= F.greatest(F.lit(1.0), 4 * 0.016 * F.col("true_distinct"))
+    return about.join(true_counts, "column_name").select("column_name", "n_rows", "n_null", F.col("true_distinct").alias("n_distinct"), close.alias("close"))

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions import literal, long_form, quoted
 
+#: A column of bits, one per field of a contract: the cells of a row that reading or casting has lost.
+LOST = "_lost"
+
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _REAL = (T.FloatType, T.DoubleType)
 
@@ -79,14 +83,15 @@ class Contract:
 
     def differences(self, df: DataFrame) -> tuple[list[str], list[str]]:
         """(missing, unexpected) column names, each sorted."""
-        have = set(df.columns)
+        have = set(df.columns) - {LOST}
         return sorted(set(self.names) - have), sorted(have - set(self.names))
 
     def align(self, df: DataFrame) -> DataFrame:
-        """Exactly the contract's columns in its order; missing ones are typed NULLs."""
+        """Exactly the contract's columns in its order; missing ones are typed NULLs. A column of lost cells stays."""
         have = set(df.columns)
         return df.select(
-            *(F.col(f.name) if f.name in have else F.lit(None).cast(f.type).alias(f.name) for f in self.fields)
+            *(F.col(f.name) if f.name in have else F.lit(None).cast(f.type).alias(f.name) for f in self.fields),
+            *([F.col(LOST)] if LOST in have else []),
         )
 
     def enforce(self, df: DataFrame) -> DataFrame:
@@ -108,6 +113,34 @@ class Contract:
             if f.name in have and have[f.name] != f.type
         ]
 
+    def mark_lost(self, raw: DataFrame, rescued: str | None = None) -> DataFrame:
+        """``raw``, under source names, with the bits of the cells that its typed columns and the contract lose.
+
+        A cell is lost if its text holds something that the contract's type cannot. ``rescued`` is the scan's column of
+        cells that the reader could not parse (see ``csv_scan``). The bits, one whole number a row, pass through
+        ``apply``; ``lost_counts`` adds them up, so counting needs no second parse.
+        """
+        have = {s.name: s.dataType for s in raw.schema}
+        # A typed scan may have a column's very type; then only NaN is left for the contract to lose.
+        bits = {
+            f.source: (have[f.source], f, 1 << i)
+            for i, f in enumerate(self.fields)
+            if f.source in have and not isinstance(f.type, T.StringType) and (have[f.source] != f.type or isinstance(f.type, _REAL))
+        }
+        cast = [F.when(loses(F.col(quoted(n)), kind, field), F.lit(bit)).otherwise(F.lit(0)) for n, (kind, field, bit) in bits.items()]
+        mask = reduce(lambda a, b: a.bitwiseOR(b), cast, F.lit(0).cast("bigint"))
+        if rescued is not None:
+            unread = {f.source: 1 << i for i, f in enumerate(self.fields) if f.source in have and not isinstance(f.type, T.StringType)}
+            known = F.create_map(*(F.lit(x) for pair in unread.items() for x in pair)) if unread else F.create_map().cast("map<string,bigint>")
+            held = F.aggregate(F.map_keys(rescued), F.lit(0).cast("bigint"), lambda a, k: a.bitwiseOR(F.coalesce(F.try_element_at(known, k).cast("bigint"), F.lit(0).cast("bigint"))))
+            mask = mask.bitwiseOR(F.when(F.col(rescued).isNotNull(), held).otherwise(F.lit(0).cast("bigint")))
+        return raw.withColumn(LOST, mask)
+
+    def lost_counts(self, mask: str = LOST) -> dict[str, Column]:
+        """An aggregate for every field that a text can fail to hold: how many of its cells were lost."""
+        fields = {f.name: 1 << i for i, f in enumerate(self.fields) if f.source and not isinstance(f.type, T.StringType)}
+        return {name: F.count_if(F.col(mask).bitwiseAND(F.lit(bit)) != 0) for name, bit in fields.items()}
+
     def apply(self, df: DataFrame, **derived: Column) -> DataFrame:
         """Rename, add derived columns, align and enforce, all as plain projections."""
         renamed = self.rename(df)
@@ -135,6 +168,19 @@ def coerce(value: Column, have: T.DataType, want: Field) -> Column:
     return value.try_cast(want.type)
 
 
+def loses(value: Column, have: T.DataType, want: Field) -> Column:
+    """Whether ``coerce`` makes NULL of a value that is there; never NULL itself.
+
+    For doubles, as a typed scan reads numbers, this is a comparison of bounds and not the cast once more.
+    """
+    if isinstance(have, T.DoubleType) and isinstance(want.type, (T.ByteType, T.ShortType, T.IntegerType)):
+        top = float(1 << {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31}[type(want.type)])
+        return F.coalesce((value >= F.lit(top)) | (value <= F.lit(-top - 1)), F.lit(False))
+    if isinstance(have, T.DoubleType) and isinstance(want.type, T.DoubleType):
+        return F.coalesce(F.isnan(value), F.lit(False))
+    return value.isNotNull() & coerce(value, have, want).isNull()
+
+
 def normalise_code(text: Column, codes: tuple[str, ...]) -> Column:
     """Trimmed upper-case text if it is one of ``codes``, else NULL."""
     tidy = F.upper(F.trim(text))

@@ -160,3 +160,77 @@ def conditional_counts(df: DataFrame, conditions: Mapping[str, Column]) -> DataF
     names = list(conditions)
     row = df.agg(*(F.count_if(conditions[n]).alias(n) for n in names))
     return row.select(long_form(condition=[literal(n) for n in names], n_rows=[quoted(n) for n in names]))
+
+
+# --- sketches of pieces -------------------------------------------------------------------
+
+#: Size of a quantile sketch; a rank is off by a few thousandths at most (99 % of the time, 0.2 % or less).
+SKETCH_K = 1600
+
+
+def partial_profile(df: DataFrame, by: Sequence[str], columns: Sequence[str], k: int = SKETCH_K) -> DataFrame:
+    """What ``profile_of`` needs of a piece: per group, count, mean, squares, bounds and a KLL sketch of each column.
+
+    A row per group, of some ten kilobytes a column, to be stored beside the piece; pieces merge with ``merge_profiles``.
+    """
+    parts: list[Column] = []
+    for c in columns:
+        value = F.col(c).cast("double")
+        parts += [
+            F.count(c).alias(f"{c}_count"), F.avg(value).alias(f"{c}_mean"), (F.var_pop(value) * F.count(c)).alias(f"{c}_squares"),
+            F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.kll_sketch_agg_double(value, F.lit(k)).alias(f"{c}_sketch"),
+        ]
+    return df.groupBy(*by).agg(F.count("*").alias(ROWS), *parts)
+
+
+def merge_profiles(partials: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The partial profile of disjoint pieces together. Squares are added around a mean that occurs, to keep their digits."""
+    near = partials.groupBy(*by).agg(*(F.min(f"{c}_mean").alias(f"{c}_near") for c in columns))
+    match = reduce(and_, (F.col(f"p.{b}").eqNullSafe(F.col(f"n.{b}")) for b in by), F.lit(True))
+    both = partials.alias("p").join(near.alias("n"), match)
+    sums: list[Column] = [F.sum(ROWS).alias(ROWS)]
+    for c in columns:
+        n, off = F.col(f"{c}_count"), F.col(f"{c}_mean") - F.col(f"{c}_near")
+        total = F.sum(n)
+        shift = F.try_divide(F.sum(n * off), total)
+        sums += [
+            total.alias(f"{c}_count"), (F.first(f"{c}_near") + shift).alias(f"{c}_mean"),
+            (F.sum(f"{c}_squares") + F.sum(n * off * off) - total * shift * shift).alias(f"{c}_squares"),
+            F.min(f"{c}_min").alias(f"{c}_min"), F.max(f"{c}_max").alias(f"{c}_max"), F.kll_merge_agg_double(f"{c}_sketch").alias(f"{c}_sketch"),
+        ]
+    return both.groupBy(*(F.col(f"p.{b}").alias(b) for b in by)).agg(*sums)
+
+
+def profile_of(whole: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``profile_by_group`` from a (merged) partial profile; the median is the sketch's."""
+    out: list[Column] = []
+    for c in columns:
+        n = F.col(f"{c}_count")
+        out += [
+            n.alias(f"{c}_count"), F.col(f"{c}_mean"), F.when(n > 0, F.kll_sketch_get_quantile_double(f"{c}_sketch", F.lit(0.5))).alias(f"{c}_median"),
+            F.when(n > 1, F.sqrt(F.greatest(F.col(f"{c}_squares"), F.lit(0.0)) / (n - 1))).alias(f"{c}_stddev"), F.col(f"{c}_min"), F.col(f"{c}_max"),
+        ]
+    return whole.select(*by, *out)
+
+
+def distinct_sketches(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, total_rows, n_null, sketch): a HyperLogLog sketch of each column's values, in one pass.
+
+    Four kilobytes a column however many values it has; pieces merge with ``merge_distinct``.
+    """
+    names = list(columns)
+    row = df.agg(
+        F.count("*").alias(ROWS), *(F.count_if(F.col(quoted(c)).isNull()).alias(f"n{i}") for i, c in enumerate(names)),
+        *(F.hll_sketch_agg(F.col(quoted(c)).cast("string")).alias(f"s{i}") for i, c in enumerate(names)),
+    )
+    places = range(len(names))
+    return row.select(long_form(column_name=[literal(c) for c in names], **{ROWS: [ROWS for _ in places]}, n_null=[f"n{i}" for i in places], sketch=[f"s{i}" for i in places]))
+
+
+def merge_distinct(partials: DataFrame) -> DataFrame:
+    """(column_name, n_rows, n_null, n_distinct) of disjoint pieces: how many values but NULL there are, about.
+
+    The standard error is 1.6 %; up to a few hundred values are counted almost surely without one.
+    """
+    merged = partials.groupBy("column_name").agg(F.sum(ROWS).alias("n_rows"), F.sum("n_null").alias("n_null"), F.hll_union_agg("sketch").alias("_s"))
+    return merged.select("column_name", "n_rows", "n_null", F.hll_sketch_estimate("_s").alias("n_distinct"))

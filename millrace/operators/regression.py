@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions import elapsed, speed_per_hour
 from millrace.session import durable
@@ -81,6 +83,121 @@ def regression_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
     )
 
 
+# --- triangular factors ------------------------------------------------------------------
+
+
+#: Factors that one task merges, in the first of two rounds as a share of all.
+FAN_IN = 256
+_FACTOR = "n bigint, origin array<double>, offset array<double>, factor array<double>"
+_Part = tuple[int, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _stacked(parts: Sequence[_Part]) -> _Part:
+    """(n, origin, offset, R) of several disjoint sets of rows from theirs.
+
+    The spread of all rows is that of each set and that of the sets' means, so its factor is that of the factors stacked
+    on the weighted distances of the means. A mean is a row's own values (the origin) and a small offset: rounded to one
+    number, means far from zero would be too coarse to subtract from each other.
+    """
+    if len(parts) == 1:
+        return parts[0]
+    n, origin = sum(p[0] for p in parts), parts[0][1]
+    weights = np.array([p[0] for p in parts], float)
+    offsets = np.array([(p[1] - origin) + p[2] for p in parts])
+    middle = weights @ offsets / n
+    rows = np.vstack([*(p[3] for p in parts), np.sqrt(weights)[:, None] * (offsets - middle)])
+    return n, origin, middle, _triangle(rows)
+
+
+def _triangle(rows: np.ndarray) -> np.ndarray:
+    missing = max(0, rows.shape[1] - len(rows))
+    return np.linalg.qr(np.pad(rows, ((0, missing), (0, 0))), mode="r")
+
+
+def factors(df: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by…, n, origin, offset, factor): means, as origin + offset, and the triangular factor R of the centred rows.
+
+    They are of the features and, last, the label.
+
+    A tall-skinny QR: every task reduces its rows, an Arrow batch at a time, to one triangle a group, and triangles are
+    merged in two rounds. R'R is the spread of the rows, but it is never formed, so the condition of the problem is not
+    squared. Disjoint pieces merge with ``merge_factors``. Rows with a NULL or NaN in any variable are left out; a group
+    without rows has no factor. Grouping columns must hold plain values (numbers, texts, dates).
+    """
+    names = [*features, label]
+    k = len(names)
+    ready = df.select(*by, *(F.col(n).cast("double").alias(f"_v{i}") for i, n in enumerate(names))).dropna(subset=[f"_v{i}" for i in range(k)])
+    schema = T.StructType([*(ready.schema[b] for b in by), *T.StructType.fromDDL(_FACTOR)])
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, _Part] = {}
+        kinds: list[pa.DataType] = []
+
+        def out() -> pa.RecordBatch:
+            keys = [pa.array([g[i] for g in held], kind) for i, kind in enumerate(kinds)]
+            values = list(held.values())
+            lists = [pa.array([v[i].ravel() for v in values], pa.list_(pa.float64())) for i in (1, 2, 3)]
+            return pa.RecordBatch.from_arrays([*keys, pa.array([v[0] for v in values], pa.int64()), *lists], names=[*by, "n", "origin", "offset", "factor"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = [batch.schema.field(i).type for i in range(len(by))]
+            x = np.column_stack([batch.column(len(by) + i).to_numpy(zero_copy_only=False) for i in range(k)])
+            groups: dict[tuple, np.ndarray | slice] = {(): slice(None)}
+            if by:
+                places: dict[tuple, list[int]] = {}
+                for at, group in enumerate(zip(*(batch.column(i).to_pylist() for i in range(len(by))))):
+                    places.setdefault(group, []).append(at)
+                groups = {g: np.array(p) for g, p in places.items()}
+            for group, rows in groups.items():
+                origin = x[rows][0]
+                part = x[rows] - origin
+                offset = part.mean(axis=0)
+                new = (len(part), origin, offset, _triangle(part - offset))
+                held[group] = _stacked([held[group], new]) if group in held else new
+            if len(held) > 4096:
+                yield out()
+                held = {}
+        if held:
+            yield out()
+
+    return merge_factors(ready.mapInArrow(reduced, schema), by)
+
+
+def merge_factors(parts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The factors of disjoint pieces as one (per group). Two rounds, so that no task merges those of all pieces."""
+    schema = T.StructType([*(parts.schema[b] for b in by), *T.StructType.fromDDL(_FACTOR)])
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        k = len(group["origin"].iloc[0])
+        each = zip(group["n"], group["origin"], group["offset"], group["factor"])
+        n, origin, offset, r = _stacked([(int(n), np.asarray(a), np.asarray(b), np.asarray(f).reshape(k, k)) for n, a, b, f in each])
+        return pd.DataFrame({**{b: [group[b].iloc[0]] for b in by}, "n": [n], "origin": [origin], "offset": [offset], "factor": [r.ravel()]})
+
+    share = F.pmod(F.xxhash64("offset", "factor"), F.lit(FAN_IN)).alias("_share")
+    first = parts.select(*by, "n", "origin", "offset", "factor").groupBy(*by, share).applyInPandas(merge, schema)
+    return first.groupBy(*by or [F.lit(0).alias("_all")]).applyInPandas(merge, schema)
+
+
+def solve_factor(table: DataFrame, features: Sequence[str], label: str) -> LinearModel:
+    """Least squares from the one factor of a table; its size depends on the number of features.
+
+    Constant features get weight zero. Among features that depend on each other the smallest weights are taken.
+    """
+    rows = table.take(2)
+    if len(rows) != 1 or not rows[0].n:
+        raise ValueError("no rows to learn from" if not rows else "one factor is needed: merge them first")
+    k = len(features)
+    r, means = np.asarray(rows[0].factor).reshape(k + 1, k + 1), np.add(rows[0].origin, rows[0].offset)
+    scale = np.linalg.norm(r[:, :k], axis=0)
+    usable = scale > 1e-12 * np.sqrt(rows[0].n) * np.maximum(np.abs(means[:k]), 1e-300)
+    weights = np.zeros(k)
+    if usable.any():
+        weights[usable] = np.linalg.lstsq(r[:k, :k][:, usable] / scale[usable], r[:k, k], rcond=1e-12)[0] / scale[usable]
+    return LinearModel(tuple(features), tuple(float(w) for w in weights), float(means[k] - weights @ means[:k]))
+
+
 # --- moments ---------------------------------------------------------------------------
 
 
@@ -132,25 +249,30 @@ def merge_moments(partials: DataFrame) -> DataFrame:
 def centred_moments(df: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = ()) -> DataFrame:
     """(by…, left_name, right_name, n, left_mean, right_mean, comoment) of all pairs of variables.
 
-    The aggregates work with deviations from running means and merge pairwise, so variables far from zero (years,
+    They are read off the triangular factor of the centred rows (see ``factors``), so variables far from zero (years,
     seconds since 1970) keep their digits. Rows with a NULL in any variable are left out, as least squares needs.
     """
     names = [*features, label]
-    complete = df.select(*by, *(F.col(n).cast("double").alias(f"_v{i}") for i, n in enumerate(names))).dropna(subset=[f"_v{i}" for i in range(len(names))])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    totals = complete.groupBy(*by).agg(
-        F.count("*").alias("_n"), *(F.avg(f"_v{i}").alias(f"_m{i}") for i in range(len(names))), *(F.covar_pop(f"_v{i}", f"_v{j}").alias(f"_c{i}_{j}") for i, j in pairs)
-    )
-    cells = F.array(
-        *(
-            F.struct(
-                F.lit(names[i]).alias("left_name"), F.lit(names[j]).alias("right_name"), F.col("_n").alias("n"),
-                F.col(f"_m{i}").alias("left_mean"), F.col(f"_m{j}").alias("right_mean"), (F.col(f"_c{i}_{j}") * F.col("_n")).alias("comoment"),
-            )
-            for i, j in pairs
-        )
-    )
-    return totals.where("_n > 0").select(*by, F.inline(cells))
+    k = len(names)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    whole = factors(df, features, label, by)
+
+    def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.to_dict("records"):
+                r = np.asarray(row["factor"]).reshape(k, k)
+                products, means = r.T @ r, np.add(row["origin"], row["offset"])
+                yield pd.DataFrame(
+                    {
+                        **{b: [row[b]] * len(pairs) for b in by}, "left_name": [names[i] for i, _ in pairs], "right_name": [names[j] for _, j in pairs],
+                        "n": row["n"], "left_mean": [means[i] for i, _ in pairs], "right_mean": [means[j] for _, j in pairs],
+                        "comoment": [products[i, j] for i, j in pairs],
+                    }
+                )
+
+    keys = [whole.schema[b] for b in by]
+    schema = T.StructType([*keys, *T.StructType.fromDDL("left_name string, right_name string, n bigint, left_mean double, right_mean double, comoment double")])
+    return whole.mapInPandas(spread, schema)
 
 
 def merge_centred(partials: DataFrame) -> DataFrame:

@@ -86,11 +86,18 @@ def durable(df: DataFrame, label: str = "durable") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """A path as Hadoop knows it, and the file system that it lies in."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly under ``path``; none if there is no such folder."""
+    place, fs = file_system(spark, path)
+    return sorted(status.getPath().getName() for status in fs.listStatus(place)) if fs.exists(place) else []
+
+
 @contextmanager
 def replacing(spark: SparkSession, path: str) -> Iterator[str]:
     """A fresh path to write to, next to ``path``, which it replaces once the block has succeeded.
@@ -99,10 +106,10 @@ def replacing(spark: SparkSession, path: str) -> Iterator[str]:
     good and what was written is removed. The switch is two renames: between them the old data are in
     a sibling folder whose name begins with an underscore, which readers of the parent folder skip.
     """
-    target, fs = _file_system(spark, path.rstrip("/"))
+    target, fs = file_system(spark, path.rstrip("/"))
     name = f"{target.getName()}-{uuid.uuid4().hex}"
     parent = target.getParent().toString()
-    fresh, old = (_file_system(spark, f"{parent}/_{kind}-{name}")[0] for kind in ("new", "old"))
+    fresh, old = (file_system(spark, f"{parent}/_{kind}-{name}")[0] for kind in ("new", "old"))
     try:
         yield fresh.toString()
         if not fs.exists(fresh):
@@ -129,7 +136,7 @@ def forget(df: DataFrame) -> None:
         plain, root = (p.replace("file://", "").replace("//", "/") for p in (folder, base))
         if not plain.startswith(root.rstrip("/") + "/"):
             raise ValueError(f"{folder} is not in the shared folder")
-        place, fs = _file_system(spark, folder)
+        place, fs = file_system(spark, folder)
         fs.delete(place, True)
 
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from millrace.functions import quoted
 from millrace.operators.contract import Contract, type_report
+from millrace.session import durable, forget, session_conf
 
 
 def text_schema(names: Sequence[str]) -> T.StructType:
@@ -21,31 +25,66 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def headers_by_file(spark: SparkSession, paths: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files of one or more paths by their header line. Empty files are left out.
+def header_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(path, header) of the files of one or more paths: their first lines, cut into names. Empty files are left out.
 
-    Spark lists the files; of each only the first line is opened, through Hadoop's file systems and codecs.
+    Tasks read them, a file each and of it the first batch of lines, which is one; nothing is opened by the driver. A
+    compressed file is read as Spark's text source reads it.
     """
-    listed = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else list(paths))
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    def first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                line, path = batch.column(0)[0].as_py(), unquote(batch.column(1)[0].as_py())
+                if line:
+                    names = next(csv.reader([line.lstrip("\ufeff")]))
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([names], pa.list_(pa.string()))], names=["path", "header"])
+                return
+
+    # No file is split and none shares a task, so the first line of a task is that of its file.
+    with session_conf(
+        spark, spark__sql__files__maxPartitionBytes=str(1 << 62), spark__sql__files__openCostInBytes=str(1 << 61),
+        spark__sql__execution__arrow__maxRecordsPerBatch="1",
+    ):
+        lines = spark.read.text([paths] if isinstance(paths, str) else list(paths)).select("value", F.col("_metadata.file_path").alias("path"))
+        return durable(lines.mapInArrow(first_line, "path string, header array<string>"), "headers")
+
+
+def headers_by_file(spark: SparkSession, paths: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files of one or more paths by their header line. Empty files are left out."""
     groups: dict[tuple[str, ...], list[str]] = {}
-    for (name,) in listed.select("path").toLocalIterator():
-        place = jvm.org.apache.hadoop.fs.Path(name)
-        stream = place.getFileSystem(conf).open(place)
-        codec = codecs.getCodec(place)
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream if codec is None else codec.createInputStream(stream), "UTF-8"))
-        try:
-            line = reader.readLine()
-        finally:
-            reader.close()
-        if line:
-            groups.setdefault(tuple(next(csv.reader([line.lstrip("\ufeff")]))), []).append(name)
+    found = header_lines(spark, paths)
+    for path, header in found.toLocalIterator():
+        groups.setdefault(tuple(header), []).append(path)
+    forget(found)
     return groups
 
 
+RESCUED = "rescued"
+_LINE = "_unread_line"
+
+
+def _with_rescued(scan: DataFrame, schema: T.StructType) -> DataFrame:
+    """The scan with ``rescued``: raw text by column of the cells that are NULL because the reader could not parse them.
+
+    The reader hands back the line of such a row only, and only these lines are taken apart a second time.
+    """
+    typed = [s.name for s in schema if not isinstance(s.dataType, T.StringType) and s.name != _LINE]
+    names = [s.name for s in schema if s.name != _LINE]
+    if not typed:
+        return scan.withColumn(RESCUED, F.lit(None).cast("map<string,string>")).drop(_LINE)
+    # Names by place: a header may hold any text, also twice.
+    raw = F.from_csv(F.col(_LINE), ", ".join(f"c{i} string" for i in range(len(names))))
+
+    def lost(cells: Column) -> Column:
+        pairs = [F.struct(F.lit(n).alias("key"), F.when(F.col(quoted(n)).isNull(), cells[f"c{names.index(n)}"]).alias("value")) for n in typed]
+        return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))
+
+    found = F.when(F.col(_LINE).isNotNull(), F.transform(F.array(raw), lost)[0])
+    return scan.withColumn(RESCUED, F.when(F.size(F.map_keys(found)) > 0, found)).drop(_LINE)
+
+
 def csv_scan(
-    spark: SparkSession, paths: str | Sequence[str], contract: Contract | None = None, mixed: bool = False
+    spark: SparkSession, paths: str | Sequence[str], contract: Contract | None = None, mixed: bool = False, rescue: bool = False
 ) -> DataFrame:
     """Read CSV files with a header: as text, or with the types a contract asks for.
 
@@ -54,30 +93,36 @@ def csv_scan(
     ``mixed``, files are grouped by their header lines (a column added in some year, another
     order). Each layout is one scan, and the results are united by name. ``_metadata`` stays
     available on a single layout only, hence ``file_name``.
+
+    ``rescue`` adds a column ``rescued``, a map from column to raw text of the cells that are there but
+    could not be parsed; NULL for most rows. ``Contract.mark_lost`` reads it.
     """
-    schema = contract.reading_schema if contract else text_schema
+    typing = contract.reading_schema if contract else text_schema
     if mixed:
         groups = list(headers_by_file(spark, paths).items())
         if not groups:
             raise ValueError(f"no CSV file with a header in {paths}")
     else:
         groups = [(header_of(spark, p), p) for p in ([paths] if isinstance(paths, str) else paths)]
-    scans = [
-        spark.read.schema(schema(list(header)))
-        .option("header", True)
-        .option("enforceSchema", False)
-        .csv(files)
-        .select("*", F.col("_metadata.file_name").alias("file_name"))
-        for header, files in groups
-    ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+
+    def scan(header: Sequence[str], files: str | list[str]) -> DataFrame:
+        schema = typing(list(header))
+        reader = spark.read.option("header", True).option("enforceSchema", False)
+        if rescue:
+            schema = schema.add(_LINE, T.StringType())
+            reader = reader.option("columnNameOfCorruptRecord", _LINE)
+        rows = reader.schema(schema).csv(files).select("*", F.col("_metadata.file_name").alias("file_name"))
+        return _with_rescued(rows, schema) if rescue else rows
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (scan(header, files) for header, files in groups))
 
 
 def lost_cells(spark: SparkSession, paths: str | Sequence[str], contract: Contract) -> DataFrame:
     """What a typed read of the files loses: (column_name, expected_type, actual_type, lost_values).
 
     One pass over the text of the files counts, per column of another type than text, the cells that
-    hold something the contract's type cannot.
+    hold something the contract's type cannot. It is a pass of its own, for files that are looked at before they
+    are read; ``build_lake`` counts the same in the scan that builds the lake.
     """
     return type_report(contract.rename(csv_scan(spark, paths, mixed=True)), contract)
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from contextlib import AbstractContextManager
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from millrace.functions import quoted
 from millrace.operators.contract import Contract, coerce, type_report
@@ -101,6 +103,71 @@ def write_partitioned(
         )
 
 
+@dataclass(frozen=True)
+class Persisted:
+    """What a checked write came to: whether the rows read back are those written, files, MiB and rows."""
+
+    ok: bool
+    n_files: int
+    size_mib: float
+    n_rows: int
+
+
+def persist_checked(df: DataFrame, path: str, by: Sequence[str] = MONTHLY, gather: bool = True, target_mib: int = TARGET_MIB) -> Persisted:
+    """``write_partitioned`` in place of what was at ``path``, and a comparison of the rows counted while writing with the files.
+
+    The write counts its own rows, in the stage that writes; the files are asked by their footers.
+    """
+    seen = Observation()
+    spread = spread_by(guarded(df, by), by) if gather and by else guarded(df, by)
+    counted = spread.observe(seen, F.count("*").alias("n"))
+    with file_size(df.sparkSession, target_mib), replacing(df.sparkSession, path) as fresh:
+        counted.write.partitionBy(*by).parquet(fresh)
+    found = file_stats(df.sparkSession.read.schema(df.schema).parquet(path)).first()
+    written = int(seen.get.get("n") or 0)
+    return Persisted(found.n_rows == written, found.n_files, found.size_mib, written)
+
+
+def z_order(df: DataFrame, columns: Sequence[str], bits: int = 8, name: str = "_z") -> DataFrame:
+    """Add a Z-order key: the bits of each column's rank among 2^``bits`` quantiles, taken in turns.
+
+    Rows near in all columns are mostly near in the key, so a range of keys is a small box. The quantiles come from one
+    pass of sketches, 2^``bits`` numbers a column; equal values always share a rank, and NULL ranks above all.
+    """
+    if not columns or bits * len(columns) > 62:
+        raise ValueError("a key of one to 62 bits is needed")
+    steps = [i / (1 << bits) for i in range(1, 1 << bits)]
+    cuts = df.agg(*(F.percentile_approx(F.col(quoted(c)).cast("double"), steps, 10_000).alias(f"c{i}") for i, c in enumerate(columns))).first()
+    key = F.lit(0).cast("bigint")
+    ranked = df
+    for i, c in enumerate(columns):
+        bounds = sorted(set(cuts[i] or []))
+        ranked = ranked.withColumn(f"_r{i}", F.coalesce(F.col(quoted(c)).cast("double"), F.lit(float("nan"))))
+        ranked = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol=f"_r{i}", outputCol=f"_q{i}", handleInvalid="keep").transform(ranked)
+        rank = F.least(F.col(f"_q{i}").cast("bigint"), F.lit((1 << bits) - 1))
+        for b in range(bits):
+            key = key.bitwiseOR(F.shiftleft(F.shiftright(rank, b).bitwiseAND(F.lit(1)), b * len(columns) + i))
+    return ranked.withColumn(name, key).drop(*(f"_{p}{i}" for p in "rq" for i in range(len(columns))))
+
+
+def write_clustered(
+    df: DataFrame, path: str, columns: Sequence[str], by: Sequence[str] = MONTHLY, bloom: Sequence[str] = (), target_mib: int = TARGET_MIB, row_group_mib: float | None = None
+) -> None:
+    """Write Parquet by ``by``, within it ordered along a Z-order curve of ``columns``, in place of what was at ``path``.
+
+    Files hold ranges of the curve, and so do their row groups, whose bounds let a filter on any of the columns skip most
+    of them. ``bloom`` names columns to get Bloom filters, for tests of equality. The sort goes by ranges, so a partition
+    that holds a third of the rows is spread over many tasks.
+    """
+    keyed = z_order(guarded(df, by), columns)
+    options: dict[str, object] = {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
+    if row_group_mib is not None:
+        options["parquet.block.size"] = int(row_group_mib * MIB)
+    with file_size(df.sparkSession, target_mib), replacing(df.sparkSession, path) as fresh:
+        ranges = keyed.repartitionByRange(*by, "_z").sortWithinPartitions(*by, "_z").drop("_z")
+        ranges.write.options(**options).partitionBy(*by).parquet(fresh)
+
+
 def rows_per_file(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by…, file_path, size_mib, n_rows) for every file of a file-based table that has rows.
 

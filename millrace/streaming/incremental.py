@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import reduce
 from operator import or_
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from millrace.operators import profile, regression, rules
 from millrace.plans import taxi
 from millrace.plans.lakebuild import OUTCOME
-from millrace.session import replacing
+from millrace.session import folder_names, replacing
 from millrace.sources import lake
 
 BATCH = "batch"
@@ -43,6 +42,7 @@ def ingest_available(
     conform: Callable[[DataFrame], DataFrame] = taxi.conform,
     clean: Callable[[DataFrame], DataFrame] = taxi.clean,
     scan: Callable[[SparkSession, list[str]], DataFrame] | None = None,
+    states: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> range:
     """Process every file not seen before, then stop. Returns the numbers of the batches it stored.
 
@@ -54,7 +54,8 @@ def ingest_available(
     directory ``batch=<id>`` and overwrites it, so a batch that is replayed after a
     failure leaves its rows once. Kept and rejected rows go out in one job. A batch's
     NULL counts are computed from what it stored and kept beside it, to be merged into
-    a profile of everything without reading the rows again.
+    a profile of everything without reading the rows again. ``states`` names further tables of that kind, each made
+    of the batch's kept rows: sketches of quantiles or of distinct values, a sample (see ``batch_states``).
     """
 
     stored_ids: list[int] = []
@@ -77,6 +78,8 @@ def ingest_available(
         stored = rows.sparkSession.read.schema(named.schema).parquet(place).where(F.col(OUTCOME) == rules.KEPT)
         partial = profile.partial_missing(stored, [c for c in named.columns if c not in (OUTCOME, *PLACED)])
         partial.write.mode("overwrite").parquet(f"{root}/profile/{BATCH}={batch_id}")
+        for name, made_of in (states or {}).items():
+            made_of(stored.drop(OUTCOME, *PLACED)).write.mode("overwrite").parquet(f"{root}/states/{name}/{BATCH}={batch_id}")
         stored_ids.append(batch_id)
 
     query = (
@@ -108,6 +111,11 @@ def merged_profile(spark: SparkSession, root: str) -> DataFrame:
     return profile.merge_missing(partials, [c for c in partials.columns if c not in (profile.ROWS, BATCH)])
 
 
+def batch_states(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A state of all batches, with their numbers, to be merged by what made it: the rows are not read again."""
+    return spark.read.parquet(f"{root}/states/{name}")
+
+
 def publish(
     spark: SparkSession, root: str, target: str, since: int | range | None = None, target_mib: int = lake.TARGET_MIB
 ) -> None:
@@ -138,11 +146,9 @@ def publish_new(spark: SparkSession, root: str, target: str, target_mib: int = l
     The mark is written after the lake: a call that failed is made good by the next one.
     """
     mark = f"{root}/published/{hashlib.sha256(target.rstrip('/').encode()).hexdigest()[:16]}"
-    try:
-        done = spark.read.schema("last long").parquet(mark).agg(F.max("last")).first()[0]
-    except AnalysisException:
-        done = None
-    last = stored_rows(spark, root).agg(F.max(BATCH)).first()[0]
+    done = spark.read.schema("last long").parquet(mark).agg(F.max("last")).first()[0] if folder_names(spark, mark) else None
+    # A batch is its directory: listing them answers this without a job over the rows.
+    last = max((int(name.partition("=")[2]) for name in folder_names(spark, f"{root}/rows") if name.startswith(f"{BATCH}=")), default=None)
     if last is None or last == done:
         return -1 if done is None else done
     publish(spark, root, target, None if done is None else done + 1, target_mib)
@@ -159,18 +165,28 @@ def learn_available(
     features: list[str],
     label: str,
     shift: list[float] | None = None,
+    keep: str = "moments",
 ) -> DataFrame:
-    """Moments of every new batch's training rows; returns those of all batches so far.
+    """What every new batch's training rows amount to; returns that of all batches so far.
 
-    They are centred ones, for ``solve_centred``; with a ``shift``, plain ones for ``solve_moments``.
+    ``keep="factors"`` keeps one triangular factor a batch, for ``solve_factor``. Otherwise they are moments: centred ones
+    for ``solve_centred`` or, with a ``shift``, plain ones for ``solve_moments``.
 
     Unlike stochastic gradient descent on pieces, the model solved from them is the
     same as if all rows had been seen at once.
     """
 
+    if keep not in ("moments", "factors"):
+        raise ValueError("keep is 'moments' or 'factors'")
+
     def store(rows: DataFrame, batch_id: int) -> None:
         ready = prepare(rows)
-        part = regression.centred_moments(ready, features, label) if shift is None else regression.moments(ready, features, label, shift)
+        if keep == "factors":
+            part = regression.factors(ready, features, label)
+        elif shift is None:
+            part = regression.centred_moments(ready, features, label)
+        else:
+            part = regression.moments(ready, features, label, shift)
         part.write.mode("overwrite").parquet(f"{root}/{BATCH}={batch_id}")
 
     query = (
@@ -181,4 +197,6 @@ def learn_available(
     )
     query.awaitTermination()
     parts = stream.sparkSession.read.parquet(root)
+    if keep == "factors":
+        return regression.merge_factors(parts)
     return regression.merge_centred(parts) if shift is None else regression.merge_moments(parts)
