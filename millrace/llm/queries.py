@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import backoff, bagminhash, decontaminate, language, merkle, neighbours, passages, pieces, quality, shards, surrogates, tries, warc
+from millrace.llm import automaton, bagminhash, decontaminate, language, merkle, neighbours, passages, pieces, quality, shards, surrogates, tries, warc
 from millrace.llm.oracles import OP11_SQL, OP12_SQL, OP13_SQL
 from millrace.llm.tables import importable, read, remainder
 
@@ -55,9 +55,7 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    model, counts = backoff.learn(docs.where(remainder("doc_id", 5) != 1))
-    scored = backoff.score(docs, model, counts)
+    scored = automaton.learn_and_score(read(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
     return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
