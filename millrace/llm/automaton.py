@@ -31,7 +31,8 @@ from millrace.session import durable, session_conf
 LEAST = 2
 BLOCK_TOKENS = 1 << 22
 BUCKET_KEYS = 3 << 19
-_PIECE = 8 << 20
+#: Bytes of text whose words are cut at a time.
+_PIECE = W.BLOCK_BYTES
 
 
 # --- compressed columns of numbers ----------------------------------------------------------
@@ -82,17 +83,18 @@ class Block:
     """
 
     def __init__(self, lengths: np.ndarray, hashes: np.ndarray, code: np.ndarray):
-        self.lengths, self.code = lengths, code.astype(np.int64)
+        self.lengths, self.code = lengths, code.astype(np.int32)
         v, n = max(1, len(hashes)), len(code)
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        at = np.flatnonzero(doc[1:] == doc[:-1]) + 1
-        pairs, number = np.unique(self.code[at - 1] * v + self.code[at], return_inverse=True)
-        self.pair = np.full(n, -1)
+        starts = np.zeros(n + 1, bool)
+        starts[np.cumsum(lengths)] = starts[:1] = True
+        at = np.flatnonzero(~starts[:-1])
+        pairs, number = np.unique(self.code[at - 1] * np.int64(v) + self.code[at], return_inverse=True)
+        self.pair = np.full(n, -1, np.int32)
         self.pair[at] = number
         self.first, second = pairs // v, pairs % v
         at = np.flatnonzero((self.pair[1:] >= 0) & (self.pair[:-1] >= 0)) + 1
-        triples, number = np.unique(self.pair[at - 1] * v + self.code[at], return_inverse=True)
-        self.triple = np.full(n, -1)
+        triples, number = np.unique(self.pair[at - 1] * np.int64(v) + self.code[at], return_inverse=True)
+        self.triple = np.full(n, -1, np.int32)
         self.triple[at] = number
         self.context, third = triples // v, triples % v
         self.second, self.tail = second, np.zeros(len(triples), np.int64)
@@ -110,7 +112,7 @@ class Block:
     def counts(self, training: np.ndarray) -> np.ndarray:
         """How often each n-gram occurs in the texts marked."""
         here = np.repeat(training, self.lengths)
-        return np.concatenate([np.bincount(x[here & (x >= 0)], minlength=k) for x, k in zip((self.code, self.pair, self.triple), self.sizes)])
+        return np.concatenate([np.bincount(x[here & (x >= 0)], minlength=k).astype(np.uint32) for x, k in zip((self.code, self.pair, self.triple), self.sizes)])
 
     def answered(self, values: np.ndarray) -> np.ndarray:
         """Values given in the order of sorted keys, by n-gram."""
@@ -123,7 +125,7 @@ class Block:
         return self.order[(self.order < self.sizes[0] + self.sizes[1]) & (n[self.order] >= least)]
 
 
-_BLOCK = "block long, n_keys long, n_training long, ids array<{kind}>, training array<boolean>, lengths array<int>, n_hashes int, hashes binary, codes binary"
+_BLOCK = "block long, n_tokens long, n_training long, ids array<{kind}>, training array<boolean>, lengths array<int>, n_hashes int, hashes binary, codes binary"
 
 
 def _blocks(docs: DataFrame, training: Column) -> DataFrame:
@@ -137,17 +139,17 @@ def _blocks(docs: DataFrame, training: Column) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             nonlocal number, ids, marks, lengths, hashes
-            length, every, mark = np.concatenate(lengths), np.concatenate(hashes).view(np.uint64), pa.concat_arrays(marks)
+            length, mark = np.concatenate(lengths), pa.concat_arrays(marks)
+            every, hashes = np.concatenate(hashes).view(np.uint64), []
             known, code = np.unique(every, return_inverse=True)
             by_count = np.argsort(-np.bincount(code), kind="stable")
             rank = np.empty(len(known), np.uint32)
             rank[by_count] = np.arange(len(known), dtype=np.uint32)
-            block = Block(length, known[by_count], rank[code])
             seen = int(length[mark.to_numpy(zero_copy_only=False)].sum())
             one = pa.array([0, len(length)], pa.int32())
             columns = [
-                pa.array([number]), pa.array([len(block.keys)]), pa.array([seen]), pa.ListArray.from_arrays(one, pa.concat_arrays(ids)), pa.ListArray.from_arrays(one, mark),
-                pa.array([length.astype(np.int32)]), pa.array([len(known)], pa.int32()), pa.array([pack(known[by_count])], pa.binary()), pa.array([pack(block.code.astype(np.uint32))], pa.binary()),
+                pa.array([number]), pa.array([len(code)]), pa.array([seen]), pa.ListArray.from_arrays(one, pa.concat_arrays(ids)), pa.ListArray.from_arrays(one, mark),
+                pa.array([length.astype(np.int32)]), pa.array([len(known)], pa.int32()), pa.array([pack(known[by_count])], pa.binary()), pa.array([pack(rank[code])], pa.binary()),
             ]
             number, ids, marks, lengths, hashes = number + 1, [], [], [], []
             return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _BLOCK.split(", ")])
@@ -299,15 +301,16 @@ def learn_and_score(docs: DataFrame, training: Column) -> DataFrame:
             return durable(df, label)
 
     blocks = stored(_blocks(docs, training), "blocks")
-    n_keys, total = blocks.agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.coalesce(F.sum("n_training"), F.lit(0))).first()
-    buckets = max(1, -(-n_keys // BUCKET_KEYS))
+    n_tokens, total = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_training"), F.lit(0))).first()
+    # A token brings one and a half keys or so: itself, a pair and a triple, less those that a block has already.
+    buckets = max(1, -(-3 * n_tokens // (2 * BUCKET_KEYS)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 block, marks = _read(batch, i)
                 number = batch.column("block")[i].as_py()
-                keys, n = block.keys[block.order], block.counts(marks)[block.order].astype(np.uint32)
+                keys, n = block.keys[block.order], block.counts(marks)[block.order]
                 for bucket, p in spans(keys, buckets):
                     yield from _table([(bucket, number, p.stop - p.start, pack_sorted(keys[p]), pack(n[p]), None)], _ASK).to_batches()
 
