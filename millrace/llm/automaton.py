@@ -29,7 +29,7 @@ from millrace.llm.backoff import DISCOUNT, tokens
 from millrace.session import durable, session_conf
 
 LEAST = 2
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 21
 BUCKET_KEYS = 3 << 19
 #: Bytes of text whose words are cut at a time.
 _PIECE = W.BLOCK_BYTES
@@ -70,6 +70,27 @@ def spans(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
 # --- a block --------------------------------------------------------------------------------
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct whole numbers from 0 on, sorted, and each one's number among them.
+
+    Key and place are sorted as one number where both fit: that takes neither an index nor a second copy.
+    """
+    n = len(keys)
+    bits = n.bit_length()
+    if not n or int(keys.max()).bit_length() + bits > 63:
+        known, number = np.unique(keys, return_inverse=True)
+        return known, number.astype(np.int32)
+    both = (keys << bits) | np.arange(n)
+    both.sort()
+    at = both & ((1 << bits) - 1)
+    both >>= bits
+    new = np.ones(n, bool)
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    number = np.empty(n, np.int32)
+    number[at] = np.cumsum(new, dtype=np.int32) - 1
+    return both[new], number
+
+
 def _tagged(h: np.ndarray, order: int) -> np.ndarray:
     """The key of an n-gram; its two lowest bits are the order."""
     return h & ~np.uint64(3) | np.uint64(order)
@@ -88,22 +109,24 @@ class Block:
         starts = np.zeros(n + 1, bool)
         starts[np.cumsum(lengths)] = starts[:1] = True
         at = np.flatnonzero(~starts[:-1])
-        pairs, number = np.unique(self.code[at - 1] * np.int64(v) + self.code[at], return_inverse=True)
+        pairs, number = _distinct(self.code[at - 1] * np.int64(v) + self.code[at])
         self.pair = np.full(n, -1, np.int32)
         self.pair[at] = number
-        self.first, second = pairs // v, pairs % v
+        self.first, second = (pairs // v).astype(np.int32), (pairs % v).astype(np.int32)
         at = np.flatnonzero((self.pair[1:] >= 0) & (self.pair[:-1] >= 0)) + 1
-        triples, number = np.unique(self.pair[at - 1] * np.int64(v) + self.code[at], return_inverse=True)
+        triples, number = _distinct(self.pair[at - 1] * np.int64(v) + self.code[at])
         self.triple = np.full(n, -1, np.int32)
         self.triple[at] = number
-        self.context, third = triples // v, triples % v
-        self.second, self.tail = second, np.zeros(len(triples), np.int64)
+        self.context, third = (triples // v).astype(np.int32), (triples % v).astype(np.int32)
+        self.second, self.tail = second, np.zeros(len(triples), np.int32)
         self.tail[number] = self.pair[at]
         self.sizes = (len(hashes), len(pairs), len(triples))
         two = W.mixed(W.mixed(hashes[self.first]) * W.MULTIPLIER + hashes[second])
         three = W.mixed(W.mixed(two[self.context]) * W.MULTIPLIER + hashes[third])
         self.keys = np.concatenate([_tagged(h, i + 1) for i, h in enumerate((hashes, two, three))])
-        self.order = np.argsort(self.keys)
+        self.order = np.argsort(self.keys).astype(np.int32)
+        # Workers live on: what Arrow holds of former blocks would add up beside the next.
+        pa.default_memory_pool().release_unused()
 
     def parts(self, values: np.ndarray) -> list[np.ndarray]:
         """Values of all n-grams as those of tokens, pairs and triples."""
@@ -232,7 +255,7 @@ def _numbers(block: Block, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     rows = _given(answers, 0)
     n = np.concatenate([unpack(r["x"], r["size"], np.uint64) for r in rows])
     mine = np.concatenate([np.unpackbits(unpack(r["y"], (r["size"] + 7) // 8, np.uint8), count=r["size"]) for r in rows]).astype(bool)
-    return block.answered(n.astype(np.int64)), block.answered(mine)
+    return block.answered(n.view(np.int64)), block.answered(mine)
 
 
 # --- the automaton of a block ---------------------------------------------------------------
@@ -241,15 +264,15 @@ def _numbers(block: Block, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 def walk(block: Block, n: np.ndarray, left: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(n_known, base, score) of the block's texts.
 
-    ``n`` are counts and ``left`` what the arcs of each history leave, by n-gram; ``unit`` is the root's denominator.
+    ``n`` are counts by n-gram, ``left`` what the arcs of each token and pair leave; ``unit`` is the root's denominator.
     """
-    ones, twos, threes = (x.astype(float) for x in block.parts(n))
-    left1, left2, _ = block.parts(left)
+    ones, twos, threes = block.parts(n)
+    left1, left2 = left[: block.sizes[0]], left[block.sizes[0] :]
     p1 = (ones + 0.5) / unit
     state1, arc2, arc3 = ones >= LEAST, twos >= LEAST, threes >= LEAST
     with np.errstate(divide="ignore", invalid="ignore"):
-        lower = np.where(state1[block.first], left1[block.first], 1.0) * p1[block.second]
-        p2 = np.where(arc2, (twos - DISCOUNT) / ones[block.first], 0.0) + lower
+        p2 = np.where(state1[block.first], left1[block.first], 1.0) * p1[block.second]
+        p2 += np.where(arc2, (twos - DISCOUNT) / ones[block.first], 0.0)
         p3 = np.where(arc3, (threes - DISCOUNT) / twos[block.context] + left2[block.context] * p2[block.tail], 1.0)
     # One more at the end, for the number -1 of where no pair or triple ends.
     read2, read3, fail2 = (np.append(np.log10(x), 0.0) for x in (p2, p3, left2))
@@ -335,10 +358,11 @@ def learn_and_score(docs: DataFrame, training: Column) -> DataFrame:
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         block, _ = _read(rows, 0)
-        n, _ = _numbers(block, answers)
-        left, states, back = np.ones(len(n)), block.contexts(n, LEAST), _given(answers, 1)
+        n = _numbers(block, answers)[0]
+        left, states, back = np.ones(block.sizes[0] + block.sizes[1]), block.contexts(n, LEAST), _given(answers, 1)
+        block.keys = block.order = answers = None  # not needed any more, and of the largest arrays
         if len(states):
-            sums, arcs = (np.concatenate([unpack(r[c], r["size"], np.uint64) for r in back]).astype(float) for c in "xy")
+            sums, arcs = (np.concatenate([unpack(r[c], r["size"], np.uint64) for r in back]) for c in "xy")
             left[states] = 1 - (sums - DISCOUNT * arcs) / n[states]
         known, base, total_log = walk(block, n, left, unit)
         ids = rows.column("ids").chunk(0).flatten()
