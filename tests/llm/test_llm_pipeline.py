@@ -51,3 +51,18 @@ def test_rows_repeated_as_a_whole_leave_one(spark):
     left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, PATH).collect()), key=repr)
     nameless = next(t for i, t in left if i is None and t and "id" in t)
     assert left == sorted([(1, text), (2, "a b c d e f g"), (3, ""), (4, "other words"), (None, nameless), (None, "?"), (None, "?"), (None, None)], key=repr)
+
+
+def test_stages_take_odd_rows(spark, odd):
+    """Nulls, empty and long texts, ties, whole repeats, columns with names that operators use inside."""
+    rows = {r.asDict()["row"] for r in odd.collect()}
+    left = {name: stage(spark, odd, PATH).collect() for name, stage in corpus_pipeline.STAGES}
+    for name, got in left.items():
+        if name != "pieces":
+            assert got[0].asDict().keys() == set(odd.columns) and {r["row"] for r in got} <= rows
+    assert len(left["near_duplicates"]) == odd.count() - 1  # the row that is there twice
+    assert all(len(left[name]) == odd.count() for name in ("decontamination", "personal_data", "pieces"))
+    assert len(left["quality"]) <= odd.count()
+    texts = lambda got: sorted(((r.doc_id, r.text) for r in got), key=repr)
+    assert texts(left["personal_data"]) == texts(odd.collect())
+    assert all(r.n_tokens == 0 for r in left["pieces"] if r.doc_id in (2, 3))
