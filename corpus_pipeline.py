@@ -19,7 +19,11 @@ from millrace.session import durable
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts to be good, learnt from three quarters of the labels."""
+    """Documents that the quality classifier predicts to be good, learnt from three quarters of the labels.
+
+    Null and empty texts get a score like any other, so they may go. Rows of one id and text go or stay together,
+    whole repeats included. An empty table stays empty. All columns pass through, whatever they are called.
+    """
     importable(spark)
     labels = read(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
     scored = quality.classify(docs, labels)
@@ -40,20 +44,28 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of the benchmark."""
+    """Documents without passages of the benchmark.
+
+    Null and empty texts have no words, so they stay; whole texts are tested, however long. Rows of one id and text go
+    or stay together. An empty table or benchmark leaves all as it is. All columns pass through.
+    """
     importable(spark)
     found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
     return drop_where(docs, durable(found.where(decontaminate.is_contaminated()).select("doc_id", "text_hash"), "contaminated"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by surrogates; n_chars follows the new text."""
+    """All documents, personal data replaced by surrogates; n_chars follows the new text.
+
+    Every row stays, repeats too; null texts stay null, empty ones empty, and equal texts become equal texts. Of other
+    columns none is touched but n_chars, if there is one.
+    """
     safe = surrogates.pseudonymise(docs, SURROGATE_KEY).drop("n_entities")
     return safe.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else safe
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document."""
+    """Piece ids of every document, a row each, repeats too. Null and empty texts have no pieces; other columns go."""
     importable(spark)
     return pieces.encode(docs, PIECE_MODEL).select("doc_id", "ids", "n_tokens", "n_byte_tokens", "round_trip", "parity")
 
@@ -71,6 +83,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. Rows without an id, with null, empty or very long texts, ties and whole repeats are
+    treated as the stages say; no documents give no rows."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), name)

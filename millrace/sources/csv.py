@@ -8,11 +8,11 @@ from functools import reduce
 from urllib.parse import unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from millrace.functions import quoted
 from millrace.operators.contract import Contract, type_report
-from millrace.session import durable, forget, session_conf
+from millrace.session import session_conf
 
 
 def text_schema(names: Sequence[str]) -> T.StructType:
@@ -25,12 +25,14 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
-def header_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def header_lines(spark: SparkSession, paths: str | Sequence[str]) -> list[Row]:
     """(path, header) of the files of one or more paths: their first lines, cut into names. Empty files are left out.
 
-    Tasks read them, a file each and of it the first batch of lines, which is one; nothing is opened by the driver. A
-    compressed file is read as Spark's text source reads it.
+    One job reads them, a task for each file and of it the first batch of lines, which is one; the driver opens none. It
+    gets a path and a header per file, as the scans that follow need them. A compressed file is read as Spark's text
+    source reads it.
     """
+
     def first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -46,16 +48,14 @@ def header_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
         spark__sql__execution__arrow__maxRecordsPerBatch="1",
     ):
         lines = spark.read.text([paths] if isinstance(paths, str) else list(paths)).select("value", F.col("_metadata.file_path").alias("path"))
-        return durable(lines.mapInArrow(first_line, "path string, header array<string>"), "headers")
+        return lines.mapInArrow(first_line, "path string, header array<string>").collect()
 
 
 def headers_by_file(spark: SparkSession, paths: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:
     """Files of one or more paths by their header line. Empty files are left out."""
     groups: dict[tuple[str, ...], list[str]] = {}
-    found = header_lines(spark, paths)
-    for path, header in found.toLocalIterator():
+    for path, header in header_lines(spark, paths):
         groups.setdefault(tuple(header), []).append(path)
-    forget(found)
     return groups
 
 
