@@ -6,6 +6,10 @@ of all documents costs one anchor per document, not one per pair. Each pair of d
 anchors (position, other position), no longer than the text; chaining picks ordered anchors whose total length
 less a linear gap cost is largest, by a Fenwick tree of prefix maxima. Chains are cut at long gaps, widened to
 both sides and aligned word by word between their anchors; what is long and similar enough is a passage.
+
+The document of the smallest key may hold only a part of a passage that two others share. So a second round
+takes the seeds that no passage covers, two at a time, NEAR to FAR words apart, and joins on both: those who
+hold such a pair hold its whole stretch, and their smallest key is a partner that a part of it cannot displace.
 """
 
 from __future__ import annotations
@@ -14,17 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
-from millrace.llm.tables import text_hash
-from millrace.session import durable
+from millrace.llm.tables import in_bitmap, key_bitmap, text_hash
+from millrace.session import durable, forget, session_conf
 
 SEED, WINDOW = 6, 8
 LEAST_WORDS, IDENTITY = 50, 0.8
 GAP_COST, LONGEST_GAP, MARGIN = 0.05, 40, 60
 LEAST_ANCHORS = 2
+#: Distances of two seeds that are looked up together: what 50 words have at both ends, and what a chain may skip.
+NEAR, FAR = 24, LONGEST_GAP + SEED
+PLACES = 200_000
 KEY_BITS = 24
 
 
@@ -48,15 +55,93 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.select(key().alias("key"), "text").mapInArrow(run, "key long, seed long, at int")
 
 
+def _gathered(linked: DataFrame) -> DataFrame:
+    """(key, other, anchors) from single anchors (key, at, other, there); ``other`` becomes the smaller key."""
+    turned = F.col("key") < F.col("other")
+    sides = [F.when(turned, a).otherwise(F.col(b)).alias(b) for a, b in ((F.col("other"), "key"), (F.col("there"), "at"), (F.col("key"), "other"), (F.col("at"), "there"))]
+    return linked.select(*sides).groupBy("key", "other").agg(F.collect_set(F.struct("at", "there")).alias("anchors"))
+
+
 def anchors(found: DataFrame) -> DataFrame:
-    """(key, other, anchors) of pairs with LEAST_ANCHORS or more seeds in common; ``found`` is stored.
+    """(key, other, anchors) of pairs of documents with seeds in common, each seed met in one partner.
 
-    ``other`` is the smallest key that holds the seed, at its first place there.
+    That is its place in the document of the smallest key that holds it, the first one there; further places in
+    that document meet the last place in the document of the largest key.
     """
-    first = found.groupBy("seed").agg(F.min(F.struct("key", "at")).alias("first"), F.max("key").alias("last")).where("first.key < last")
-    first = first.select("seed", F.col("first.key").alias("other"), F.col("first.at").alias("there"))
-    pairs = found.join(first, "seed").where("key <> other").groupBy("key", "other").agg(F.collect_set(F.struct("at", "there")).alias("anchors"))
-    return pairs.where(F.size("anchors") >= LEAST_ANCHORS)
+    place = F.struct("key", "at")
+    ends = found.groupBy("seed").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.key < last.key")
+    joined = found.join(ends, "seed").where("key <> first.key or at <> first.at")
+    partner = F.when(F.col("key") != F.col("first.key"), F.col("first")).otherwise(F.col("last"))
+    return _gathered(joined.select("key", "at", partner["key"].alias("other"), partner["at"].alias("there")))
+
+
+def places(pairs: DataFrame) -> DataFrame:
+    """(key, places): for each document of ``pairs`` (stored) the places of shared seeds, in order, each with a number
+    of its seed: a hash of where the partner has it. The lists are no longer than the texts."""
+    one = pairs.select("key", "other", F.explode("anchors").alias("a")).select("key", "a.at", "other", "a.there", F.xxhash64("other", "a.there").alias("seed"))
+    both = one.select("key", "at", "seed").unionByName(one.select(F.col("other").alias("key"), F.col("there").alias("at"), "seed"))
+    return both.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "seed"))).alias("places"))
+
+
+def paired(held: DataFrame, asked: np.ndarray | None = None) -> DataFrame:
+    """(pair, key, at, to, asks) of two shared seeds of a text, NEAR to FAR words apart.
+
+    ``held`` has key, places and spans (start, stop; sorted and disjoint, or null), which are the found passages. A
+    pair asks if one of its seeds is outside of them. With a bitmap of asked pairs, those that it lets through come
+    as well; without, only those that ask.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.diff(batch.column(1).offsets.to_numpy())
+            parts = np.cumsum(counts) // PLACES
+            for part in np.unique(parts):
+                yield from block(batch.slice(int(np.searchsorted(parts, part)), int((parts == part).sum())))
+
+    def block(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys, lists, spans = batch.columns
+        number = np.arange(batch.num_rows, dtype=np.int64) << 32  # texts one behind the other
+        flat, covers = lists.flatten(), spans.flatten()
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        at, seed = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().view(np.uint64)
+        whose = np.repeat(number, spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        place = at + number[doc]
+        starts, stops = (whose + covers.field(i).to_numpy() for i in (0, 1))
+        cover = np.searchsorted(starts, place, "right") - 1
+        found = (cover >= 0) & (place + SEED <= np.append(stops, 0)[cover])
+        lo, hi = np.searchsorted(place, place + NEAR), np.searchsorted(place, place + FAR, "right")
+        a = np.repeat(np.arange(len(place)), hi - lo)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[a]
+        asks = ~(found[a] & found[b])
+        pair = W.signed(W.mixed(seed[a] * W.MULTIPLIER + seed[b]))
+        chosen = np.flatnonzero(asks if asked is None else asks | in_bitmap(asked, pair))
+        a, b = a[chosen], b[chosen]
+        own = keys.take(pa.array(doc[a]))
+        yield pa.RecordBatch.from_arrays([pa.array(pair[chosen]), own, pa.array(at[a].astype(np.int32)), pa.array(at[b].astype(np.int32)), pa.array(asks[chosen])], names=["pair", "key", "at", "to", "asks"])
+
+    return held.select("key", "places", "spans").mapInArrow(run, "pair long, key long, at int, to int, asks boolean")
+
+
+def bridges(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, other, anchors) of documents that share two seeds NEAR to FAR words apart which no passage of ``found`` covers
+    in one of them. Both tables are stored.
+
+    As in ``anchors`` each such pair of seeds is met in the document of the smallest key that holds it, and from
+    there in that of the largest key. Only pairs of seeds that somebody asks for, by a bitmap of a fixed size, are shuffled.
+    """
+    sides = found.select("key", "start", "stop").unionByName(found.select(F.col("other").alias("key"), F.col("other_start").alias("start"), F.col("other_stop").alias("stop")))
+    spans = sides.groupBy("key").agg(_merged(F.array_sort(F.collect_set(F.struct("start", "stop")))).alias("spans"))
+    held = durable(places(pairs).join(spans, "key", "left"), "places")
+    stored = durable(paired(held, key_bitmap(paired(held), "pair")), "paired")
+    place = F.struct("key", "at", "to")
+    ends = stored.groupBy("pair").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.key < last.key")
+    joined = stored.where("asks").join(ends, "pair")
+    partner = F.when(F.col("key") != F.col("first.key"), F.col("first")).otherwise(F.col("last"))
+    both = F.array(F.struct(F.col("at"), partner["at"].alias("there")), F.struct(F.col("to").alias("at"), partner["to"].alias("there")))
+    single = joined.select("key", partner["key"].alias("other"), F.explode(both).alias("a")).select("key", "a.at", "other", "a.there")
+    out = durable(_gathered(single), "bridges")
+    forget(held), forget(stored)
+    return out
 
 
 class Fenwick:
@@ -380,10 +465,22 @@ def aligned(pairs: DataFrame, least: int, identity: float) -> DataFrame:
 def passages(docs: DataFrame, least: int = LEAST_WORDS, identity: float = IDENTITY) -> DataFrame:
     """(key, other, start, stop, other_start, other_stop, identity) of passages, in words of the two texts.
 
-    ``key`` hashes doc_id and text (rows repeated as a whole are one document); ``other`` has the smallest key
-    among the documents that hold the passage's seeds.
+    ``key`` hashes doc_id and text (rows repeated as a whole are one document); ``other`` is the smaller key. Every
+    document that shares a passage has it with some other one, but not with all. Shuffles end with the table that is
+    stored from them.
     """
-    pairs = durable(candidates(anchors(durable(seeds(docs), "seeds"))), "chains")
+    with session_conf(docs.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        pairs = durable(anchors(seeds(docs)), "anchors")
+        found = verified(docs, pairs, least, identity)
+        more = bridges(pairs, found)
+        again = verified(docs, more, least, identity)
+        forget(pairs), forget(more)
+    return found.unionByName(again).distinct()
+
+
+def verified(docs: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS, identity: float = IDENTITY) -> DataFrame:
+    """The passages, as of ``passages``, on chains of the anchors in ``pairs`` (stored); a stored table."""
+    pairs = durable(candidates(pairs.where(F.size("anchors") >= LEAST_ANCHORS)), "chains")
     needed = durable(pairs.select(F.explode(F.array("key", "other")).alias("key")).distinct(), "needed")
     texts = durable(_texts(docs, needed), "texts")
     # Margins of both sides are cut to what the shorter one has, so that the ends still face each other.
@@ -401,7 +498,9 @@ def passages(docs: DataFrame, least: int = LEAST_WORDS, identity: float = IDENTI
         F.slice("w", F.col("y_from") + 1, F.col("other_stop") - F.col("y_from") + after).alias("y"), "y_from",
         (F.col("start") - F.col("x_from")).alias("core_from"), (F.col("stop") - F.col("x_from")).alias("core_to"), "marks",
     )
-    return aligned(ready, least, identity).distinct()
+    out = durable(aligned(ready, least, identity).distinct(), "passages")
+    forget(pairs), forget(needed), forget(texts)
+    return out
 
 
 def repeated(docs: DataFrame, least: int = LEAST_WORDS, identity: float = IDENTITY) -> DataFrame:
@@ -412,7 +511,7 @@ def repeated(docs: DataFrame, least: int = LEAST_WORDS, identity: float = IDENTI
     Null and empty texts have no passages. Rows repeated as a whole are one document; other rows of one doc_id are
     documents of their own. A null doc_id stays null. An empty table gives no rows; other columns are ignored.
     """
-    found = durable(passages(docs, least, identity), "passages")
+    found = passages(docs, least, identity)
     ids = docs.select(key().alias("key"), "doc_id")
     involved = durable(ids.join(found.select(F.explode(F.array("key", "other")).alias("key")).distinct(), "key", "left_semi").distinct(), "ids")
     mine = found.select("key", "other", "start", "stop", F.lit(True).alias("removable"))
@@ -425,7 +524,7 @@ def repeated(docs: DataFrame, least: int = LEAST_WORDS, identity: float = IDENTI
     return out.join(involved, "key").select("doc_id", total("spans").alias("n_repeated"), total("own").alias("n_removable"), "spans", "partner")
 
 
-def _merged(name: str):
+def _merged(name: str | Column):
     """Sorted spans with those that touch made one."""
     kind = "array<struct<start:int,stop:int>>"
 

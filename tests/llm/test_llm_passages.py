@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from plain_words import alnum
 
 from millrace.llm import passages as P
@@ -104,6 +105,72 @@ def test_insertions_far_from_the_diagonal(spark):
         assert got[1].n_repeated == 2000 and got[2].n_repeated >= 2000
 
 
+def split_passages(parts, holders, pairs=20):
+    """Pairs of documents with a passage of 60 words, each part of which stands in other documents as well."""
+    rng = random.Random(100 * parts + holders)
+    words = lambda n: [f"w{rng.randint(0, 900000)}" for _ in range(n)]
+    rows, size = [], 60 // parts
+    for _ in range(pairs):
+        passage = words(60)
+        rows += [words(80) + passage + words(80) for _ in range(2)]
+        for p in range(parts):
+            rows += [words(70) + passage[p * size : (p + 1) * size] + words(70) for _ in range(holders)]
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    both = {i for i, w in enumerate(rows) if len(w) == 220}
+    return [(i, " ".join(rows[i])) for i in order], both
+
+
+@pytest.mark.parametrize(("parts", "holders"), [(2, 1), (2, 3), (2, 10), (2, 30), (3, 3), (3, 30)])
+def test_parts_in_other_documents(spark, parts, holders):
+    rows, both = split_passages(parts, holders)
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in P.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) <= both and len(got) >= 0.95 * len(both)
+    assert all(spans == [(80, 140)] for spans in got.values())
+
+
+def plain_repeats(texts, least):
+    """Places of each text that are within ``least`` or more words which another text holds, too."""
+    runs = {}
+    for i, w in texts.items():
+        for at in range(len(w) - least + 1):
+            runs.setdefault(tuple(w[at : at + least]), set()).add((i, at))
+    out = {}
+    for held in runs.values():
+        if len({i for i, _ in held}) > 1:
+            for i, at in held:
+                out.setdefault(i, set()).update(range(at, at + least))
+    return out
+
+
+def test_against_all_runs_of_words(spark):
+    rng = random.Random(13)
+    words = lambda n: [f"w{rng.randint(0, 900000)}" for _ in range(n)]
+    pool = [words(90) for _ in range(12)]
+    texts = {}
+    for i in range(150):
+        texts[i] = words(70)
+        for _ in range(rng.randint(0, 5)):
+            source, size = rng.choice(pool), rng.choice([15, 25, 35, 60, 75, 90])
+            at = rng.randint(0, len(source) - size)
+            texts[i] = texts[i] + source[at : at + size] + words(70)
+    want = plain_repeats(texts, P.LEAST_WORDS)
+    got = {r.doc_id: {x for s in r.spans for x in range(s.start, s.stop)} for r in P.repeated(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")).collect()}
+    assert set(got) <= set(want) and all(got[i] <= want[i] for i in got)
+    assert sum(map(len, got.values())) >= 0.98 * sum(map(len, want.values()))
+
+
+def test_twice_in_one_document(spark):
+    rng = random.Random(14)
+    words = lambda n: [f"w{rng.randint(0, 900000)}" for _ in range(n)]
+    passage = words(60)
+    twice = words(20) + passage + words(80) + passage + words(20)
+    rows = [(i, " ".join(w)) for i, w in enumerate([twice, words(30) + passage, twice[:160] + words(9) + twice[160:], words(200)])]
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in P.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {0, 1, 2} and got[1] == [(30, 90)]
+    assert all(sum(b - a for a, b in got[i]) >= 120 for i in (0, 2))
+
+
 def test_chains_are_aligned_between_their_anchors():
     rng = np.random.default_rng(5)
     for _ in range(40):
