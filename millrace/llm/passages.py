@@ -30,8 +30,9 @@ LEAST_WORDS, IDENTITY = 50, 0.8
 GAP_COST, LONGEST_GAP, MARGIN = 0.05, 40, 60
 LEAST_ANCHORS = 2
 #: Distances of two seeds that are looked up together: what 50 words have at both ends, and what a chain may skip.
-NEAR, FAR = 24, LONGEST_GAP + SEED
-PLACES = 200_000
+NEAR, FAR = 30, LONGEST_GAP + SEED
+#: Places that a task takes at a time, and bytes of stored anchors that one task chains: many seconds of work.
+PLACES, CHAIN_BYTES = 200_000, "8m"
 KEY_BITS = 24
 
 
@@ -88,7 +89,8 @@ def paired(held: DataFrame, asked: np.ndarray | None = None) -> DataFrame:
 
     ``held`` has key, places and spans (start, stop; sorted and disjoint, or null), which are the found passages. A
     pair asks if one of its seeds is outside of them. With a bitmap of asked pairs, those that it lets through come
-    as well; without, only those that ask.
+    as well; without, only those that ask. Where a text repeats itself, a pair asks once in NEAR words, which the margins
+    of its candidate exceed, and answers once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +117,8 @@ def paired(held: DataFrame, asked: np.ndarray | None = None) -> DataFrame:
         asks = ~(found[a] & found[b])
         pair = W.signed(W.mixed(seed[a] * W.MULTIPLIER + seed[b]))
         chosen = np.flatnonzero(asks if asked is None else asks | in_bitmap(asked, pair))
+        stretch = number[doc[a[chosen]]] + np.where(asks[chosen], at[a[chosen]] // NEAR + 1, 0)
+        chosen = chosen[np.sort(np.unique(W.mixed(pair[chosen].view(np.uint64) ^ W.mixed(stretch.view(np.uint64))), return_index=True)[1])]
         a, b = a[chosen], b[chosen]
         own = keys.take(pa.array(doc[a]))
         yield pa.RecordBatch.from_arrays([pa.array(pair[chosen]), own, pa.array(at[a].astype(np.int32)), pa.array(at[b].astype(np.int32)), pa.array(asks[chosen])], names=["pair", "key", "at", "to", "asks"])
@@ -480,7 +484,8 @@ def passages(docs: DataFrame, least: int = LEAST_WORDS, identity: float = IDENTI
 
 def verified(docs: DataFrame, pairs: DataFrame, least: int = LEAST_WORDS, identity: float = IDENTITY) -> DataFrame:
     """The passages, as of ``passages``, on chains of the anchors in ``pairs`` (stored); a stored table."""
-    pairs = durable(candidates(pairs.where(F.size("anchors") >= LEAST_ANCHORS)), "chains")
+    with session_conf(docs.sparkSession, spark__sql__files__maxPartitionBytes=CHAIN_BYTES):
+        pairs = durable(candidates(pairs.where(F.size("anchors") >= LEAST_ANCHORS)), "chains")
     needed = durable(pairs.select(F.explode(F.array("key", "other")).alias("key")).distinct(), "needed")
     texts = durable(_texts(docs, needed), "texts")
     # Margins of both sides are cut to what the shorter one has, so that the ends still face each other.
