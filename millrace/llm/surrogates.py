@@ -8,7 +8,12 @@ is shuffled or joined. Formats stay: separators, case, script and length, the co
 digits of phone numbers, valid octets of IPv4 addresses, a card's first digit and its Luhn remainder, an
 IBAN's country and check digits, the prefix of an access key, the alphabet of a hexadecimal secret, the
 top-level domain (and reserved example domains) of e-mail addresses, titles, gendered endings of names.
-Known given names change places within their own gender and script.
+Known given names change places within their own gender and script, frequent surnames among themselves; any
+other word of a name keeps its vowels and consonants in place, accented ones too.
+
+A person is found behind a title or by a known given name before a capitalised word. A name's words have one
+surrogate each, wherever they stand and however they are cased; once a text has named a person, the same words
+standing alone in it are replaced as well.
 
 ``collisions`` checks the promise over a corpus and lists what breaks it.
 """
@@ -25,6 +30,8 @@ DIGITS = "0123456789"
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
 HEX = "0123456789abcdef"
+#: Letters of names change places within their row.
+NAME_LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãåéèêëíìîïóòôöõúùûü", "çñšžčćřśźń", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь")
 
 #: Given names by script and gender, and titles by gender.
 GIVEN = {
@@ -36,21 +43,29 @@ GIVEN = {
 MALE_TITLES = "Mr Herr Monsieur Señor Sr господин г-н".split()
 FEMALE_TITLES = "Mrs Ms Miss Frau Madame Mme Señora Sra госпожа г-жа".split()
 NEUTRAL_TITLES = "Dr Prof".split()
+#: Frequent surnames, none of which is a given name above.
+SURNAMES = ("Smith", "Johnson", "Williams", "Brown", "Jones", "Miller", "Davis", "Wilson", "Taylor", "Clark", "Schmidt", "Schneider", "Fischer", "Weber", "Meyer", "Wagner", "Becker", "Dubois", "Durand", "Moreau", "Garcia", "Lopez")
+POOLS: dict[tuple[str, str], list[str]] = {**GIVEN, ("latin", "family"): list(SURNAMES)}
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLES = "|".join([*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES])
+_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
+_TITLE = rf"^(?:(?:{_TITLES})\.?[ ])?"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+SPACED_IBAN = r"[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?"
 
 #: Kind and pattern, tried in this order at each place of a text.
 PATTERNS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9])",
     "ipv4": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "ipv6": rf"(?<![A-Za-z0-9:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{_GROUP}:){{7}}{_GROUP}|{_GROUP}(?::{_GROUP}){{0,5}}::(?:{_GROUP}(?::{_GROUP}){{0,5}})?)(?![A-Za-z0-9:])",
+    "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}|{SPACED_IBAN})(?![A-Za-z0-9])",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:token|password|passwd|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/.-]{8,}",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|[3-6]\d{12,18})(?![\d-])",
     "phone": r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\d)",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.?[ ]\p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+)?",
+    "name": rf"(?<![\p{{L}}])(?:(?:{_TITLES})\.?[ ]\p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+)?|(?:{_GIVEN})[ ]\p{{Lu}}\p{{L}}+)",
 }
 
 
@@ -60,9 +75,9 @@ def _any(*kinds: str) -> str:
 
 #: All kinds, behind cheap tests of where and with what a match can begin.
 ANY = (
-    rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9])(?:{_any('email', 'iban', 'access_key', 'secret')})"
+    rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z0-9])(?:{_any('email', 'ipv6', 'iban', 'access_key', 'secret')})"
     rf"|(?=[\d+(])(?:{_any('ipv4', 'ssn', 'card', 'phone')})"
-    rf"|(?=[{''.join(sorted({t[0] for t in _TITLES.split('|')}))}])(?:{_any('name')})"
+    rf"|(?=[{''.join(sorted({t[0] for t in f'{_TITLES}|{_GIVEN}'.split('|')}))}])(?:{_any('name')})"
 )
 
 
@@ -107,7 +122,10 @@ def alphabet_of(kind: Column, c: Column, i: Column, cells: Column) -> Column:
     # A phone number keeps what stands before its last ten digits; area and exchange begin with 2 to 9.
     rank = F.size(F.filter(F.slice(cells, 1, i + 1), lambda x: (x >= "0") & (x <= "9"))) - F.when(n >= 10, n - 10).otherwise(2)
     phone = F.when(~digit | (rank < 1), F.lit("")).when(rank.isin(1, 4) & (c >= "2") & (n >= 10), F.lit("23456789")).otherwise(F.lit(DIGITS))
-    return F.when(kind == "hex", F.lit(HEX)).when(kind == "phone", phone).when((kind == "card") & (i == 0), F.lit("")).otherwise(own)
+    in_name = F.lit("")
+    for letters in NAME_LETTERS:
+        in_name = F.when(F.instr(F.lit(letters), low) > 0, F.lit(letters)).otherwise(in_name)
+    return F.when(kind.isin("hex", "ipv6"), F.lit(HEX)).when(kind == "word", in_name).when(kind == "phone", phone).when((kind == "card") & (i == 0), F.lit("")).otherwise(own)
 
 
 def permute(text: Column, kind: Column, key: str) -> Column:
@@ -172,34 +190,40 @@ def _secret(text: Column) -> Column:
     return _parts(("fixed", F.regexp_extract(text, rule, 1)), (F.when(value.rlike("^[0-9a-f]+$"), "hex").otherwise("secret"), value))
 
 
-def _known() -> Column:
-    return F.array(*[F.lit(n) for names in GIVEN.values() for n in names])
+def _is_known(word: Column) -> Column:
+    return F.find_in_set(F.initcap(word), F.lit(",".join(n for names in POOLS.values() for n in names))) > 0
 
 
 def _name(text: Column) -> Column:
-    """A known given name is one part; any other word keeps the ending that marks gender."""
-    rule = r"^(\S+ )(\p{L}+)(?:([ -])(\p{L}+))?$"
-    title, first, gap, second = (F.regexp_extract(text, rule, i) for i in (1, 2, 3, 4))
+    """The title, then each word of the name by itself."""
+    title = F.regexp_extract(text, _TITLE, 0)
+    tokens = F.regexp_extract_all(F.substr(text, F.length(title) + 1), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.concat(_parts(("fixed", title)), F.transform(tokens, lambda t: F.struct(F.when(t.rlike(r"^\p{L}"), "word").otherwise("fixed").alias("kind"), t.alias("text"))))
 
-    def ending(word: Column) -> Column:
-        return F.when(word.rlike("[а-яА-Я]") & (F.length(word) > 4), 3).otherwise(1)
 
-    def word(kind: str, w: Column, whole: Column) -> list[tuple[str | Column, Column | str]]:
-        cut = F.length(w) - F.when(whole, 0).otherwise(ending(w))
-        return [(F.when(whole, "known").otherwise(kind), F.substr(w, F.lit(1), cut)), ("fixed", F.substr(w, cut + 1))]
+def _shifted(name: Column, key: str) -> Column:
+    """A known name moves within its list by an amount that the key gives; capitals stay."""
+    found, proper = name, F.initcap(name)
+    for (script, gender), names in POOLS.items():
+        shift = F.pmod(F.xxhash64(F.lit(key), F.lit(script), F.lit(gender)), F.lit(len(names) - 1)) + 1
+        pool = F.lit(",".join(names))
+        at = F.find_in_set(proper, pool)
+        moved = F.split_part(pool, F.lit(","), (F.pmod(at - 1 + shift, F.lit(len(names))) + 1).cast("int"))
+        found = F.when(at > 0, moved).otherwise(found)
+    return let(found, lambda new: F.when(F.upper(name) == name, F.upper(new)).when(F.lower(name) == name, F.lower(new)).otherwise(new))
 
-    return _parts(("fixed", title), *word("given", first, F.array_contains(_known(), first)), ("fixed", gap), *word("family", second, F.lit(False)))
 
+def name_word(word: Column, key: str) -> Column:
+    """The surrogate of a name's word. One that is no known name keeps the ending that marks gender, and is moved on
+    while it lands on a known one, so none of those is hit twice."""
 
-def _shifted(name: Column, key: str) -> Column:
-    """A known given name moves within its list by an amount that the key gives."""
-    found = name
-    for (script, gender), names in GIVEN.items():
-        shift = F.pmod(F.xxhash64(F.lit(key), F.lit(script), F.lit(gender)), F.lit(len(names) - 1)) + 1
-        pool = F.array(*[F.lit(n) for n in names])
-        at = F.array_position(pool, name)
-        found = F.when(at > 0, F.element_at(pool, (F.pmod(at - 1 + shift, F.lit(len(names))) + 1).cast("int"))).otherwise(found)
-    return found
+    def moved(w: Column) -> Column:
+        ending = F.when(w.rlike("[а-яёА-ЯЁ]") & (F.length(w) > 4), 3).when(F.length(w) > 3, 1).otherwise(0)
+        cut = F.length(w) - ending
+        return F.concat(permute(F.substr(w, F.lit(1), cut), F.lit("word"), key), F.substr(w, cut + 1))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(3)), word, lambda x, i: F.when((i == 1) | _is_known(x), moved(x)).otherwise(x))
+    return F.when(_is_known(word), _shifted(word, key)).otherwise(walked)
 
 
 def _with_luhn(text: Column, body: Column) -> Column:
@@ -219,6 +243,14 @@ def _with_iban_check(text: Column, body: Column) -> Column:
     return F.concat(country, F.lpad((98 - left).cast("string"), 2, "0"), body)
 
 
+def _compact(text: Column) -> Column:
+    return F.replace(text, F.lit(" "), F.lit(""))
+
+
+def _spaced_like(text: Column, made: Column) -> Column:
+    return F.when(F.instr(text, " ") > 0, F.regexp_replace(made, "(.{4})(?=.)", "$1 ")).otherwise(made)
+
+
 def kind_of(entity: Column) -> Column:
     """The first kind whose pattern is the whole entity."""
     found = F.lit(None).cast("string")
@@ -231,10 +263,8 @@ def surrogate(entity: Column, key: str) -> Column:
     """The replacement of an entity (of any text that ``kind_of`` knows; others stay)."""
 
     def of_part(part: Column) -> Column:
-        """A part of unknown given names is moved on while it lands on a known one, so none of those is hit twice."""
-        again = lambda x: (part["kind"] == "given") & F.array_contains(_known(), x)
-        walked = F.aggregate(F.sequence(F.lit(1), F.lit(3)), part["text"], lambda x, i: F.when((i == 1) | again(x), permute(x, part["kind"], key)).otherwise(x))
-        return F.when((part["kind"] == "fixed") | (part["text"] == ""), part["text"]).when(part["kind"] == "known", _shifted(part["text"], key)).otherwise(walked)
+        other = F.when((part["kind"] == "fixed") | (part["text"] == ""), part["text"]).otherwise(permute(part["text"], part["kind"], key))
+        return F.when(part["kind"] == "word", name_word(part["text"], key)).otherwise(other)
 
     def made(kind: Column) -> Column:
         parts = (
@@ -242,13 +272,13 @@ def surrogate(entity: Column, key: str) -> Column:
             .when(kind == "secret", _secret(entity))
             .when(kind == "name", _name(entity))
             .when(kind == "card", _parts(("card", F.substr(entity, F.lit(1), F.length(entity) - 1))))
-            .when(kind == "iban", _parts(("iban", F.substr(entity, F.lit(5)))))
+            .when(kind == "iban", _parts(("iban", F.substr(_compact(entity), F.lit(5)))))
             .when(kind == "access_key", _parts(("fixed", "AKIA"), ("access_key", F.substr(entity, F.lit(5)))))
             .otherwise(_parts((kind, entity)))
         )
 
         def whole(text: Column) -> Column:
-            return F.when(kind == "card", _with_luhn(entity, text)).when(kind == "iban", _with_iban_check(entity, text)).otherwise(text)
+            return F.when(kind == "card", _with_luhn(entity, text)).when(kind == "iban", _spaced_like(entity, _with_iban_check(entity, text))).otherwise(text)
 
         octets = F.transform(F.split(entity, r"\."), lambda x: x.cast("int"))
         address = F.array_join(feistel(octets, F.array(*[F.lit(256)] * 4), key, F.lit("ipv4")), ".")
@@ -258,8 +288,11 @@ def surrogate(entity: Column, key: str) -> Column:
 
 
 def is_entity(match: Column) -> Column:
-    """A number of a card's shape counts only with a valid Luhn sum; any other match counts."""
-    return (~match.rlike(f"^(?:{PATTERNS['card']})$")) | (luhn(match) == 0)
+    """A number of a card's shape counts only with a valid Luhn sum, a spaced IBAN only with valid check digits; any
+    other match counts."""
+    iban = match.rlike(f"^{SPACED_IBAN}$")
+    valid = _with_iban_check(match, F.substr(_compact(match), F.lit(5))) == _compact(match)
+    return F.when(match.rlike(f"^(?:{PATTERNS['card']})$"), luhn(match) == 0).when(iban, valid).otherwise(True)
 
 
 def entities(text: Column) -> Column:
@@ -267,18 +300,39 @@ def entities(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY), F.lit(0)), is_entity)
 
 
+def named(found: Column) -> Column:
+    """The lower-case words of all names among a text's matches."""
+    names = F.filter(found, lambda e: e.rlike(f"^(?:{PATTERNS['name']})$"))
+    words = F.transform(names, lambda e: F.regexp_extract_all(F.lower(F.regexp_replace(e, _TITLE, "")), F.lit(r"\p{L}{2,}"), F.lit(0)))
+    return F.array_distinct(F.flatten(words))
+
+
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with text rewritten and n_entities added; all other columns and every row as they were.
 
+    Entities are all matches, and the capitalised words between them that are part of a name found in the same text.
     Null text stays null, with 0 entities. Empty texts, repeated rows and empty tables need no special case.
     A column n_entities of the input is replaced.
     """
-    text, found = F.col("text"), F.col("__found")
+    text, found, words = F.col("text"), F.col("__found"), F.col("__words")
     replaced = F.transform(found, lambda e: F.when(is_entity(e), surrogate(e, key)).otherwise(e))
-    woven = F.array_join(F.zip_with(F.split(text, ANY, -1), replaced, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    count = F.coalesce(F.size(F.filter(found, is_entity)), F.lit(0))
-    once = docs.withColumn("__found", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY), F.lit(0)))
-    return once.withColumns({"text": F.when(F.size(found) > 0, woven).otherwise(text), "n_entities": count}).drop("__found")
+
+    def tokens(gap: Column) -> Column:
+        return F.regexp_extract_all(gap, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+
+    def again(token: Column) -> Column:
+        return token.rlike(r"^\p{Lu}") & F.array_contains(words, F.lower(token))
+
+    def rewritten(gap: Column) -> Column:
+        return F.array_join(F.transform(tokens(gap), lambda t: F.when(again(t), name_word(t, key)).otherwise(t)), "")
+
+    gaps = F.split(text, ANY, -1)
+    between = F.when(F.size(words) > 0, F.transform(gaps, rewritten)).otherwise(gaps)
+    more = F.when(F.size(words) > 0, F.aggregate(gaps, F.lit(0), lambda n, gap: n + F.size(F.filter(tokens(gap), again)))).otherwise(0)
+    woven = F.array_join(F.zip_with(between, replaced, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    count = F.coalesce(F.size(F.filter(found, is_entity)) + more, F.lit(0))
+    once = docs.withColumn("__found", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY), F.lit(0))).withColumn("__words", named(found))
+    return once.withColumns({"text": F.when(F.size(found) > 0, woven).otherwise(text), "n_entities": count}).drop("__found", "__words")
 
 
 def collisions(docs: DataFrame, key: str) -> DataFrame:

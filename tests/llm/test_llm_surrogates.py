@@ -71,6 +71,54 @@ def plain_feistel(values, sizes, key, kind):
     return left + right
 
 
+def plain_word(word, key):
+    """The surrogate of a word that is no known name, in plain Python."""
+    ending = 3 if re.search("[а-яё]", word.lower()) and len(word) > 4 else 1 if len(word) > 3 else 0
+    body = word[: len(word) - ending]
+    rows = [next((r for r in S.NAME_LETTERS if c in r), "") for c in body.lower()]
+    moving = [(c, r) for c, r in zip(body.lower(), rows, strict=True) if r]
+    new = iter(plain_feistel([r.index(c) for c, r in moving], [len(r) for _, r in moving], key, "word"))
+    made = [r[next(new)] if r else c for c, r in zip(body, rows, strict=True)]
+    return "".join(m.upper() if c != c.lower() else m for m, c in zip(made, body, strict=True)) + word[len(body) :]
+
+
+def test_words_of_names_against_plain_version(spark):
+    words = ["Ng", "Nh", "Ni", "Müller", "MÜLLER", "Strauß", "Петров", "Ёлкина", "Çelik", "Núñez", "McDonald", "Zz"]
+    frame = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {r.w: r.s for r in frame.select("w", S.name_word(F.col("w"), "k").alias("s")).collect()}
+    assert got == {w: plain_word(w, "k") for w in words}
+    assert got["MÜLLER"] == got["Müller"].upper() != "MÜLLER"
+
+
+def test_short_surnames_stay_distinct(spark):
+    names = spark.range(441).select(F.concat(F.expr("char(65 + id % 21)"), F.expr("char(97 + cast(id / 21 as int))")).alias("w"))
+    assert names.select(S.name_word(F.col("w"), "k").alias("s")).distinct().count() == 441
+
+
+def test_persons_are_followed_through_a_text(spark):
+    texts = [
+        "Mr. John Smith called. Later Smith and John Smith came back, SMITH's car too; a smith stayed.",
+        "Mr John and Mr JOHN", "Dear John Doe, Doe is here", "Frau Müller. Müller", "Later Smith came", "Miller John and Doe",
+    ]
+    got = rewritten(spark, texts)
+    first, last = re.match(r"Mr\. (\w+) (\w+) called", got[0].text).groups()
+    assert got[0].text == f"Mr. {first} {last} called. Later {last} and {first} {last} came back, {last.upper()}'s car too; a smith stayed."
+    assert first in S.GIVEN["latin", "male"] and last in S.SURNAMES and "Smith" != last and got[0].n_entities == 4
+    assert got[1].text == f"Mr {first} and Mr {first.upper()}"
+    other = plain_word("Doe", "k")
+    assert got[2].text == f"Dear {first} {other}, {other} is here" and got[3].text == "Frau {0}. {0}".format(plain_word("Müller", "k"))
+    assert got[4].text == texts[4] and got[5].text == texts[5] and got[5].n_entities == 0
+
+
+def test_spaced_ibans_and_ipv6(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00 or DE89370400440532013000.", "DE88 3704 0044 0532 0130 00", "from 2001:db8::8a2e:370:7334 and 2001:0DB8:0:0:0:8A2E:370:7334", "std::add abc::def 10:20:30 a::b"]
+    got = rewritten(spark, texts)
+    spaced, plain = re.match(r"IBAN (DE\d\d(?: \d{4}){4} \d\d) or (DE\d{20})\.$", got[0].text).groups()
+    assert spaced.replace(" ", "") == plain != "DE89370400440532013000" and int(plain[4:] + "1314" + plain[2:4]) % 97 == 1
+    assert got[1].text == texts[1] and got[3].text == texts[3] and got[2].n_entities == 2
+    assert all(re.fullmatch(r"[0-9A-Fa-f:]+", x) and x not in texts[2] for x in got[2].text.split()[1::2])
+
+
 def test_network_against_plain_version_and_distinctness(spark):
     everything = spark.range(1000).select(F.format_string("%03d", "id").alias("t"))
     digits = F.transform(S.chars(F.col("t")), lambda c: c.cast("int"))
