@@ -152,57 +152,84 @@ class Fenwick:
     """Largest (value, index) over prefixes; of equal values the larger index."""
 
     def __init__(self, n: int):
-        self.best = [(-np.inf, -1)] * (n + 1)
+        self.best, self.index = [-np.inf] * (n + 1), [-1] * (n + 1)
 
     def put(self, i: int, value: float, index: int) -> None:
+        best, own = self.best, self.index
         i += 1
-        while i < len(self.best):
-            self.best[i] = max(self.best[i], (value, index))
+        while i < len(best):
+            if value > best[i] or (value == best[i] and index > own[i]):
+                best[i], own[i] = value, index
             i += i & -i
 
     def before(self, i: int) -> tuple[float, int]:
         """Over places below i."""
-        top = (-np.inf, -1)
+        best, own = self.best, self.index
+        value, index = -np.inf, -1
         while i:
-            top = max(top, self.best[i])
+            if best[i] > value or (best[i] == value and own[i] > index):
+                value, index = best[i], own[i]
             i -= i & -i
-        return top
+        return value, index
 
 
-def chains(at: np.ndarray, there: np.ndarray, seed: int = SEED, gap_cost: float = GAP_COST) -> list[list[int]]:
-    """Disjoint chains of anchors (indices), best first: both places rise along a chain.
+def _linked(at: list[int], there: list[int], rank: list[int] | None, seed: int, gap_cost: float) -> tuple[list[float], list[int]]:
+    """Score and prior anchor of each anchor; anchors come in order of (at, there).
 
-    A link costs ``gap_cost`` per word skipped in either text, at which score + cost * (at + there) can be kept as a
-    prefix maximum over ``there`` while anchors come in order of ``at``.
+    Without ranks both places rise all the way. The best prior anchor is then the one before: what the tree would hold
+    for it is what it holds for the earlier ones and at least one more word.
     """
-    order = np.lexsort((there, at))
-    rank = np.unique(there, return_inverse=True)[1]
-    tree = Fenwick(int(rank.max()) + 1 if len(rank) else 0)
-    score, back = np.zeros(len(at)), np.full(len(at), -1)
+    n = len(at)
+    score, back = [float(seed)] * n, [-1] * n
+    cost = [gap_cost * (a + t) for a, t in zip(at, there, strict=True)]
+    if rank is None:
+        for i in range(1, n):
+            gain = score[i - 1] + cost[i - 1] - cost[i]
+            if gain > 0:
+                score[i], back[i] = gain + min(seed, at[i] - at[i - 1], there[i] - there[i - 1]), i - 1
+        return score, back
+    tree = Fenwick(max(rank) + 1)
     i = 0
-    while i < len(order):
+    while i < n:
         j = i
-        while j < len(order) and at[order[j]] == at[order[i]]:
-            a = order[j]
-            value, number = tree.before(int(rank[a]))
-            prior = int(order[number]) if number >= 0 else -1
-            gain = value - gap_cost * (int(at[a]) + int(there[a]))
-            score[a] = seed
+        while j < n and at[j] == at[i]:
+            value, prior = tree.before(rank[j])
+            gain = value - cost[j]
             if prior >= 0 and gain > 0:
-                new = min(seed, int(at[a] - at[prior]), int(there[a] - there[prior]))  # words not yet counted
-                score[a], back[a] = gain + new, prior
+                score[j], back[j] = gain + min(seed, at[j] - at[prior], there[j] - there[prior]), prior  # words not yet counted
             j += 1
         for x in range(i, j):  # anchors of one place must not follow each other
-            a = order[x]
-            tree.put(int(rank[a]), float(score[a] + gap_cost * (int(at[a]) + int(there[a]))), x)
+            tree.put(rank[x], score[x] + cost[x], x)
         i = j
-    out, used = [], np.zeros(len(at), bool)
-    for end in np.argsort(-score, kind="stable"):
-        chain, a = [], int(end)
-        while a >= 0 and not used[a]:
-            used[a] = True
-            chain.append(a)
-            a = int(back[a])
+    return score, back
+
+
+def chains(at: np.ndarray, there: np.ndarray, seed: int = SEED, gap_cost: float = GAP_COST) -> list[list[int]]:
+    """Disjoint chains of anchors (indices), best first: both places rise along a chain.
+
+    A link costs ``gap_cost`` per word skipped in either text, at which score + cost * (at + there) can be kept as a
+    prefix maximum over ``there`` while anchors come in order of ``at``. Anchors that rise in both texts as they come,
+    as those of a plain copy do, need no tree.
+    """
+    if not len(at):
+        return []
+    order = np.lexsort((there, at))
+    a, t = at[order], there[order]
+    rising = bool((a[1:] > a[:-1]).all() and (t[1:] > t[:-1]).all())
+    rank = None if rising else np.unique(t, return_inverse=True)[1].tolist()
+    sorted_score, prior = _linked(a.tolist(), t.tolist(), rank, seed, gap_cost)
+    score = np.empty(len(at))
+    score[order] = sorted_score
+    place = np.empty(len(at), np.int64)
+    place[order] = np.arange(len(at))
+    names, used = order.tolist(), [False] * len(at)
+    out = []
+    for end in place[np.argsort(-score, kind="stable")].tolist():
+        chain, x = [], end
+        while x >= 0 and not used[x]:
+            used[x] = True
+            chain.append(names[x])
+            x = prior[x]
         if chain:
             out.append(chain[::-1])
     return out

@@ -43,6 +43,19 @@ def test_chains_are_collinear_and_best():
         assert abs(chain_score(got[0], at, there) - plain_best(at.tolist(), there.tolist())) < 1e-9
 
 
+def test_chains_of_rising_anchors_are_best():
+    rng = random.Random(10)
+    for _ in range(60):
+        n = rng.randint(1, 40)
+        at, there = (np.cumsum([rng.choice([1, 2, 5, 30, 200]) for _ in range(n)]) for _ in range(2))
+        shuffled = np.array(rng.sample(range(n), n))
+        at, there = at[shuffled], there[shuffled]
+        got = P.chains(at, there)
+        assert sorted(i for c in got for i in c) == list(range(n))
+        assert abs(chain_score(got[0], at, there) - plain_best(at.tolist(), there.tolist())) < 1e-9
+    assert P.chains(np.empty(0, np.int64), np.empty(0, np.int64)) == []
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
