@@ -20,6 +20,15 @@ def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxi.clean_kept(trips(spark, sf_dir))
 
 
+#: Trips in one of the files that a check scatters its rows over: tasks that write them stay of one size.
+PIECE_ROWS = 1_000_000
+
+
+def _pieces(spark: SparkSession, sf_dir: str, least: int) -> int:
+    """How many files to scatter the trips over: ``least``, of larger tables more. Counted from footers."""
+    return max(least, -(-trips(spark, sf_dir).count() // PIECE_ROWS))
+
+
 def _clean_lake(spark: SparkSession, sf_dir: str, label: str) -> str:
     path = scratch_path(spark, label)
     lake.write_partitioned(_clean(spark, sf_dir), path)
@@ -438,7 +447,7 @@ def snapshot_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many small files per month, merged along a plan of bins; each task rewrites one bin."""
     table = SnapshotTable(spark, scratch_path(spark, "table"))
-    table.replace(_clean(spark, sf_dir).repartition(6), gather=False)
+    table.replace(_clean(spark, sf_dir).repartition(_pieces(spark, sf_dir, 6)), gather=False)
     table.compact(target_mib=1)
     sizes = [table.files(v).groupBy("year", "month").agg(F.count("*").alias(f"files_{v}"), F.sum("bytes").alias(f"bytes_{v}")) for v in (1, 2)]
     few = (F.col("files_2") <= F.ceil(F.col("bytes_1") / lake.MIB) + 1).alias("few_files")

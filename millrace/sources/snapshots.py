@@ -20,12 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from millrace.operators.ordering import positions
-from millrace.session import durable, file_system, folder_names
+from millrace.session import durable, file_system, folder_names, session_conf
 from millrace.sources import lake
 
 #: The partition column that tells the files of one write from those of others; readers do not see it.
 WRITE = "write_id"
-#: Scans that one compaction job unites; each is a task of its own.
+#: Scans that one compaction job unites; each holds the bins of one partition.
 BINS_PER_JOB = 128
 
 
@@ -160,40 +160,51 @@ class SnapshotTable:
     # --- upkeep ----------------------------------------------------------------------------
 
     def plan_bins(self, target_mib: int = lake.TARGET_MIB, where: Column | None = None) -> DataFrame:
-        """(by…, bin, file, bytes): files to be merged into one, from their sizes; files that stay alone are not listed."""
+        """(by…, bin, room, file, bytes): files to be merged into one, from their sizes; files that stay alone are not listed.
+
+        ``room`` is what a bin of the partition holds at most.
+        """
         files = self.files()
         listed = (files if where is None else files.where(where)).select(*self.by, "file", "bytes")
-        kinds = T.StructType([*(listed.schema[b] for b in self.by), *T.StructType.fromDDL("bin bigint, file string, bytes bigint")])
+        kinds = T.StructType([*(listed.schema[b] for b in self.by), *T.StructType.fromDDL("bin bigint, room bigint, file string, bytes bigint")])
         target, by = target_mib * lake.MIB, list(self.by)
 
         def pack(group: pd.DataFrame) -> pd.DataFrame:
-            placed = group.assign(bin=bins_of(group["bytes"].tolist(), group["file"].tolist(), target))
+            bins, room = packed(group["bytes"].tolist(), group["file"].tolist(), target)
+            placed = group.assign(bin=bins, room=room)
             several = placed["bin"].map(placed["bin"].value_counts()) > 1
-            return placed[several & (placed["bin"] >= 0)][[*by, "bin", "file", "bytes"]]
+            return placed[several & (placed["bin"] >= 0)][[*by, "bin", "room", "file", "bytes"]]
 
         return listed.groupBy(*by).applyInPandas(pack, kinds)
 
     def compact(self, target_mib: int = lake.TARGET_MIB, where: Column | None = None) -> int | None:
         """Merge small files of a partition into few, without a shuffle; returns the new version, None if nothing is to do.
 
-        First-fit decreasing packs the files of a partition by their sizes. Every bin is one task that reads its files and
+        The files of a partition are packed by their sizes (see ``packed``). Every bin is one task that reads its files and
         writes one; files that fill a bin alone are not touched. Afterwards a partition has at most ceil(size / target) + 1
-        files. Rows are compared before the version is committed.
+        files. A plan holds a scan per partition, however many bins that has. Rows are compared before the version is
+        committed.
         """
         base = self.version()
         if base is None:
             return None
         plan = durable(self.plan_bins(target_mib, where), "bins")
-        bins = positions(plan.select(*self.by, "bin").distinct(), [*self.by, "bin"], name="job_bin").alias("b")
-        same = reduce(and_, (F.col(f"p.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*self.by, "bin")))
-        numbered = durable(plan.alias("p").join(bins, same).select("p.file", "b.job_bin"), "numbered-bins")
-        last = numbered.agg(F.max("job_bin")).first()[0]
-        if last is None:
+        scans = positions(plan.select("room", *self.by).distinct(), ["room", *self.by], name="scan").alias("s")
+        same = reduce(and_, (F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}")) for c in self.by))
+        numbered = durable(plan.alias("p").join(scans, same).select("p.file", "s.room", "s.scan"), "numbered-bins")
+        rooms = numbered.groupBy("room").agg(F.min("scan").alias("first"), F.max("scan").alias("last")).orderBy("room").collect()
+        if not rooms:
             return None
         parts = []
-        for start in range(0, last + 1, BINS_PER_JOB):
-            rewritten = self._rewrite(numbered.where(F.col("job_bin").between(start, start + BINS_PER_JOB - 1)), base.schema)
-            parts.append(self._put(rewritten, False, target_mib, spread=False))
+        for at in rooms:
+            # The reader packs the files of a scan as ``packed`` did: by size, the next bin when one is full.
+            with session_conf(
+                self.spark, spark__sql__files__maxPartitionBytes=str(at.room), spark__sql__files__openCostInBytes="0",
+                spark__sql__files__minPartitionNum="1", spark__sql__maxConcurrentOutputFileWriters="1",
+            ):
+                for start in range(at.first, at.last + 1, BINS_PER_JOB):
+                    some = numbered.where(F.col("scan").between(start, min(start + BINS_PER_JOB - 1, at.last)))
+                    parts.append(self._put(self._rewrite(some, base.schema), False, target_mib, spread=False))
         new = durable(reduce(DataFrame.unionByName, parts), "entries")
         listed = self.files(base.number)
         gone = listed.join(numbered.select("file"), "file", "left_semi")
@@ -202,12 +213,12 @@ class SnapshotTable:
             raise RuntimeError(f"compaction read {rows[0]} rows and wrote {rows[1]}")
         return self._commit(base, listed.join(numbered.select("file"), "file", "left_anti").unionByName(new), base.schema)
 
-    def _rewrite(self, bins: DataFrame, schema: T.StructType) -> DataFrame:
-        """One partition for each bin: its files, read one after the other."""
+    def _rewrite(self, scans: DataFrame, schema: T.StructType) -> DataFrame:
+        """The rows of each partition's small files, a scan per partition; its tasks are the bins."""
         files: dict[int, list[str]] = {}
-        for r in bins.select("job_bin", "file").orderBy("job_bin", "file").collect():
-            files.setdefault(r.job_bin, []).append(r.file)
-        level = [self._scan(names, schema).coalesce(1) for names in files.values()]
+        for r in scans.select("scan", "file").orderBy("scan", "file").collect():
+            files.setdefault(r.scan, []).append(r.file)
+        level = [self._scan(names, schema) for names in files.values()]
         while len(level) > 1:  # in pairs: every union is analysed anew, so a chain would cost its square
             level = [a.unionAll(*b) for a, *b in (level[i : i + 2] for i in range(0, len(level), 2)) if b] + level[len(level) & ~1 :]
         return level[0].select(*schema.names)
@@ -235,11 +246,12 @@ class SnapshotTable:
         return gone
 
 
-def bins_of(sizes: Sequence[int], names: Sequence[str], target: int) -> list[int]:
-    """The bin of each file, by first-fit decreasing; -1 for files above the target, which stay as they are.
+def packed(sizes: Sequence[int], names: Sequence[str], target: int) -> tuple[list[int], int]:
+    """The bin of each file, and the room of the bins; -1 for files above the target, which stay as they are.
 
-    Bins hold ``target`` bytes. Should that take more than ceil(size / target) + 1 files, they may be up to twice as full:
-    then any two bins together hold more than two targets, so the bound is met.
+    By falling size, a file that does not fit opens the next bin: so Spark's reader packs files into tasks. Bins hold
+    ``target`` bytes. Should that take more than ceil(size / target) + 1 files, they may be up to twice as full: then any two
+    bins in a row hold more than two targets, so the bound is met.
     """
     total = sum(sizes)
     large = sum(s > target for s in sizes)
@@ -247,14 +259,17 @@ def bins_of(sizes: Sequence[int], names: Sequence[str], target: int) -> list[int
     order = sorted((i for i, s in enumerate(sizes) if s <= target), key=lambda i: (-sizes[i], names[i]))
     placed: dict[int, int] = {}
     for percent in (100, 110, 125, 150, 200):
-        room: list[int] = []
+        room, n, filled = target * percent // 100, 0, 0
         for i in order:
-            at = next((b for b, left in enumerate(room) if left >= sizes[i]), None)
-            if at is None:
-                room.append(target * percent // 100)
-                at = len(room) - 1
-            room[at] -= sizes[i]
-            placed[i] = at
-        if len(room) + large <= bound:
+            if not n or filled + sizes[i] > room:
+                n, filled = n + 1, 0
+            filled += sizes[i]
+            placed[i] = n - 1
+        if n + large <= bound:
             break
-    return [placed.get(i, -1) for i in range(len(sizes))]
+    return [placed.get(i, -1) for i in range(len(sizes))], room
+
+
+def bins_of(sizes: Sequence[int], names: Sequence[str], target: int) -> list[int]:
+    """The bins alone, see ``packed``."""
+    return packed(sizes, names, target)[0]

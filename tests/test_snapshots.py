@@ -104,6 +104,19 @@ def test_compaction_merges_by_bins_without_a_shuffle(spark, table, monkeypatch):
     assert table.compact() is None and table.versions() == [1, 2]
 
 
+def test_every_bin_is_a_task_that_writes_one_file(spark, table):
+    """Bins of one job do not end up in one task, whose file would hold them all."""
+    text = F.concat(*(F.sha2(F.concat("id", F.lit(i)).cast("string"), 256) for i in range(4)))
+    rows = spark.range(24_000).select((F.col("id") % 2 + 2020).cast("int").alias("year"), F.lit(1).alias("month"), "id", text.alias("t"))
+    table.replace(rows.repartition(8), gather=False)
+    sizes = [r.bytes for r in table.files().collect()]
+    assert len(sizes) == 16 and max(sizes) < lake.MIB / 2
+    table.compact(target_mib=1)
+    after = table.files().groupBy("year").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), F.max("bytes").alias("top")).collect()
+    assert len(after) == 2 and all(1 < r.n <= math.ceil(r.b / lake.MIB) + 1 and r.top <= 2.1 * lake.MIB for r in after)
+    assert table.read().agg(F.sum("id")).first()[0] == 12_000 * 23_999 and table.read().select("t").distinct().count() == 24_000
+
+
 def test_compaction_of_some_partitions(spark, table):
     want = _scattered(spark, table)
     table.compact(where=F.col("month") == 2)
