@@ -189,7 +189,7 @@ def verify_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def compact_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     scattered, compacted = scratch_path(spark, "scattered"), scratch_path(spark, "compacted")
-    lake.write_partitioned(_clean(spark, sf_dir).repartition(4), scattered, gather=False)
+    lake.write_partitioned(_clean(spark, sf_dir).repartition(_pieces(spark, sf_dir, 4)), scattered, gather=False)
     report = lake.compact_partitions(spark, scattered, compacted)
     few = F.col("n_files_out") <= F.ceil(F.col("size_mib_out") / lake.TARGET_MIB) + 1
     return flat(report.select("year", "month", few.alias("few_files"), "n_rows_in", "n_rows_out", "ok"))

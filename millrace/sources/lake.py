@@ -19,6 +19,8 @@ from millrace.session import durable, replacing, session_conf
 MONTHLY = ("year", "month")
 MIB = 1024 * 1024
 TARGET_MIB = 512
+#: Files that a task of a gathered write keeps open at once. Up to then it writes its rows as they come and sorts none.
+OPEN_FILES = 128
 
 
 def partition_violations(df: DataFrame, by: Sequence[str] = MONTHLY) -> DataFrame:
@@ -55,14 +57,17 @@ def spread_by(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.hint("rebalance", *(F.col(b) for b in by))
 
 
-def file_size(spark: SparkSession, target_mib: int) -> AbstractContextManager[None]:
+def file_size(spark: SparkSession, target_mib: int, open_files: int = OPEN_FILES) -> AbstractContextManager[None]:
     """Settings under which ``spread_by`` splits partitions at a file size.
 
     Small partitions are merged into tasks only as far as all cores stay busy: merging
-    saves no files here, as every directory gets its own.
+    saves no files here, as every directory gets its own. The rows of a task come from few
+    directories, so it keeps a file open for each: sorted rows take several times the room
+    of the shuffled ones. Beyond ``open_files`` directories the rest is sorted; 0 sorts all.
     """
     return session_conf(
         spark,
+        spark__sql__maxConcurrentOutputFileWriters=str(open_files),
         spark__sql__adaptive__advisoryPartitionSizeInBytes=f"{target_mib * MIB}b",
         spark__sql__adaptive__coalescePartitions__parallelismFirst="true",
     )
@@ -93,7 +98,8 @@ def write_partitioned(
         return
     rows = guarded(df, by)
     spread = spread_by(rows, by) if gather and by else rows
-    with file_size(df.sparkSession, target_mib):
+    # Tasks that were not gathered may be of any size and hold any partition: their rows are sorted, which can spill.
+    with file_size(df.sparkSession, target_mib, OPEN_FILES if gather else 0):
         (
             spread.write.mode("overwrite" if replace == "dynamic" else "errorifexists")
             .option("partitionOverwriteMode", "dynamic")
@@ -121,7 +127,7 @@ def persist_checked(df: DataFrame, path: str, by: Sequence[str] = MONTHLY, gathe
     seen = Observation()
     spread = spread_by(guarded(df, by), by) if gather and by else guarded(df, by)
     counted = spread.observe(seen, F.count("*").alias("n"))
-    with file_size(df.sparkSession, target_mib), replacing(df.sparkSession, path) as fresh:
+    with file_size(df.sparkSession, target_mib, OPEN_FILES if gather else 0), replacing(df.sparkSession, path) as fresh:
         counted.write.partitionBy(*by).parquet(fresh)
     found = file_stats(df.sparkSession.read.schema(df.schema).parquet(path)).first()
     written = int(seen.get.get("n") or 0)
@@ -163,7 +169,7 @@ def write_clustered(
     options: dict[str, object] = {f"parquet.bloom.filter.enabled#{c}": "true" for c in bloom}
     if row_group_mib is not None:
         options["parquet.block.size"] = int(row_group_mib * MIB)
-    with file_size(df.sparkSession, target_mib), replacing(df.sparkSession, path) as fresh:
+    with file_size(df.sparkSession, target_mib, 0), replacing(df.sparkSession, path) as fresh:
         ranges = keyed.repartitionByRange(*by, "_z").sortWithinPartitions(*by, "_z").drop("_z")
         ranges.write.options(**options).partitionBy(*by).parquet(fresh)
 

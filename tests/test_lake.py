@@ -72,6 +72,25 @@ def test_a_large_partition_is_split_over_files(spark, tmp_path):
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", None) != "1048576b"
 
 
+@pytest.fixture
+def open_files(spark, monkeypatch):
+    """How many files tasks may keep open, as set for each write; with none open their rows are sorted first."""
+    seen, frame = [], type(spark.range(1))
+    write = frame.write.fget
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    monkeypatch.setattr(frame, "write", property(lambda self: seen.append(int(spark.conf.get(name, "0"))) or write(self)))
+    return seen
+
+
+def test_gathered_writes_sort_no_rows(spark, tmp_path, open_files):
+    """A sort holds a task's rows unpacked, several times what was shuffled; tasks not gathered may hold anything and do sort."""
+    lake.write_partitioned(_rows(spark), str(tmp_path / "lake"))
+    lake.persist_checked(_rows(spark), str(tmp_path / "checked"))
+    assert open_files == [lake.OPEN_FILES] * 2
+    lake.write_partitioned(_rows(spark), str(tmp_path / "loose"), gather=False)
+    assert open_files[2:] == [0] and len(_files(str(tmp_path / "lake"))) == 5
+
+
 def test_compaction_merges_files_and_reports(spark, tmp_path):
     scattered, compact = str(tmp_path / "a"), str(tmp_path / "b")
     lake.write_partitioned(_rows(spark).repartition(6), scattered, gather=False)
