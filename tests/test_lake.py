@@ -91,6 +91,12 @@ def test_gathered_writes_sort_no_rows(spark, tmp_path, open_files):
     assert open_files[2:] == [0] and len(_files(str(tmp_path / "lake"))) == 5
 
 
+def test_quarantine_sorts_no_rows(spark, tmp_path, open_files):
+    rows = _rows(spark).withColumn("reject_reason", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b"))
+    found = lake.write_quarantine(rows, str(tmp_path / "rejects")).collect()
+    assert sorted(map(tuple, found)) == [("a", 100), ("b", 100)] and open_files[:1] == [lake.OPEN_FILES]
+
+
 def test_compaction_merges_files_and_reports(spark, tmp_path):
     scattered, compact = str(tmp_path / "a"), str(tmp_path / "b")
     lake.write_partitioned(_rows(spark).repartition(6), scattered, gather=False)
