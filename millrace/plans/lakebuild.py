@@ -123,7 +123,7 @@ def store_outcomes(
     seen = Observation()
     rows = rows.observe(seen, *(column.alias(name) for name, column in measures.items())).drop(*marks, LOST)
     spark = tagged.sparkSession
-    with lake.file_size(spark, target_mib), replacing(spark, root) as fresh:
+    with lake.file_size(spark, target_mib, lake.OPEN_FILES if gather else 0), replacing(spark, root) as fresh:
         rows.write.partitionBy(*keys).parquet(fresh)
     found = seen.get
     told = {kind: {n.partition(" ")[2]: int(found.get(n) or 0) for n in measures if n.startswith(f"{kind} ")} for kind in ("outcome", "imputed", "lost")}

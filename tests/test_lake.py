@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.contract import Contract, Field
 from millrace.operators import reports
+from millrace.plans import lakebuild
 from millrace.sources import csv, lake
 from pyspark.sql import types as T
 
@@ -97,6 +98,14 @@ def test_quarantine_sorts_no_rows(spark, tmp_path, open_files):
     assert sorted(map(tuple, found)) == [("a", 100), ("b", 100)] and open_files[:1] == [lake.OPEN_FILES]
 
 
+def test_builds_sort_no_rows(spark, tmp_path, open_files):
+    rows = _rows(spark).withColumn("reject_reason", F.when(F.col("id") % 3 == 0, "month_leaked_rows"))
+    built = lakebuild.store_outcomes(rows, str(tmp_path / "build"))
+    assert built.counts.outcomes["kept"] == 200 and open_files[:1] == [lake.OPEN_FILES]
+    lakebuild.store_outcomes(rows, str(tmp_path / "loose"), gather=False)
+    assert open_files[1] == 0
+
+
 def test_compaction_merges_files_and_reports(spark, tmp_path):
     scattered, compact = str(tmp_path / "a"), str(tmp_path / "b")
     lake.write_partitioned(_rows(spark).repartition(6), scattered, gather=False)
