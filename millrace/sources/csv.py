@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import unquote
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from millrace.functions import quoted
@@ -25,30 +24,25 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
+#: Bytes of a file that a task looks through for its first line.
+_SPLIT = 128 << 20
+
+
 def header_lines(spark: SparkSession, paths: str | Sequence[str]) -> list[Row]:
     """(path, header) of the files of one or more paths: their first lines, cut into names. Empty files are left out.
 
-    One job reads them, a task for each file and of it the first batch of lines, which is one; the driver opens none. It
-    gets a path and a header per file, as the scans that follow need them. A compressed file is read as Spark's text
-    source reads it.
+    One job reads them, a task for each file or, of large ones, each 128 MiB; the driver opens none. It gets a path and a
+    line per file, as the scans that follow need them. All lines but the first are dropped where they are read, which no
+    Python worker sees. A compressed file is read as Spark's text source reads it.
     """
-
-    def first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                line, path = batch.column(0)[0].as_py(), unquote(batch.column(1)[0].as_py())
-                if line:
-                    names = next(csv.reader([line.lstrip("\ufeff")]))
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([names], pa.list_(pa.string()))], names=["path", "header"])
-                return
-
-    # No file is split and none shares a task, so the first line of a task is that of its file.
-    with session_conf(
-        spark, spark__sql__files__maxPartitionBytes=str(1 << 62), spark__sql__files__openCostInBytes=str(1 << 61),
-        spark__sql__execution__arrow__maxRecordsPerBatch="1",
-    ):
-        lines = spark.read.text([paths] if isinstance(paths, str) else list(paths)).select("value", F.col("_metadata.file_path").alias("path"))
-        return lines.mapInArrow(first_line, "path string, header array<string>").collect()
+    # A task has one piece of a file, so its first line is that of the file if the piece begins there.
+    with session_conf(spark, spark__sql__files__maxPartitionBytes=str(_SPLIT), spark__sql__files__openCostInBytes=str(_SPLIT)):
+        lines = spark.read.text([paths] if isinstance(paths, str) else list(paths)).select(
+            "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"),
+        )
+        found = lines.where("nth = 0 AND start = 0 AND value <> ''").select("path", "value").collect()
+    return [Row(path=unquote(r.path), header=next(csv.reader([r.value.lstrip("\ufeff")]))) for r in found]
 
 
 def headers_by_file(spark: SparkSession, paths: str | Sequence[str]) -> dict[tuple[str, ...], list[str]]:

@@ -103,6 +103,16 @@ def test_headers_are_read_by_tasks(spark, tmp_path, monkeypatch):
     assert csv.csv_scan(spark, str(folder), mixed=True).count() == 50_002
 
 
+def test_headers_of_split_files_need_no_python(spark, tmp_path, monkeypatch):
+    """Only the piece a file begins with has its header, and no line goes through a Python worker."""
+    (tmp_path / "a.csv").write_text("V,W\n" + "1,2\n" * 5_000)
+    (tmp_path / "b.csv").write_text("W\n" + "5\n" * 5_000)
+    monkeypatch.setattr("millrace.sources.csv._SPLIT", 1_000)
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", None)
+    found = sorted((r.path.rsplit("/", 1)[1], r.header) for r in csv.header_lines(spark, str(tmp_path)))
+    assert found == [("a.csv", ["V", "W"]), ("b.csv", ["W"])]
+
+
 # --- layout --------------------------------------------------------------------------------
 
 
