@@ -336,11 +336,11 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incremental_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two arrivals of files, several batches each, published as they come."""
     landing, root, checkpoint, target = (scratch_path(spark, label) for label in ("landing", "batches", "progress", "published"))
-    rows = trips(spark, sf_dir)
+    rows, files = trips(spark, sf_dir), _pieces(spark, sf_dir, 4)
     first = F.pmod(F.xxhash64(*rows.columns), F.lit(3)) == 0
     for part in (rows.where(first), rows.where(~first)):
-        part.repartition(4).write.mode("append").parquet(landing)
-        stream = incremental.file_stream(spark, landing, rows.schema, max_files=2, format="parquet")
+        part.repartition(files).write.mode("append").parquet(landing)
+        stream = incremental.file_stream(spark, landing, rows.schema, max_files=-(-files // 2), format="parquet")
         incremental.ingest_available(stream, root, checkpoint, conform=lambda batch: batch.drop("file_name"))
         incremental.publish_new(spark, root, target)
     return flat(spark.read.parquet(target).groupBy("year", "month").agg(F.count("*").alias("n_rows"), F.sum("fare_amount").alias("sum_fare")))

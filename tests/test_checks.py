@@ -7,6 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from checks import storage
 from checks.compare import connect, differences
 
 SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
@@ -29,6 +30,18 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert differences(result.columns, rows, expected.columns, expected.fetchall()) == []
 
 
+@pytest.mark.parametrize("name, files", [("incremental_publish", 24)])
+def test_larger_tables_arrive_in_more_files(spark, duck, monkeypatch, name, files):
+    """A file, and the task that writes it, holds no more rows for a larger table."""
+    paths, scratch = [], storage.scratch_path
+    monkeypatch.setattr(storage, "PIECE_ROWS", int(duck.sql("SELECT ceil(count(*) / 12) FROM lineitem").fetchall()[0][0]))
+    monkeypatch.setattr(storage, "scratch_path", lambda spark, label: paths.append((label, scratch(spark, label))) or paths[-1][1])
+    result = entry.queries()[name](spark, SF)
+    expected = duck.sql(entry.oracle_sql()[name])
+    assert differences(result.columns, [tuple(r) for r in result.collect()], expected.columns, expected.fetchall()) == []
+    assert len(spark.read.parquet(dict(paths)["landing"]).inputFiles()) == files
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0
