@@ -314,9 +314,9 @@ def report_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     landing, root, checkpoint = (scratch_path(spark, label) for label in ("landing", "batches", "progress"))
-    rows = trips(spark, sf_dir)
-    rows.repartition(6).write.parquet(landing)
-    stream = incremental.file_stream(spark, landing, rows.schema, max_files=2, format="parquet")
+    rows, files = trips(spark, sf_dir), _pieces(spark, sf_dir, 6)
+    rows.repartition(files).write.parquet(landing)
+    stream = incremental.file_stream(spark, landing, rows.schema, max_files=-(-files // 3), format="parquet")
     incremental.ingest_available(stream, root, checkpoint, conform=lambda batch: batch.drop("file_name"))
     return (
         incremental.stored_rows(spark, root)
@@ -496,11 +496,12 @@ def clustered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- states of batches ---------------------------------------------------------------------
 
 
-def _batches(spark: SparkSession, rows: DataFrame, states: dict) -> str:
+def _batches(spark: SparkSession, sf_dir: str, rows: DataFrame, states: dict) -> str:
     """``rows`` as files of several batches, each stored with its states; rules have been applied before."""
     landing, root, checkpoint = (scratch_path(spark, label) for label in ("landing", "batches", "progress"))
-    rows.repartition(6).write.parquet(landing)
-    stream = incremental.file_stream(spark, landing, rows.schema, max_files=2, format="parquet")
+    files = _pieces(spark, sf_dir, 6)
+    rows.repartition(files).write.parquet(landing)
+    stream = incremental.file_stream(spark, landing, rows.schema, max_files=-(-files // 3), format="parquet")
     untagged = F.lit(None).cast("string")
     incremental.ingest_available(stream, root, checkpoint, lambda b: b.drop("file_name"), lambda b: b.withColumn("reject_reason", untagged), states=states)
     return root
@@ -526,7 +527,7 @@ def batch_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     def lowest(batch: DataFrame) -> DataFrame:
         return ordering.lowest_draws(batch.where("suspicious").select(*KEYS, "total_amount"), 50, KEYS, draw=F.expr(_SAMPLE_DRAW))
 
-    kept = incremental.batch_states(spark, _batches(spark, rows, {"sample": lowest}), "sample")
+    kept = incremental.batch_states(spark, _batches(spark, sf_dir, rows, {"sample": lowest}), "sample")
     return flat(ordering.merge_lowest(kept.drop(incremental.BATCH), 50, KEYS))
 
 
@@ -548,7 +549,7 @@ _COUNTED = ("l_orderkey", "l_partkey", "vendor_id", "store_and_forward_flag", "p
 def batch_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct values of all batches from their sketches, each within four standard errors of the true number."""
     rows = taxi.clean_kept(trips(spark, sf_dir, KEYS)).select(*_COUNTED, "year", "month")
-    root = _batches(spark, rows, {"distinct": lambda batch: profile.distinct_sketches(batch, _COUNTED)})
+    root = _batches(spark, sf_dir, rows, {"distinct": lambda batch: profile.distinct_sketches(batch, _COUNTED)})
     about = profile.merge_distinct(incremental.batch_states(spark, root, "distinct"))
     exact = profile.distinct_values(incremental.stored_trips(spark, root), _COUNTED).where("value IS NOT NULL")
     true_counts = exact.groupBy("column_name").agg(F.count("*").alias("true_distinct"))

@@ -30,7 +30,7 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert differences(result.columns, rows, expected.columns, expected.fetchall()) == []
 
 
-@pytest.mark.parametrize("name, files", [("incremental_publish", 24)])
+@pytest.mark.parametrize("name, files", [("incremental_publish", 24), ("incremental_ingest", 12)])
 def test_larger_tables_arrive_in_more_files(spark, duck, monkeypatch, name, files):
     """A file, and the task that writes it, holds no more rows for a larger table."""
     paths, scratch = [], storage.scratch_path
