@@ -13,10 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bagminhash, decontaminate, pieces, quality, surrogates
+from millrace.llm import words as W
 from millrace.llm.queries import PIECE_MODEL, SURROGATE_KEY
 from millrace.llm.tables import drop_where, importable, one_where, read, remainder
 from millrace.session import durable
 
+#: Rows in a batch that goes to a Python worker. Those of Spark's default (10,000) held tens of MB of texts on both sides.
+BATCH_ROWS = 1_000
+
+
+def _workers(spark: SparkSession) -> None:
+    """Let Python workers import this package, and get texts in small batches: they outlive a stage with what they held.
+
+    The session keeps the setting, as the rows of a stage are computed by whoever stores them.
+    """
+    importable(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good, learnt from three quarters of the labels.
@@ -24,7 +39,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts get a score like any other, so they may go. Rows of one id and text go or stay together,
     whole repeats included. An empty table stays empty. All columns pass through, whatever they are called.
     """
-    importable(spark)
+    _workers(spark)
     labels = read(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
     scored = quality.classify(docs, labels)
     return drop_where(docs, durable(scored.where("predicted = 0").select("doc_id", "text_hash"), "poor"))
@@ -35,7 +50,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id and without words are not known to be copies of each other: all stay.
     """
-    importable(spark)
+    _workers(spark)
     classes = durable(bagminhash.near_duplicates(docs), "near-duplicates")
     one = drop_where(docs, classes.where(~F.col("kept")).select("doc_id", "text_hash"))
     heads = classes.where("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"))
@@ -49,7 +64,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts have no words, so they stay; whole texts are tested, however long. Rows of one id and text go
     or stay together. An empty table or benchmark leaves all as it is. All columns pass through.
     """
-    importable(spark)
+    _workers(spark)
     found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
     return drop_where(docs, durable(found.where(decontaminate.is_contaminated()).select("doc_id", "text_hash"), "contaminated"))
 
@@ -66,8 +81,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, a row each, repeats too. Null and empty texts have no pieces; other columns go."""
-    importable(spark)
-    return pieces.encode(docs, PIECE_MODEL).select("doc_id", "ids", "n_tokens", "n_byte_tokens", "round_trip", "parity")
+    _workers(spark)
+    return pieces.encode(docs, PIECE_MODEL, block_bytes=W.BLOCK_BYTES).select("doc_id", "ids", "n_tokens", "n_byte_tokens", "round_trip", "parity")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -250,14 +250,15 @@ def _encoder(proto: bytes, threads: int) -> Encoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("doc_id",), threads: int = 2, parity_every: int = 1) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("doc_id",), threads: int = 2, parity_every: int = 1, block_bytes: int = 2 * W.BLOCK_BYTES) -> DataFrame:
     """``keep``, ids (array<int>), n_tokens, n_byte_tokens, round_trip and parity of each row's whole text.
 
     ``round_trip``: decoding the ids gives the text back (of a normalising model: the normalised text may
     differ, then false). ``parity``: whether the sentencepiece library gives the same ids; asked for the rows
     whose text hash is divisible by ``parity_every`` (1, as by default: all), null elsewhere. Null and empty texts have no
     ids. Every row has one result, repeated ones too; an empty table gives no rows. The model file is read
-    once by the driver (its vocabulary bounds its size) and travels with the tasks.
+    once by the driver (its vocabulary bounds its size) and travels with the tasks. Texts of about ``block_bytes`` are
+    encoded at a time: smaller blocks take less memory of a worker and repeat more segments.
     """
     with open(model_path, "rb") as f:
         proto = f.read()
@@ -268,7 +269,7 @@ def encode(docs: DataFrame, model_path: str, *, keep: tuple[str, ...] = ("doc_id
         for batch in batches:
             column = batch.column(len(keep))
             audited = batch.column(len(keep) + 1).to_numpy(zero_copy_only=False)
-            for block in W.blocks(column, 2 * W.BLOCK_BYTES):
+            for block in W.blocks(column, block_bytes):
                 texts = [t or "" for t in column.slice(block.first, block.last - block.first).to_pylist()]
                 ids, counts = encoder.block(texts)
                 stop = np.cumsum(counts)

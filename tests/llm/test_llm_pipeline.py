@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_llm_bagminhash import brute as duplicates
 from test_llm_decontaminate import brute as contaminated
 
 import corpus_pipeline
-from millrace.llm import quality, surrogates
+from millrace.llm import bagminhash, quality, surrogates
+from millrace.llm import words as W
 from millrace.session import durable
 
 PATH = "/root/testdata/sf0.001"
@@ -66,3 +68,20 @@ def test_stages_take_odd_rows(spark, odd):
     texts = lambda got: sorted(((r.doc_id, r.text) for r in got), key=repr)
     assert texts(left["personal_data"]) == texts(odd.collect())
     assert all(r.n_tokens == 0 for r in left["pieces"] if r.doc_id in (2, 3))
+
+
+def test_python_workers_hold_little_text_at_once(spark, monkeypatch):
+    """Batches of few rows, and blocks of one size in the stages whose workers took most memory."""
+    seen, sizes, frame = [], [], type(spark.range(1))
+    mapped, blocks = frame.mapInArrow, W.blocks
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema: seen.append(f) or mapped(self, f, schema))
+    monkeypatch.setattr(W, "blocks", lambda *a: (sizes.append(len(b.data)) or b for b in blocks(*a)))
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    corpus_pipeline.token_ids(spark, docs, "")
+    bagminhash.sketched(docs)
+    texts = pa.array(["some words of a text " * 20_000] * 8)
+    zeros = pa.array([0] * 8)
+    list(seen[0](iter([pa.RecordBatch.from_arrays([zeros, texts, pa.array([False] * 8)], names=["doc_id", "text", "audited"])])))
+    list(seen[1](iter([pa.RecordBatch.from_arrays([zeros, zeros, texts], names=["doc_id", "text_hash", "text"])])))
+    assert sum(sizes) == 2 * 8 * 420_000 and max(sizes) <= W.BLOCK_BYTES
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= corpus_pipeline.BATCH_ROWS
