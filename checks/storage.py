@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from checks.registry import check
 from checks.sql import CLEAN, CONFORMED, RAW, TAGGED, TRIPS, query
-from checks.trips import KEYS, flat, raw_trips, table, trips
+from checks.trips import KEYS, flat, raw_lines, raw_trips, table, trips
 from millrace.operators import ordering, profile, reports
 from millrace.plans import taxi
 from millrace.plans.lakebuild import build_lake, store_outcomes
@@ -35,11 +35,19 @@ def _clean_lake(spark: SparkSession, sf_dir: str, label: str) -> str:
     return path
 
 
-def _two_layouts(rows: DataFrame, path: str) -> None:
-    """CSV files of two column orders in one folder."""
-    odd = F.pmod(F.xxhash64(*rows.columns), F.lit(2)) == 1
-    for part, names in ((rows.where(odd), rows.columns), (rows.where(~odd), rows.columns[::-1])):
-        part.select(*names).write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+def _two_layouts(spark: SparkSession, sf_dir: str, path: str, names: dict[str, str]) -> None:
+    """The raw trips, columns renamed by ``names`` (others left out), as CSV files of two column orders in one folder.
+
+    A trip is made into text only for the layout it goes to, and its text is not stored anywhere else.
+    """
+    odd = F.pmod(F.xxhash64(*KEYS), F.lit(2)) == 1
+    for where, columns in ((odd, list(names)), (~odd, list(names)[::-1])):
+        part = raw_lines(spark, sf_dir, where).select(*(F.col(c).alias(names[c]) for c in columns))
+        part.write.mode("append").option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+
+
+def _raw_names(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    return {c: c for c in raw_lines(spark, sf_dir).columns if c != "file_name"}
 
 
 @check(
@@ -54,7 +62,7 @@ def _two_layouts(rows: DataFrame, path: str) -> None:
 )
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "csv")
-    _two_layouts(raw_trips(spark, sf_dir).drop("file_name"), path)
+    _two_layouts(spark, sf_dir, path, _raw_names(spark, sf_dir))
     return (
         csv.csv_scan(spark, path, mixed=True)
         .groupBy("store_and_fwd_flag", "payment_type")
@@ -79,7 +87,7 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def csv_lost_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "lost")
-    _two_layouts(raw_trips(spark, sf_dir).drop("file_name"), path)
+    _two_layouts(spark, sf_dir, path, _raw_names(spark, sf_dir))
     lost = csv.lost_cells(spark, path, taxi.CONTRACT)
     return lost.where("lost_values > 0").select("column_name", "lost_values")
 
@@ -373,7 +381,7 @@ _COUNTS = "kind string, name string, n_rows long"
 def build_lost_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells lost and rows written, as counted by the one job that parses the files and stores the rows."""
     path = scratch_path(spark, "lost")
-    _two_layouts(raw_trips(spark, sf_dir).withColumnRenamed("file_name", "origin"), path)
+    _two_layouts(spark, sf_dir, path, _raw_names(spark, sf_dir) | {"file_name": "origin"})
 
     def conform(rows: DataFrame) -> DataFrame:
         return taxi.conform(rows.drop("file_name").withColumnRenamed("origin", "file_name"))

@@ -99,11 +99,14 @@ def trips(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> Data
 
 def raw_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text columns under source names, plus the ``file_name`` a row would come from."""
-    return _table(use_utc(spark), sf_dir, "raw_trips", lambda: _raw_lines(spark, sf_dir))
+    return _table(use_utc(spark), sf_dir, "raw_trips", lambda: raw_lines(spark, sf_dir))
 
 
-def _raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_lines(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    """``raw_trips`` (of the trips ``where``, a condition on KEYS) as a view: for rows that are written at once as they are."""
     rows = trips(spark, sf_dir, KEYS)
+    if where is not None:
+        rows = rows.where(where)
     order, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     text = {
         f.source: F.col(f.name).cast("string")

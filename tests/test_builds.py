@@ -144,3 +144,17 @@ def test_learning_incrementally_equals_learning_at_once(spark, month_files, tmp_
     assert got.own.tolist() == pytest.approx(exact.tolist(), abs=1e-7)
     # With a constant feature MLlib leaves the direct solution for an iterative one.
     assert got.own.tolist() == pytest.approx(got.prediction.tolist(), abs=1e-4)
+
+
+def test_layouts_hold_all_rows_and_store_no_text_table(spark, tmp_path):
+    """The CSV files are written from the typed trips; their text is not stored a second time before."""
+    from checks import storage, trips
+
+    sf, path = f"{SF}/.", str(tmp_path / "csv")  # a path of its own, whose tables nobody has stored
+    storage._two_layouts(spark, sf, path, storage._raw_names(spark, sf) | {"file_name": "origin"})
+    assert [name for _, folder, name in trips._stored if folder == sf] == ["trips"]
+    headers = {tuple(r.header) for r in csv.header_lines(spark, path)}
+    assert len(headers) == 2 and len({tuple(sorted(h)) for h in headers}) == 1
+    raw = raw_trips(spark, sf).withColumnRenamed("file_name", "origin")
+    back = csv.csv_scan(spark, path, mixed=True).select(*raw.columns)
+    assert back.count() == raw.count() and back.exceptAll(raw).isEmpty()
