@@ -21,6 +21,8 @@ MIB = 1024 * 1024
 TARGET_MIB = 512
 #: Files that a task of a gathered write keeps open at once. Up to then it writes its rows as they come and sorts none.
 OPEN_FILES = 128
+#: A gathered write is dealt into this many pieces or more, so that a task has few directories, whatever the number of cores.
+PIECES = 200
 
 
 def partition_violations(df: DataFrame, by: Sequence[str] = MONTHLY) -> DataFrame:
@@ -52,24 +54,29 @@ def spread_by(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
     This is the rebalance hint: with adaptive execution Spark looks at the shuffled
     sizes and divides any partition above the advisory size, so a month that holds a
-    third of the table is written by as many tasks as its size calls for.
+    third of the table is written by as many tasks as its size calls for. A session set to
+    fewer than ``PIECES`` shuffle partitions would bring many directories into each of them.
     """
-    return df.hint("rebalance", *(F.col(b) for b in by))
+    settings = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    pieces = max(PIECES, *(int(df.sparkSession.conf.get(name, "1")) for name in settings))
+    return df.hint("rebalance", pieces, *(F.col(b) for b in by))
 
 
 def file_size(spark: SparkSession, target_mib: int, open_files: int = OPEN_FILES) -> AbstractContextManager[None]:
     """Settings under which ``spread_by`` splits partitions at a file size.
 
-    Small partitions are merged into tasks only as far as all cores stay busy: merging
-    saves no files here, as every directory gets its own. The rows of a task come from few
-    directories, so it keeps a file open for each: sorted rows take several times the room
+    Merging small partitions saves no files here, as every directory gets its own, so they
+    are merged only up to 1 MB or one of ``PIECES`` of the whole. The rows of a task come from
+    few directories, so it keeps a file open for each: sorted rows take several times the room
     of the shuffled ones. Beyond ``open_files`` directories the rest is sorted; 0 sorts all.
+    The memory of that sort is in no task's figures, only in those of its executor.
     """
     return session_conf(
         spark,
         spark__sql__maxConcurrentOutputFileWriters=str(open_files),
         spark__sql__adaptive__advisoryPartitionSizeInBytes=f"{target_mib * MIB}b",
         spark__sql__adaptive__coalescePartitions__parallelismFirst="true",
+        spark__sql__adaptive__coalescePartitions__minPartitionNum=str(PIECES),
     )
 
 

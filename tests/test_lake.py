@@ -106,6 +106,27 @@ def test_builds_sort_no_rows(spark, tmp_path, open_files):
     assert open_files[1] == 0
 
 
+def _most_folders(path, kind):
+    """The most directories that one task has written to."""
+    found = {}
+    for f in glob.glob(f"{path}/**/*.{kind}", recursive=True):
+        folder, name = f.rsplit("/", 1)
+        found.setdefault(name.split("-")[1], set()).add(folder)
+    return max(map(len, found.values()))
+
+
+def _many_folders(spark):
+    text = F.sha2(F.col("id").cast("string"), 256).alias("text")
+    return spark.range(400_000, numPartitions=4).select(text, (F.col("id") % 800).cast("int").alias("place"))
+
+
+def test_quarantine_opens_few_files_in_a_task(spark, tmp_path):
+    rows = _many_folders(spark).withColumn("reject_reason", F.format_string("rule %d", "place"))
+    found = lake.write_quarantine(rows, str(tmp_path / "rejects")).collect()
+    assert len(found) == 800 and {r.n_rows for r in found} == {500}
+    assert _most_folders(str(tmp_path / "rejects"), "csv") <= lake.OPEN_FILES // 2
+
+
 def test_compaction_merges_files_and_reports(spark, tmp_path):
     scattered, compact = str(tmp_path / "a"), str(tmp_path / "b")
     lake.write_partitioned(_rows(spark).repartition(6), scattered, gather=False)
