@@ -120,6 +120,16 @@ def _many_folders(spark):
     return spark.range(400_000, numPartitions=4).select(text, (F.col("id") % 800).cast("int").alias("place"))
 
 
+def test_a_build_opens_few_files_in_a_task(spark, tmp_path):
+    """However few the cores and shuffle partitions: a file beyond OPEN_FILES would bring the sort back."""
+    rows = _many_folders(spark).withColumns(
+        {"year": F.expr("2000 + place div 20"), "month": F.expr("place % 20"), "reject_reason": F.lit(None).cast("string")}
+    )
+    built = lakebuild.store_outcomes(rows, str(tmp_path / "build"))
+    assert built.counts.outcomes["kept"] == 400_000 and len(_files(built.root)) == 800
+    assert _most_folders(built.root, "parquet") <= lake.OPEN_FILES // 2
+
+
 def test_quarantine_opens_few_files_in_a_task(spark, tmp_path):
     rows = _many_folders(spark).withColumn("reject_reason", F.format_string("rule %d", "place"))
     found = lake.write_quarantine(rows, str(tmp_path / "rejects")).collect()
