@@ -62,8 +62,8 @@ def spread_by(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.hint("rebalance", pieces, *(F.col(b) for b in by))
 
 
-def file_size(spark: SparkSession, target_mib: int, open_files: int = OPEN_FILES) -> AbstractContextManager[None]:
-    """Settings under which ``spread_by`` splits partitions at a file size.
+def file_size(spark: SparkSession, target_mib: int | None, open_files: int = OPEN_FILES) -> AbstractContextManager[None]:
+    """Settings under which ``spread_by`` splits partitions at a file size; None: at the session's advisory size.
 
     Merging small partitions saves no files here, as every directory gets its own, so they
     are merged only up to 1 MB or one of ``PIECES`` of the whole. The rows of a task come from
@@ -71,10 +71,11 @@ def file_size(spark: SparkSession, target_mib: int, open_files: int = OPEN_FILES
     of the shuffled ones. Beyond ``open_files`` directories the rest is sorted; 0 sorts all.
     The memory of that sort is in no task's figures, only in those of its executor.
     """
+    size = {} if target_mib is None else {"spark__sql__adaptive__advisoryPartitionSizeInBytes": f"{target_mib * MIB}b"}
     return session_conf(
         spark,
+        **size,
         spark__sql__maxConcurrentOutputFileWriters=str(open_files),
-        spark__sql__adaptive__advisoryPartitionSizeInBytes=f"{target_mib * MIB}b",
         spark__sql__adaptive__coalescePartitions__parallelismFirst="true",
         spark__sql__adaptive__coalescePartitions__minPartitionNum=str(PIECES),
     )

@@ -56,6 +56,7 @@ def ingest_available(
     NULL counts are computed from what it stored and kept beside it, to be merged into
     a profile of everything without reading the rows again. ``states`` names further tables of that kind, each made
     of the batch's kept rows: sketches of quantiles or of distinct values, a sample (see ``batch_states``).
+    Its tasks write without sorting, as those of a build do; they are split at the session's advisory size.
     """
 
     stored_ids: list[int] = []
@@ -72,7 +73,7 @@ def ingest_available(
         named = tagged.withColumns({**month, OUTCOME: outcome}).drop(rules.REASON)
         place = f"{root}/rows/{BATCH}={batch_id}"
         keys = [OUTCOME, *PLACED]
-        with replacing(rows.sparkSession, place) as fresh:
+        with lake.file_size(rows.sparkSession, None), replacing(rows.sparkSession, place) as fresh:
             lake.spread_by(named, keys).write.partitionBy(*keys).parquet(fresh)
         # An explicit schema: a batch without kept rows has no such directory.
         stored = rows.sparkSession.read.schema(named.schema).parquet(place).where(F.col(OUTCOME) == rules.KEPT)

@@ -124,6 +124,20 @@ def test_incremental_equals_one_run(spark, month_files, tmp_path):
     assert all(r.n_files == 1 for r in lake.file_stats(spark.read.parquet(target), lake.MONTHLY).collect())
 
 
+def test_batches_are_stored_without_sorting(spark, month_files, tmp_path, monkeypatch):
+    """As in a build: a sort would hold a task's rows unpacked. A batch has a session of its own."""
+    frame, name, seen = type(spark.range(1)), "spark.sql.maxConcurrentOutputFileWriters", []
+    write = frame.write.fget
+    monkeypatch.setattr(frame, "write", property(lambda self: seen.append((int(self.sparkSession.conf.get(name, "0")), "at_month" in self.columns)) or write(self)))
+    schema = taxi.CONTRACT.reading_schema(csv.header_of(spark, month_files))
+    root, progress = str(tmp_path / "root"), str(tmp_path / "progress")
+    assert incremental.ingest_available(incremental.file_stream(spark, month_files, schema, max_files=3), root, progress) == range(2)
+    assert [n for n, is_rows in seen if is_rows] == [lake.OPEN_FILES] * 2
+    files = glob.glob(f"{root}/rows/batch=*/*/*/*/*.parquet")
+    assert files and len(files) == len({f.rpartition("/")[0] for f in files})
+    assert _digest(incremental.stored_trips(spark, root)) == _digest(rules.kept(_expected(spark, month_files)))
+
+
 def test_learning_incrementally_equals_learning_at_once(spark, month_files, tmp_path):
     trips = rules.kept(_expected(spark, month_files))
     lake_path, root, progress = (str(tmp_path / d) for d in ("lake", "moments", "progress"))
